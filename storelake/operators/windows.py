@@ -122,7 +122,9 @@ def sessionize(
 
     With ``bucket`` the scan is segmented: the previous row across a bucket
     boundary comes from the preceding bucket's last timestamp."""
-    secs = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
+    # integer microsecond epochs: exact for fractional-second timestamps
+    secs = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    gap_seconds = int(round(gap_seconds * 1_000_000))  # compared in microseconds
     if bucket is None:
         w = Window.partitionBy(*keys).orderBy(ts, tiebreak)
         x = df.withColumn("prev_ts", F.lag(ts).over(w))
@@ -183,7 +185,7 @@ def dwell_to_next(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str, cu
     """Seconds until the next row of the same key; kept when 0 < d < cutoff."""
     w = Window.partitionBy(*keys).orderBy(ts, tiebreak)
     nxt = F.lead(ts).over(w)
-    d = F.unix_timestamp(nxt.cast("timestamp")) - F.unix_timestamp(F.col(ts).cast("timestamp"))
+    d = (F.unix_micros(nxt.cast("timestamp")) - F.unix_micros(F.col(ts).cast("timestamp"))) / 1e6
     return df.withColumn("dwell_seconds", d).where((F.col("dwell_seconds") > 0) & (F.col("dwell_seconds") < cutoff_seconds))
 
 
@@ -218,11 +220,12 @@ def bucketed_row_number(
     return b.join(off, [*partition, "_bkt"], "inner").withColumn(out, F.col("_off") + F.row_number().over(wi)).drop("_bkt", "_off")
 
 
-def hash_unit(cols: Sequence[str | Column], seed: int) -> Column:
-    """Deterministic uniform value in [0, 1) from xxhash64 of the columns and a
+def hash_unit(cols: Sequence[str | Column], seed: int, portable: bool = True) -> Column:
+    """Deterministic uniform value in [0, 1) from a hash of the columns and a
     seed: independent of partitioning, unlike rand(seed)."""
-    h = F.xxhash64(*_cols(cols), F.lit(seed))
-    return F.pmod(h, F.lit(1 << 52)).cast("double") / float(1 << 52)
+    from storelake.functions.hashing import md5_unit, xxhash_unit
+
+    return md5_unit(cols, seed) if portable else xxhash_unit(cols, seed)
 
 
 def stratified_split(df: DataFrame, label: str, id_col: str, seed: int = 42, test_fraction: float = 0.2, buckets: int = 1024) -> DataFrame:

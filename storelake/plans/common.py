@@ -71,3 +71,13 @@ def scalar(df: DataFrame, expr):
 
 def ts_lit(v) -> "F.Column":
     return F.lit(v).cast("timestamp_ntz")
+
+
+SQL_DAILY_DEPT = """(SELECT p_type AS department, CAST(l_shipdate AS DATE) AS sale_date,
+  CAST(sum(l_quantity) AS BIGINT) AS units, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS revenue_cents
+  FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"""
+
+SQL_DENSE_DEPT = f"""(SELECT g.department, g.sale_date, coalesce(s.units, 0) AS units, coalesce(s.revenue_cents, 0) AS revenue_cents
+  FROM (SELECT department, CAST(unnest(generate_series(min(sale_date), max(sale_date), INTERVAL 1 DAY)) AS DATE) AS sale_date
+        FROM {SQL_DAILY_DEPT} GROUP BY department) g
+  LEFT JOIN {SQL_DAILY_DEPT} s ON g.department = s.department AND g.sale_date = s.sale_date)"""
