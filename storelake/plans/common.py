@@ -81,3 +81,9 @@ SQL_DENSE_DEPT = f"""(SELECT g.department, g.sale_date, coalesce(s.units, 0) AS
   FROM (SELECT department, CAST(unnest(generate_series(min(sale_date), max(sale_date), INTERVAL 1 DAY)) AS DATE) AS sale_date
         FROM {SQL_DAILY_DEPT} GROUP BY department) g
   LEFT JOIN {SQL_DAILY_DEPT} s ON g.department = s.department AND g.sale_date = s.sale_date)"""
+
+
+def nullable_ids_as_double(df: DataFrame, cols) -> DataFrame:
+    """Output form for nullable integer ids: doubles keep NULL as NaN and
+    survive any collection path (pandas turns nullable integers into floats)."""
+    return df.select(*[F.col(c).cast("double").alias(c) if c in cols else F.col(c) for c in df.columns])
