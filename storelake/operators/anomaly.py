@@ -36,7 +36,13 @@ def series_anomalies(df: DataFrame, keys: Sequence[str], ts: str, value: str, th
     x = x.withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count(F.lit(1)).over(wk)).withColumn("mean", F.avg("v").over(wk))
     for p in SEASONS:
         x = x.withColumn(f"lag{p}", F.lag("v", p).over(w))
-    corr = x.groupBy(*keys).agg(*[F.corr("v", f"lag{p}").alias(f"c{p}") for p in SEASONS])
+    def safe_corr(p):
+        # Pearson r over the pairs where the lag exists; NULL (not an ANSI
+        # division error) when either side is constant.
+        v = F.when(F.col(f"lag{p}").isNotNull(), F.col("v"))
+        return F.try_divide(F.covar_samp(v, F.col(f"lag{p}")), F.stddev_samp(v) * F.stddev_samp(F.col(f"lag{p}")))
+
+    corr = x.groupBy(*keys).agg(*[safe_corr(p).alias(f"c{p}") for p in SEASONS])
     x = x.join(corr, keys, "left")
     ok = {p: (F.col("n") >= 2 * p) & F.col(f"c{p}").isNotNull() & (F.col(f"c{p}") >= MIN_CORR) for p in SEASONS}
     season = F.when(ok[24] & ~(ok[168] & (F.col("c168") > F.col("c24"))), F.lit(24)).when(ok[168], F.lit(168))

@@ -12,7 +12,7 @@ DAX semantics kept: DIVIDE(x, y, 0) -> 0 on a zero/blank denominator
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 class Measure:
     mid: str  # stable id, e.g. "B060"
     name: str  # output column
-    spark: Column | None  # aggregate over the base rows (None for derived)
+    spark: Callable[[], Column] | None  # aggregate over the base rows (None for derived); built lazily
     sql: str  # the same aggregate / expression in SQL (oracle)
-    derived: Column | None = None  # expression over other measure columns
+    derived: Callable[[], Column] | None = None  # expression over other measure columns
 
 
 def divide0(a: Column, b: Column) -> Column:
@@ -45,11 +45,11 @@ def sql_divide_blank(a: str, b: str) -> str:
 
 
 def evaluate(base: DataFrame, measures: Sequence[Measure], group_by: Sequence[str] = (), digits: int = 6) -> DataFrame:
-    aggs = [m.spark.alias(m.name) for m in measures if m.spark is not None]
+    aggs = [m.spark().alias(m.name) for m in measures if m.spark is not None]
     out = base.groupBy(*group_by).agg(*aggs) if group_by else base.agg(*aggs)
     for m in measures:
         if m.derived is not None:
-            out = out.withColumn(m.name, m.derived)
+            out = out.withColumn(m.name, m.derived())
     cols = [F.col(g) for g in group_by]
     for m in measures:
         c = F.col(m.name)

@@ -66,44 +66,44 @@ def _q(qid, base_fn, base_sql, measures, doc, group_by=()):
 
 # ---------------------------------------------------------------- fact_receipts
 RECEIPTS = [
-    M("B060", "b060_total_sales", F.sum("total_cents") / 100, "CAST(sum(total_cents) AS DOUBLE) / 100"),
-    M("B063", "b063_receipt_count", F.count(F.lit(1)), "count(*)"),
-    M("B065", "b065_total_returns", F.coalesce(F.sum(F.when(c("receipt_type") == "RETURN", c("total_cents"))), F.lit(0)) / 100,
+    M("B060", "b060_total_sales", lambda: F.sum("total_cents") / 100, "CAST(sum(total_cents) AS DOUBLE) / 100"),
+    M("B063", "b063_receipt_count", lambda: F.count(F.lit(1)), "count(*)"),
+    M("B065", "b065_total_returns", lambda: F.coalesce(F.sum(F.when(c("receipt_type") == "RETURN", c("total_cents"))), F.lit(0)) / 100,
       "CAST(coalesce(sum(CASE WHEN receipt_type = 'RETURN' THEN total_cents END), 0) AS DOUBLE) / 100"),
-    M("B064", "b064_average_basket_size", None, sql_divide0("b060_total_sales", "b063_receipt_count"), divide0(c("b060_total_sales"), c("b063_receipt_count"))),
-    M("B075", "b075_return_rate_pct", None, sql_divide0("abs(b065_total_returns)", "b060_total_sales"), divide0(F.abs(c("b065_total_returns")), c("b060_total_sales"))),
+    M("B064", "b064_average_basket_size", None, sql_divide0("b060_total_sales", "b063_receipt_count"), lambda: divide0(c("b060_total_sales"), c("b063_receipt_count"))),
+    M("B075", "b075_return_rate_pct", None, sql_divide0("abs(b065_total_returns)", "b060_total_sales"), lambda: divide0(F.abs(c("b065_total_returns")), c("b060_total_sales"))),
 ]
 _q("B_receipts", store_receipts, SQL_STORE_RECEIPTS, RECEIPTS, "fact_receipts measures (B060, B063–B065, B075).")
 
 # ---------------------------------------------------------------- fact_receipt_lines
 LINES = [
-    M("B052", "b052_total_units_sold", F.sum("quantity"), "CAST(sum(quantity) AS BIGINT)"),
-    M("B053", "b053_line_revenue", F.sum("ext_cents") / 100, "CAST(sum(ext_cents) AS DOUBLE) / 100"),
-    M("B055", "b055_total_lines", F.count(F.lit(1)), "count(*)"),
-    M("B056", "b056_line_cost", F.sum(c("quantity") * F.coalesce(c("cost_cents"), F.lit(0))) / 100, "CAST(sum(quantity * coalesce(cost_cents, 0)) AS DOUBLE) / 100"),
-    M("B_rc", "receipts_in_lines", F.count_distinct("receipt_id"), "count(DISTINCT receipt_id)"),
-    M("B054", "b054_average_unit_price", None, sql_divide0("b053_line_revenue", "b052_total_units_sold"), divide0(c("b053_line_revenue"), c("b052_total_units_sold"))),
-    M("B057", "b057_gross_profit", None, "(b053_line_revenue - b056_line_cost)", c("b053_line_revenue") - c("b056_line_cost")),
-    M("B058", "b058_gross_margin_pct", None, sql_divide0("(b053_line_revenue - b056_line_cost)", "b053_line_revenue"), divide0(c("b053_line_revenue") - c("b056_line_cost"), c("b053_line_revenue"))),
-    M("B059", "b059_units_per_receipt", None, sql_divide0("b052_total_units_sold", "receipts_in_lines"), divide0(c("b052_total_units_sold"), c("receipts_in_lines"))),
-    M("B066", "b066_net_sales", None, "b053_line_revenue", c("b053_line_revenue")),
+    M("B052", "b052_total_units_sold", lambda: F.sum("quantity"), "CAST(sum(quantity) AS BIGINT)"),
+    M("B053", "b053_line_revenue", lambda: F.sum("ext_cents") / 100, "CAST(sum(ext_cents) AS DOUBLE) / 100"),
+    M("B055", "b055_total_lines", lambda: F.count(F.lit(1)), "count(*)"),
+    M("B056", "b056_line_cost", lambda: F.sum(c("quantity") * F.coalesce(c("cost_cents"), F.lit(0))) / 100, "CAST(sum(quantity * coalesce(cost_cents, 0)) AS DOUBLE) / 100"),
+    M("B_rc", "receipts_in_lines", lambda: F.count_distinct("receipt_id"), "count(DISTINCT receipt_id)"),
+    M("B054", "b054_average_unit_price", None, sql_divide0("b053_line_revenue", "b052_total_units_sold"), lambda: divide0(c("b053_line_revenue"), c("b052_total_units_sold"))),
+    M("B057", "b057_gross_profit", None, "(b053_line_revenue - b056_line_cost)", lambda: c("b053_line_revenue") - c("b056_line_cost")),
+    M("B058", "b058_gross_margin_pct", None, sql_divide0("(b053_line_revenue - b056_line_cost)", "b053_line_revenue"), lambda: divide0(c("b053_line_revenue") - c("b056_line_cost"), c("b053_line_revenue"))),
+    M("B059", "b059_units_per_receipt", None, sql_divide0("b052_total_units_sold", "receipts_in_lines"), lambda: divide0(c("b052_total_units_sold"), c("receipts_in_lines"))),
+    M("B066", "b066_net_sales", None, "b053_line_revenue", lambda: c("b053_line_revenue")),
 ]
 _q("B_lines", lambda s, f: channel_lines(s, f, False), _lines_sql(False), LINES, "fact_receipt_lines measures (B052–B059, B066).")
 
 # ---------------------------------------------------------------- online
 ONLINE = [
-    M("B028", "b028_total_online_sales", F.sum("total_cents") / 100, "CAST(sum(total_cents) AS DOUBLE) / 100"),
-    M("B029", "b029_total_online_tax", F.sum("tax_cents") / 100, "CAST(sum(tax_cents) AS DOUBLE) / 100"),
-    M("B030", "b030_total_online_subtotal", F.sum("subtotal_cents") / 100, "CAST(sum(subtotal_cents) AS DOUBLE) / 100"),
-    M("B031", "b031_online_order_count", F.count(F.lit(1)), "count(*)"),
-    M("B032", "b032_average_online_order_value", None, sql_divide0("b028_total_online_sales", "b031_online_order_count"), divide0(c("b028_total_online_sales"), c("b031_online_order_count"))),
+    M("B028", "b028_total_online_sales", lambda: F.sum("total_cents") / 100, "CAST(sum(total_cents) AS DOUBLE) / 100"),
+    M("B029", "b029_total_online_tax", lambda: F.sum("tax_cents") / 100, "CAST(sum(tax_cents) AS DOUBLE) / 100"),
+    M("B030", "b030_total_online_subtotal", lambda: F.sum("subtotal_cents") / 100, "CAST(sum(subtotal_cents) AS DOUBLE) / 100"),
+    M("B031", "b031_online_order_count", lambda: F.count(F.lit(1)), "count(*)"),
+    M("B032", "b032_average_online_order_value", None, sql_divide0("b028_total_online_sales", "b031_online_order_count"), lambda: divide0(c("b028_total_online_sales"), c("b031_online_order_count"))),
 ]
 _q("B_online", online_orders, SQL_ONLINE, ONLINE, "fact_online_order_headers measures (B028–B032).")
 
 ONLINE_LINES = [
-    M("B036", "b036_total_online_units", F.sum("quantity"), "CAST(sum(quantity) AS BIGINT)"),
-    M("B037", "b037_online_line_revenue", F.sum("ext_cents") / 100, "CAST(sum(ext_cents) AS DOUBLE) / 100"),
-    M("B038", "b038_average_online_unit_price", None, sql_divide0("b037_online_line_revenue", "b036_total_online_units"), divide0(c("b037_online_line_revenue"), c("b036_total_online_units"))),
+    M("B036", "b036_total_online_units", lambda: F.sum("quantity"), "CAST(sum(quantity) AS BIGINT)"),
+    M("B037", "b037_online_line_revenue", lambda: F.sum("ext_cents") / 100, "CAST(sum(ext_cents) AS DOUBLE) / 100"),
+    M("B038", "b038_average_online_unit_price", None, sql_divide0("b037_online_line_revenue", "b036_total_online_units"), lambda: divide0(c("b037_online_line_revenue"), c("b036_total_online_units"))),
 ]
 _q("B_online_lines", lambda s, f: channel_lines(s, f, True), _lines_sql(True), ONLINE_LINES, "fact_online_order_lines measures (B036–B038).")
 
@@ -168,12 +168,12 @@ def payments(spark, sf):
 
 
 PAYMENTS = [
-    M("B042", "b042_total_amounts", F.sum("amount_cents") / 100, "CAST(sum(amount_cents) AS DOUBLE) / 100"),
-    M("B043", "b043_payment_count", F.count(F.lit(1)), "count(*)"),
-    M("B044", "b044_approved_payment_count", F.count_if(c("status") == "APPROVED"), "CAST(count_if(status = 'APPROVED') AS BIGINT)"),
-    M("B045", "b045_declined_payment_count", F.count_if(c("status") == "DECLINED"), "CAST(count_if(status = 'DECLINED') AS BIGINT)"),
-    M("B047", "b047_avg_payment_processing_ms", F.avg("processing_time_ms"), "avg(processing_time_ms)"),
-    M("B046", "b046_payment_decline_rate_pct", None, sql_divide0("b045_declined_payment_count", "b043_payment_count"), divide0(c("b045_declined_payment_count"), c("b043_payment_count"))),
+    M("B042", "b042_total_amounts", lambda: F.sum("amount_cents") / 100, "CAST(sum(amount_cents) AS DOUBLE) / 100"),
+    M("B043", "b043_payment_count", lambda: F.count(F.lit(1)), "count(*)"),
+    M("B044", "b044_approved_payment_count", lambda: F.count_if(c("status") == "APPROVED"), "CAST(count_if(status = 'APPROVED') AS BIGINT)"),
+    M("B045", "b045_declined_payment_count", lambda: F.count_if(c("status") == "DECLINED"), "CAST(count_if(status = 'DECLINED') AS BIGINT)"),
+    M("B047", "b047_avg_payment_processing_ms", lambda: F.avg("processing_time_ms"), "avg(processing_time_ms)"),
+    M("B046", "b046_payment_decline_rate_pct", None, sql_divide0("b045_declined_payment_count", "b043_payment_count"), lambda: divide0(c("b045_declined_payment_count"), c("b043_payment_count"))),
 ]
 _q("B_payments", payments, SQL_PAYMENTS, PAYMENTS, "fact_payments measures (B042–B047); processing ms is a role stand-in (order key mod 997).")
 
@@ -187,10 +187,10 @@ def promo_lines(spark, sf):
 
 
 PROMO = [
-    M("B048", "b048_promo_line_quantity", F.sum("quantity"), "CAST(sum(quantity) AS BIGINT)"),
-    M("B049", "b049_promo_line_discount_amount", F.sum("discount_cents") / 100, "CAST(sum(discount_cents) AS DOUBLE) / 100"),
-    M("B050", "b050_promotion_count", F.count_distinct("receipt_id", "promo_code"), "count(DISTINCT (receipt_id, promo_code))"),
-    M("B051", "b051_promotion_discount_amount", F.sum("discount_cents") / 100, "CAST(sum(discount_cents) AS DOUBLE) / 100"),
+    M("B048", "b048_promo_line_quantity", lambda: F.sum("quantity"), "CAST(sum(quantity) AS BIGINT)"),
+    M("B049", "b049_promo_line_discount_amount", lambda: F.sum("discount_cents") / 100, "CAST(sum(discount_cents) AS DOUBLE) / 100"),
+    M("B050", "b050_promotion_count", lambda: F.count_distinct("receipt_id", "promo_code"), "count(DISTINCT (receipt_id, promo_code))"),
+    M("B051", "b051_promotion_discount_amount", lambda: F.sum("discount_cents") / 100, "CAST(sum(discount_cents) AS DOUBLE) / 100"),
 ]
 _q("B_promotions", promo_lines, SQL_PROMO_LINES, PROMO, "fact_promo_lines / fact_promotions measures (B048–B051).")
 
@@ -255,15 +255,15 @@ def _sql_positions():
 
 
 INVENTORY = [
-    M("B111", "b111_total_units_on_hand", F.sum("on_hand"), "CAST(sum(on_hand) AS BIGINT)"),
-    M("B112", "b112_total_inventory_value", F.sum(c("on_hand") * F.coalesce(c("cost_cents"), F.lit(0))) / 100, "CAST(sum(on_hand * coalesce(cost_cents, 0)) AS DOUBLE) / 100"),
-    M("B113", "b113_total_inventory_retail_value", F.sum(c("on_hand") * F.coalesce(c("price_cents"), F.lit(0))) / 100, "CAST(sum(on_hand * coalesce(price_cents, 0)) AS DOUBLE) / 100"),
-    M("B114", "b114_store_sku_count", F.count_distinct("product_id"), "count(DISTINCT product_id)"),
-    M("B105", "b105_total_inventory_transactions", F.sum(F.lit(0)), "CAST(0 AS BIGINT)"),
-    M("B115", "b115_avg_store_units_per_sku", None, sql_divide0("b111_total_units_on_hand", "b114_store_sku_count"), divide0(c("b111_total_units_on_hand"), c("b114_store_sku_count"))),
-    M("B116", "b116_inventory_margin_value", None, "(b113_total_inventory_retail_value - b112_total_inventory_value)", c("b113_total_inventory_retail_value") - c("b112_total_inventory_value")),
+    M("B111", "b111_total_units_on_hand", lambda: F.sum("on_hand"), "CAST(sum(on_hand) AS BIGINT)"),
+    M("B112", "b112_total_inventory_value", lambda: F.sum(c("on_hand") * F.coalesce(c("cost_cents"), F.lit(0))) / 100, "CAST(sum(on_hand * coalesce(cost_cents, 0)) AS DOUBLE) / 100"),
+    M("B113", "b113_total_inventory_retail_value", lambda: F.sum(c("on_hand") * F.coalesce(c("price_cents"), F.lit(0))) / 100, "CAST(sum(on_hand * coalesce(price_cents, 0)) AS DOUBLE) / 100"),
+    M("B114", "b114_store_sku_count", lambda: F.count_distinct("product_id"), "count(DISTINCT product_id)"),
+    M("B105", "b105_total_inventory_transactions", lambda: F.sum(F.lit(0)), "CAST(0 AS BIGINT)"),
+    M("B115", "b115_avg_store_units_per_sku", None, sql_divide0("b111_total_units_on_hand", "b114_store_sku_count"), lambda: divide0(c("b111_total_units_on_hand"), c("b114_store_sku_count"))),
+    M("B116", "b116_inventory_margin_value", None, "(b113_total_inventory_retail_value - b112_total_inventory_value)", lambda: c("b113_total_inventory_retail_value") - c("b112_total_inventory_value")),
     M("B117", "b117_inventory_margin_pct", None, sql_divide0("(b113_total_inventory_retail_value - b112_total_inventory_value)", "b113_total_inventory_retail_value"),
-      divide0(c("b113_total_inventory_retail_value") - c("b112_total_inventory_value"), c("b113_total_inventory_retail_value"))),
+      lambda: divide0(c("b113_total_inventory_retail_value") - c("b112_total_inventory_value"), c("b113_total_inventory_retail_value"))),
 ]
 INVENTORY = [m for m in INVENTORY if m.mid != "B105"]
 _q("B_inventory", _positions, _sql_positions(), INVENTORY, "inventory_position_current measures (B111–B117).")
