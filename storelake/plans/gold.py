@@ -54,17 +54,20 @@ def a03_sales_product_minute(spark, sf):
     return finish(aggs.sales_by_time(d.lines(spark, sf), ["product_id"], "event_ts", "ext_cents", "minute"))
 
 
-def _store_positions(spark, sf):
-    led = d.ledger(spark, sf)
-    bal = windows.running_balance(led, ["store_id", "product_id"], "event_ts", "txn_id", "qty", bucket=F.to_date("event_ts"))
-    return aggs.latest_per_key(
-        bal.select("store_id", "product_id", "event_ts", "txn_id", F.col("balance").alias("on_hand"), F.col("event_ts").alias("as_of")),
-        ["store_id", "product_id"],
-        ["event_ts", "txn_id"],
-        ["on_hand", "as_of"],
+def current_positions(ledger, keys):
+    """Latest balance per key without a window: the balance after the last
+    movement of a running sum from 0 is the key's total, and its time is the
+    latest movement (max_by over the (ts, id) tiebreak). One partial aggregate,
+    so a hot key is pre-reduced in every map task."""
+    return ledger.groupBy(*keys).agg(
+        F.sum("qty").alias("on_hand"), F.max_by(F.col("event_ts"), F.struct("event_ts", "txn_id")).alias("as_of")
     )
 
 
+def _store_positions(spark, sf):
+    return current_positions(d.ledger(spark, sf), ["store_id", "product_id"])
+
+
 _SQL_POSITIONS = f"""(SELECT store_id, product_id, on_hand, as_of FROM (
   SELECT store_id, product_id, event_ts AS as_of, txn_id,
     CAST(sum(qty) OVER (PARTITION BY store_id, product_id ORDER BY event_ts, txn_id
@@ -94,15 +97,7 @@ def a05_dc_inventory_position_current(spark, sf):
     """DC positions: the ledger rolled to the supplier's nation as DC."""
     sup = d.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("store_id"), F.col("s_nationkey").cast("bigint").alias("dc_id"))
     led = d.ledger(spark, sf).join(sup, "store_id", "inner")
-    bal = windows.running_balance(led, ["dc_id", "product_id"], "event_ts", "txn_id", "qty", bucket=F.to_date("event_ts"))
-    return finish(
-        aggs.latest_per_key(
-            bal.select("dc_id", "product_id", "event_ts", "txn_id", F.col("balance").alias("on_hand"), F.col("event_ts").alias("as_of")),
-            ["dc_id", "product_id"],
-            ["event_ts", "txn_id"],
-            ["on_hand", "as_of"],
-        )
-    )
+    return finish(current_positions(led, ["dc_id", "product_id"]))
 
 
 SQL_TRUCK_MOVES = """(SELECT o_custkey AS truck_id,

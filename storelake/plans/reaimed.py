@@ -24,10 +24,9 @@ def reorder_signals(spark, sf, point: int = REORDER_POINT, top: int = 5):
     end-of-day balance is below the reorder point; quantity to refill to
     2 x point; priority by deficit % = (point - current) / point * 100:
     >= 50 URGENT, >= 25 HIGH, else NORMAL."""
-    bal = balances(spark, sf).withColumn("day", F.to_date("event_ts"))
-    eod = aggs.latest_per_key(bal, ["store_id", "product_id", "day"], ["event_ts", "txn_id"], ["balance", "event_ts"])
-    demand = bal.groupBy("store_id", "product_id", "day").agg(F.sum(F.when(F.col("qty") < 0, -F.col("qty")).otherwise(F.lit(0))).alias("demand"))
-    x = eod.join(demand, ["store_id", "product_id", "day"]).where(F.col("demand") > 0)
+    from storelake.plans.analytics import stock_daily
+
+    x = stock_daily(spark, sf).withColumnRenamed("sold", "demand").where(F.col("demand") > 0)
     x = windows.top_n_per_group(x, ["store_id", "day"], [F.desc("demand"), F.asc("product_id")], top, "demand_rank")
     x = x.where(F.col("balance") < point)
     deficit = (F.lit(point) - F.col("balance")) / F.lit(point) * 100
