@@ -19,8 +19,11 @@ c = F.col
 
 # ---------------------------------------------------------------- bases
 SQL_STORE_RECEIPTS = """(SELECT o_orderkey AS receipt_id, o_custkey AS customer_id, CAST(o_orderdate AS DATE) AS event_date,
-  CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents, CASE WHEN o_orderstatus = 'P' THEN 'RETURN' ELSE 'SALE' END AS receipt_type
-  FROM orders WHERE o_orderstatus <> 'O')"""
+  CAST(round(o_totalprice * 100) AS BIGINT) AS total_cents, CASE WHEN o_orderstatus = 'P' THEN 'RETURN' ELSE 'SALE' END AS receipt_type,
+  sub AS subtotal_cents, tax AS tax_cents
+  FROM orders JOIN (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS sub,
+    sum((CAST(round(l_extendedprice * 100) AS BIGINT) * CAST(round(l_tax * 10000) AS BIGINT) * 100 + 500000) // 1000000) AS tax FROM lineitem GROUP BY 1)
+  ON o_orderkey = l_orderkey WHERE o_orderstatus <> 'O')"""
 
 SQL_ONLINE = """(SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS event_date, sub AS subtotal_cents, tax AS tax_cents, sub + tax AS total_cents
   FROM orders JOIN (SELECT l_orderkey, sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS sub,
@@ -35,8 +38,15 @@ def _lines_sql(online: bool) -> str:
 
 
 def store_receipts(spark, sf):
+    """Store receipts (status F/P) with the header total and, from the line
+    rollup (R13), subtotal and basis-point tax."""
+    from storelake.plans.gold import order_totals
+
     r = d.receipts(spark, sf).where(c("status") != "O")
-    return r.select("receipt_id", "customer_id", "event_date", "total_cents", F.when(c("status") == "P", "RETURN").otherwise("SALE").alias("receipt_type"))
+    t = order_totals(spark, sf).select("receipt_id", "subtotal_cents", "tax_cents")
+    return r.join(t, "receipt_id").select(
+        "receipt_id", "customer_id", "event_date", "total_cents", F.when(c("status") == "P", "RETURN").otherwise("SALE").alias("receipt_type"), "subtotal_cents", "tax_cents"
+    )
 
 
 def online_orders(spark, sf):
@@ -67,13 +77,15 @@ def _q(qid, base_fn, base_sql, measures, doc, group_by=()):
 # ---------------------------------------------------------------- fact_receipts
 RECEIPTS = [
     M("B060", "b060_total_sales", lambda: F.sum("total_cents") / 100, "CAST(sum(total_cents) AS DOUBLE) / 100"),
+    M("B061", "b061_total_tax", lambda: F.sum("tax_cents") / 100, "CAST(sum(tax_cents) AS DOUBLE) / 100"),
+    M("B062", "b062_total_subtotal", lambda: F.sum("subtotal_cents") / 100, "CAST(sum(subtotal_cents) AS DOUBLE) / 100"),
     M("B063", "b063_receipt_count", lambda: F.count(F.lit(1)), "count(*)"),
     M("B065", "b065_total_returns", lambda: F.coalesce(F.sum(F.when(c("receipt_type") == "RETURN", c("total_cents"))), F.lit(0)) / 100,
       "CAST(coalesce(sum(CASE WHEN receipt_type = 'RETURN' THEN total_cents END), 0) AS DOUBLE) / 100"),
     M("B064", "b064_average_basket_size", None, sql_divide0("b060_total_sales", "b063_receipt_count"), lambda: divide0(c("b060_total_sales"), c("b063_receipt_count"))),
     M("B075", "b075_return_rate_pct", None, sql_divide0("abs(b065_total_returns)", "b060_total_sales"), lambda: divide0(F.abs(c("b065_total_returns")), c("b060_total_sales"))),
 ]
-_q("B_receipts", store_receipts, SQL_STORE_RECEIPTS, RECEIPTS, "fact_receipts measures (B060, B063–B065, B075).")
+_q("B_receipts", store_receipts, SQL_STORE_RECEIPTS, RECEIPTS, "fact_receipts measures (B060–B065, B075).")
 
 # ---------------------------------------------------------------- fact_receipt_lines
 LINES = [

@@ -314,6 +314,12 @@ def r21_graph_nodes(spark, sf):
     return out
 
 
+@register("R21", ORACLES["R21_nodes"])
+def r21_graph(spark, sf):
+    """Graph nodes (entity, id, label); edges are R21_edges."""
+    return r21_graph_nodes(spark, sf)
+
+
 @register(
     "R21_edges",
     """SELECT DISTINCT * FROM (
