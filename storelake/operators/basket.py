@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 
 
 def multi_item_baskets(df: DataFrame, basket: str, item: str, min_items: int = 2) -> DataFrame:
-    """Distinct (basket, item) rows of baskets holding >= min_items items."""
+    """Distinct (basket, item) rows of baskets holding >= min_items items
+    (one shuffle by basket: distinct and the basket size share it)."""
+    from pyspark.sql import Window
+
     b = df.select(basket, item).distinct()
-    big = b.groupBy(basket).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_items).select(basket)
-    return b.join(big, basket, "left_semi")
+    return b.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(basket))).where(F.col("_n") >= min_items).drop("_n")
 
 
 def item_support(df: DataFrame, basket: str, item: str) -> DataFrame:
@@ -34,7 +36,13 @@ def pair_rules(df: DataFrame, basket: str, item: str, min_support: float = 0.01,
     """Association rules A -> B over item pairs (M14, exact twin of FP-growth's
     2-item rules): support = n(AB)/N, confidence = n(AB)/n(A),
     lift = confidence / (n(B)/N); N = number of multi-item baskets."""
-    bm = multi_item_baskets(df, basket, item)
+    # The (basket, item) set feeds five branches (N, item counts, frequent
+    # items, both sides of the self join): materialise it once with a
+    # reliable checkpoint in spark.checkpoint.dir instead of rescanning.
+    from storelake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    bm = multi_item_baskets(df, basket, item).checkpoint(eager=True)
     n_baskets = bm.select(basket).distinct().count()
     counts = bm.groupBy(item).agg(F.count(F.lit(1)).alias("n_item"))
     frequent = counts.where(F.col("n_item") >= F.lit(min_support * n_baskets))
