@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from storelake.llm.bpe import bpe_encode_decode
 from storelake.llm.chat import format_chats
 from storelake.llm.exact_dedup import exact_dedup
+from storelake.llm.mixing import mix_sources
+from storelake.llm.near_dedup import near_duplicates
+from storelake.llm.quality import quality_scores
 from storelake.llm.registry import register
 
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+
+
+def vocabulary(name: str) -> str:
+    """Place of a public vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
@@ -54,3 +67,47 @@ FROM turns t JOIN kept k ON t.conv_id = k.conv_id GROUP BY t.conv_id, t.part, k.
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Collapse snapshots of logged conversations and render the maximal ones."""
     return format_chats(table(spark, sf_dir, "conversations"))
+
+
+OP2_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS said FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(said) >= 2 THEN list_transform(range(1, len(said)), lambda i: said[i] || ' ' || said[i + 1])
+                                      WHEN len(said) = 1 THEN said ELSE [] END) AS shingle FROM w
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), link AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id
+  HAVING 100 * count(*) >= 80 * ((SELECT n FROM n WHERE n.doc_id = a.doc_id) + (SELECT n FROM n WHERE n.doc_id = b.doc_id) - count(*))
+), reach(doc_id, other) AS (
+  SELECT doc_id, doc_id FROM w UNION SELECT r.doc_id, l.b FROM reach r JOIN link l ON r.other = l.a
+)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id, w.doc_id = min(r.other) AS kept
+FROM w JOIN reach r ON r.doc_id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
+
+@register("op2_near_dedup", OP2_SQL)
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 2-word shingle sets are 80 % alike."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@register("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document under the Kneser-Ney model of trusted text, and the decision."""
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("text_key")
+
+
+@register("op5_mixing")
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Pfair slot of every document."""
+    return mix_sources(table(spark, sf_dir, "documents")).drop("text_key")
+
+
+@register("op8_bpe")
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text they decode to, as digests."""
+    return bpe_encode_decode(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY), with_ids=False)
