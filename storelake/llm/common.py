@@ -5,14 +5,17 @@
                      executor costs a re-read and never a recomputation.
 * ``written_bucketed`` — the same, bucketed by a key: later joins and cogroups on
                      that key read the files in place and shuffle only the other side.
-* ``arrow_fn``     — the closure form ``mapInArrow`` wants.
+* ``ship``         — hand this package to the Python workers.
 * word and shingle hashing over a whole Arrow text column at once (numpy).
 """
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -20,13 +23,33 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import storelake
 from storelake.session import checkpoint_dir
 
 # --------------------------------------------------------------------------- shared folder
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the Python workers (once a Spark application), so that they
+    need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(storelake.__file__).parent
+    name = Path(tempfile.mkdtemp(prefix="storelake-")) / "storelake_package.zip"
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted(top.rglob("*.py")):
+            z.write(f, f.relative_to(top.parent))
+    sc.addPyFile(str(name))  # Spark's own file service carries it to the executors
+    _shipped.add(sc.applicationId)
+
+
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder of this run, on the storage every executor sees."""
+    ship(spark)
     return f"{checkpoint_dir(spark).rstrip('/')}/storelake-llm/{name}-{uuid.uuid4().hex}"
 
 
@@ -126,6 +149,17 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
         return mix(h + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
 
 
+def run_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of each run values[start:end) of 64-bit hashes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    fwd, back = _powers(len(values))
+    with np.errstate(over="ignore"):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix(values) * fwd[: len(values)], out=total[1:])
+        return mix((total[ends] - total[starts]) * back[starts] + (ends - starts).astype(np.uint64) * U(0xD6E8FEB86659FD93))
+
+
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends (bytes) of all words, and each document's range of words."""
     n = len(data)

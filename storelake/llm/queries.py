@@ -7,10 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from storelake.llm.bpe import bpe_encode_decode
 from storelake.llm.chat import format_chats
 from storelake.llm.exact_dedup import exact_dedup
+from storelake.llm.fingerprints import edited_pairs
+from storelake.llm.licenses import license_scan
 from storelake.llm.mixing import mix_sources
 from storelake.llm.near_dedup import near_duplicates
 from storelake.llm.quality import quality_scores
 from storelake.llm.registry import register
+from storelake.llm.secret_scan import secret_scan
+from storelake.llm.spans import span_dedup
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -111,3 +115,27 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document and the text they decode to, as digests."""
     return bpe_encode_decode(table(spark, sf_dir, "documents"), vocabulary(VOCABULARY), with_ids=False)
+
+
+@register("op4_fingerprints")
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, and how alike they are."""
+    return edited_pairs(table(spark, sf_dir, "documents"))
+
+
+@register("op9_licenses")
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered template spans of every document."""
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op7_secrets")
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document."""
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
+@register("op10_span_dedup")
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the sentences of spans that an earlier document has."""
+    return span_dedup(table(spark, sf_dir, "documents"))
