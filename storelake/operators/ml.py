@@ -44,11 +44,11 @@ def train_classifier(split: DataFrame, feats: Sequence[str], label: str, max_ite
     return model, metrics_frame(split, {"auc": auc, "precision": precision, "recall": recall, "f1": f1})
 
 
-def score(model, df: DataFrame, feats: Sequence[str]) -> DataFrame:
+def score(model, df: DataFrame, feats: Sequence[str], out_col: str = "churn_probability") -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     out = model.transform(_assemble(df, feats))
-    return out.withColumn("churn_probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
+    return out.withColumn(out_col, vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability")
 
 
 def train_regressor(train: DataFrame, feats: Sequence[str], label: str, max_iter: int = 100, max_depth: int = 6, step: float = 0.1, subsample: float = 0.8, seed: int = 42):

@@ -24,9 +24,21 @@ from storelake.sources import driver as d
 def recent(df, ts: str, seconds: int):
     """Rows with ts > max(ts) - seconds (the data-anchored ``ago``)."""
     m = scalar(df, F.max(ts))
+    if m is None:
+        return df
     return df.where(F.col(ts) > F.lit(m - timedelta(seconds=seconds)))
 
 
+def recent_minutes(df, ts: str, seconds: int):
+    """Rows whose minute is later than the latest minute - seconds: a bound on the raw
+    column, so it reaches the scan, equal to filtering the truncated minute."""
+    m = scalar(df, F.max(ts))
+    if m is None:
+        return df
+    first = m.replace(second=0, microsecond=0) - timedelta(seconds=seconds) + timedelta(minutes=1)
+    return df.where(F.col(ts) >= F.lit(first))
+
+
 def _ago(table_sql: str, ts: str, seconds: int) -> str:
     return f"{ts} > (SELECT max({ts}) FROM {table_sql}) - INTERVAL {seconds} SECOND"
 
@@ -289,33 +301,36 @@ def al02_urgent_reorder(spark, sf):
 @register(
     "AL03",
     f"""SELECT truck_id, CAST(dc_id AS DOUBLE) AS dc_id, CAST(store_id AS DOUBLE) AS store_id, shipment_id, site, round(dwell_minutes, 4) AS dwell_minutes
-FROM {SQL_LIFECYCLES} WHERE dwell_minutes > 90""",
+FROM {SQL_LIFECYCLES} l WHERE dwell_minutes > 90 AND {_ago(SQL_LIFECYCLES, 'arrival_ts', 300)}""",
 )
-def al03_truck_dwell_breach(spark, sf):
-    life = lifecycles(spark, sf).where(F.col("dwell_minutes") > 90)
+def al03_truck_dwell_breach(spark, sf, lookback: int = 300):
+    """Lifecycles that arrived in the last 5 minutes and dwelt over 90 minutes."""
+    life = recent(lifecycles(spark, sf), "arrival_ts", lookback).where(F.col("dwell_minutes") > 90)
     return finish(nullable_ids_as_double(life.select("truck_id", "dc_id", "store_id", "shipment_id", "site", "dwell_minutes"), ("dc_id", "store_id")), 4)
 
 
 # AL04 --------------------------------------------------------------------------
 @register(
     "AL04",
-    f"""SELECT store_id, zone, time_bucket(INTERVAL '5 minutes', event_ts) AS window_start, count(*) AS customers, round(avg(dwell_seconds), 4) AS avg_dwell
-FROM {SQL_SENSORS} GROUP BY ALL HAVING count(*) > 50 OR avg(dwell_seconds) > 600""",
+    f"""SELECT store_id, zone, count(*) AS customers, round(avg(dwell_seconds), 4) AS avg_dwell
+FROM {SQL_SENSORS} s WHERE {_ago(SQL_SENSORS, 'event_ts', 300)} GROUP BY ALL HAVING count(*) > 50 OR avg(dwell_seconds) > 600""",
 )
-def al04_zone_overcrowded(spark, sf):
-    """Zones with > 50 customers or average dwell > 600 s in a 5-minute window."""
-    s = d.sensors(spark, sf)
-    g = s.groupBy("store_id", "zone", F.window("event_ts", "5 minutes").start.alias("window_start")).agg(
-        F.count(F.lit(1)).alias("customers"), F.avg("dwell_seconds").alias("avg_dwell")
-    )
-    return finish(g.where((F.col("customers") > 50) | (F.col("avg_dwell") > 600)), 4)
+def al04_zone_overcrowded(spark, sf, lookback: int = 300):
+    """Zones with > 50 customers or average dwell > 600 s in the last 5 minutes."""
+    return finish(overcrowded(recent(d.sensors(spark, sf), "event_ts", lookback)), 4)
+
+
+def overcrowded(sensors):
+    """The zones of a window of sensor rows that hold too many customers or hold them too long."""
+    g = sensors.groupBy("store_id", "zone").agg(F.count(F.lit(1)).alias("customers"), F.avg("dwell_seconds").alias("avg_dwell"))
+    return g.where((F.col("customers") > 50) | (F.col("avg_dwell") > 600))
 
 
 # AL05 --------------------------------------------------------------------------
-@register("AL05", f"SELECT receipt_id, customer_id, event_ts, total_cents FROM {SQL_RECEIPTS} WHERE total_cents > 20000")
-def al05_high_value_receipt(spark, sf):
-    """Receipts above 200.00."""
-    return d.receipts(spark, sf).where(F.col("total_cents") > 20000).select("receipt_id", "customer_id", "event_ts", "total_cents")
+@register("AL05", f"SELECT receipt_id, customer_id, event_ts, total_cents FROM {SQL_RECEIPTS} r WHERE total_cents > 20000 AND {_ago(SQL_RECEIPTS, 'event_ts', 300)}")
+def al05_high_value_receipt(spark, sf, lookback: int = 300):
+    """Receipts of the last 5 minutes above 200.00."""
+    return recent(d.receipts(spark, sf), "event_ts", lookback).where(F.col("total_cents") > 20000).select("receipt_id", "customer_id", "event_ts", "total_cents")
 
 
 # DR01 --------------------------------------------------------------------------
@@ -326,8 +341,7 @@ SELECT store_id, CAST(sum(total_cents) AS BIGINT) AS sales_cents FROM m WHERE {_
 GROUP BY 1 ORDER BY sales_cents DESC, store_id LIMIT 10""",
 )
 def dr01_top_stores(spark, sf):
-    a = d.receipts(spark, sf, with_store=True).withColumn("ts", aggs.bucket_ts("event_ts", "minute"))
-    a = recent(a, "ts", 3600)
+    a = recent_minutes(d.receipts(spark, sf, with_store=True), "event_ts", 3600)
     return a.groupBy("store_id").agg(F.sum("total_cents").alias("sales_cents")).orderBy(F.desc("sales_cents"), "store_id").limit(10)
 
 
@@ -374,22 +388,22 @@ def dr07_top_products(spark, sf):
 # DR08 --------------------------------------------------------------------------
 @register(
     "DR08",
-    f"""SELECT store_id, count(*) AS stockouts FROM {_SQL_STOCKOUTS} s WHERE {_ago(_SQL_STOCKOUTS, 'event_ts', 86400 * 30)}
+    f"""SELECT store_id, count(*) AS stockouts FROM {_SQL_STOCKOUTS} s WHERE {_ago(_SQL_STOCKOUTS, 'event_ts', 86400)}
 GROUP BY 1 ORDER BY stockouts DESC, store_id LIMIT 10""",
 )
-def dr08_stockouts_per_store(spark, sf):
-    s = recent(stockouts(spark, sf), "event_ts", 86400 * 30)
+def dr08_stockouts_per_store(spark, sf, lookback: int = 86400):
+    s = recent(stockouts(spark, sf), "event_ts", lookback)
     return s.groupBy("store_id").agg(F.count(F.lit(1)).alias("stockouts")).orderBy(F.desc("stockouts"), "store_id").limit(10)
 
 
 # DR09 --------------------------------------------------------------------------
 @register(
     "DR09",
-    f"""SELECT zone, count(*) AS customers FROM {SQL_SENSORS} s WHERE {_ago(SQL_SENSORS, 'event_ts', 3600)}
+    f"""SELECT zone, count(*) AS customers FROM {SQL_SENSORS} s WHERE {_ago(SQL_SENSORS, 'event_ts', 1800)}
 GROUP BY 1 ORDER BY customers DESC, zone LIMIT 10""",
 )
-def dr09_customers_per_zone(spark, sf):
-    s = recent(d.sensors(spark, sf), "event_ts", 3600)
+def dr09_customers_per_zone(spark, sf, lookback: int = 1800):
+    s = recent(d.sensors(spark, sf), "event_ts", lookback)
     return s.groupBy("zone").agg(F.count(F.lit(1)).alias("customers")).orderBy(F.desc("customers"), "zone").limit(10)
 
 
@@ -638,11 +652,11 @@ def dp12_rejection_reasons(spark, sf):
 
 
 # PJ01 --------------------------------------------------------------------------
-@register("PJ01", "SELECT event_type AS source, count(*) AS rows, max(ts) AS latest FROM events GROUP BY 1")
-def pj01_readiness(spark, sf):
-    """Rows and latest timestamp per live event table (one per event type)."""
-    e = d.table(spark, sf, "events")
-    return aggs.freshness({t: e.where(F.col("event_type") == t) for t in ("view", "click", "purchase", "signup", "error")}, "ts")
+@register("PJ01", f"SELECT event_type AS source, count(*) AS rows, max(ts) AS latest FROM events WHERE {_ago('events', 'ts', 600)} GROUP BY 1")
+def pj01_readiness(spark, sf, lookback: int = 600):
+    """Rows and latest timestamp of the last 10 minutes per live event table (one per event type)."""
+    e = recent(d.table(spark, sf, "events"), "ts", lookback)
+    return e.groupBy(F.col("event_type").alias("source")).agg(F.count(F.lit(1)).alias("rows"), F.max("ts").alias("latest"))
 
 
 # PJ02 --------------------------------------------------------------------------
@@ -666,36 +680,41 @@ def pj02_events_per_stage(spark, sf):
     f"""SELECT store_id, product_id, reason, count(*) AS movements, CAST(sum(qty) AS BIGINT) AS net_delta, max(event_ts) AS latest
 FROM (SELECT l_suppkey AS store_id, l_partkey AS product_id, l_returnflag AS reason, l_shipdate AS event_ts,
   CAST(CASE WHEN l_returnflag = 'R' THEN l_quantity ELSE -l_quantity END AS BIGINT) AS qty FROM lineitem)
-GROUP BY ALL ORDER BY movements DESC, abs(net_delta) DESC, store_id, product_id, reason LIMIT 25""",
+WHERE {_ago('(SELECT l_shipdate AS event_ts FROM lineitem)', 'event_ts', 1800)}
+GROUP BY ALL ORDER BY latest DESC, store_id, product_id, reason LIMIT 25""",
 )
-def pj03_inventory_movement(spark, sf):
-    g = d.ledger(spark, sf).groupBy("store_id", "product_id", "reason").agg(
+def pj03_inventory_movement(spark, sf, lookback: int = 1800):
+    """Movements of the last 30 minutes per store, product and reason; the 25 latest."""
+    g = recent(d.ledger(spark, sf), "event_ts", lookback).groupBy("store_id", "product_id", "reason").agg(
         F.count(F.lit(1)).alias("movements"), F.sum("qty").alias("net_delta"), F.max("event_ts").alias("latest")
     )
-    return g.orderBy(F.desc("movements"), F.desc(F.abs("net_delta")), "store_id", "product_id", "reason").limit(25)
+    return g.orderBy(F.desc("latest"), "store_id", "product_id", "reason").limit(25)
 
 
 # PJ04 --------------------------------------------------------------------------
 @register("PJ04", None)
-def pj04_replenishment_signals(spark, sf):
-    """Reorder and stockout signals by type/store/product, top 25."""
+def pj04_replenishment_signals(spark, sf, lookback: int = 1800):
+    """Reorder and stockout signals of the last 30 minutes by type/store/product, the 25 latest."""
     from storelake.plans.reaimed import reorder_signals
 
     r = reorder_signals(spark, sf).select("store_id", "product_id", "event_ts")
     s = stockouts(spark, sf).select("store_id", "product_id", "event_ts")
     u = r.withColumn("signal", F.lit("reorder")).unionByName(s.withColumn("signal", F.lit("stockout")))
+    u = recent(u, "event_ts", lookback)
     g = u.groupBy("signal", "store_id", "product_id").agg(F.count(F.lit(1)).alias("signals"), F.max("event_ts").alias("latest"))
-    return g.orderBy(F.desc("signals"), "signal", "store_id", "product_id").limit(25)
+    return g.orderBy(F.desc("latest"), "signal", "store_id", "product_id").limit(25)
 
 
 # PJ05 --------------------------------------------------------------------------
 @register(
     "PJ05",
-    f"""SELECT count(*) AS lifecycles, max(arrival_ts) AS latest, CAST(count_if(dwell_minutes > 90) AS BIGINT) AS breaches FROM {SQL_LIFECYCLES}""",
+    f"""SELECT count(*) AS lifecycles, max(departure_ts) AS latest, CAST(count_if(dwell_minutes > 90) AS BIGINT) AS breaches FROM {SQL_LIFECYCLES} l
+WHERE {_ago(SQL_LIFECYCLES, 'arrival_ts', 1800)}""",
 )
-def pj05_truck_readiness(spark, sf):
-    life = lifecycles(spark, sf)
-    return life.agg(F.count(F.lit(1)).alias("lifecycles"), F.max("arrival_ts").alias("latest"), F.count_if(F.col("dwell_minutes") > 90).alias("breaches"))
+def pj05_truck_readiness(spark, sf, lookback: int = 1800):
+    """Lifecycles that arrived in the last 30 minutes: rows, latest departure, SLA breaches."""
+    life = recent(lifecycles(spark, sf), "arrival_ts", lookback)
+    return life.agg(F.count(F.lit(1)).alias("lifecycles"), F.max("departure_ts").alias("latest"), F.count_if(F.col("dwell_minutes") > 90).alias("breaches"))
 
 
 # PJ06 --------------------------------------------------------------------------
@@ -703,8 +722,9 @@ def pj05_truck_readiness(spark, sf):
     "PJ06",
     f"""WITH m AS (SELECT store_id, date_trunc('minute', event_ts) AS ts, CAST(sum(total_cents) AS DOUBLE) / 100 AS total_sales, count(*) AS receipts
   FROM {SQL_RECEIPTS_STORE} GROUP BY ALL)
-SELECT * FROM m WHERE {_ago('m', 'ts', 3 * 86400)}""",
+SELECT * FROM m WHERE {_ago('m', 'ts', 3600)}""",
 )
-def pj06_recent_minutes(spark, sf):
-    a = aggs.sales_by_time(d.receipts(spark, sf, with_store=True), ["store_id"], "event_ts", "total_cents", "minute").drop("avg_basket")
-    return recent(a, "ts", 3 * 86400)
+def pj06_recent_minutes(spark, sf, lookback: int = 3600):
+    """Minute buckets of the last hour per store."""
+    r = recent_minutes(d.receipts(spark, sf, with_store=True), "event_ts", lookback)
+    return aggs.sales_by_time(r, ["store_id"], "event_ts", "total_cents", "minute").drop("avg_basket")

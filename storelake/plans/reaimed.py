@@ -378,4 +378,5 @@ ORACLES["AL02"] = f"""SELECT * FROM {_SQL_REORDERS} r WHERE priority = 'URGENT'
 ORACLES["PJ04"] = f"""SELECT signal, store_id, product_id, count(*) AS signals, max(event_ts) AS latest FROM (
   SELECT 'reorder' AS signal, store_id, product_id, event_ts FROM {_SQL_REORDERS}
   UNION ALL SELECT 'stockout', store_id, product_id, event_ts FROM {_SQL_STOCKOUTS})
-GROUP BY ALL ORDER BY signals DESC, signal, store_id, product_id LIMIT 25"""
+WHERE event_ts > (SELECT greatest((SELECT max(event_ts) FROM {_SQL_REORDERS}), (SELECT max(event_ts) FROM {_SQL_STOCKOUTS}))) - INTERVAL 1800 SECOND
+GROUP BY ALL ORDER BY latest DESC, signal, store_id, product_id LIMIT 25"""

@@ -205,17 +205,16 @@ def x14_discounts(spark, sf):
     )
 
 
-def promo_rules(spark):
+def promo_rules():
     """A small promotion catalogue (code, first month, last
-    month, minimum spend in cents, minimum quantity), as a DataFrame."""
-    rows = [
+    month, minimum spend in cents, minimum quantity)."""
+    return [
         ("WINTER10", 1, 2, 0, 1),
         ("SPRING5", 3, 5, 5000000, 1),
         ("SUMMER15", 6, 8, 0, 30),
         ("FALL20", 9, 11, 10000000, 20),
         ("HOLIDAY25", 12, 12, 0, 1),
     ]
-    return spark.createDataFrame(rows, "code string, m_from int, m_to int, min_cents long, min_qty long")
 
 
 @register(
@@ -226,13 +225,14 @@ SELECT receipt_id, line_num, product_id, store_id, coalesce(r.code, 'NONE') AS e
 LEFT JOIN r ON month(l.event_ts) BETWEEN r.m_from AND r.m_to AND l.ext_cents >= r.min_cents AND l.quantity >= r.min_qty""",
 )
 def x15_promo_eligibility(spark, sf):
-    """Eligibility by month, minimum spend and quantity against the rules
-    table (5 rows, broadcast by construction); fallback code NONE. At most
-    one rule per month, so the join never multiplies lines."""
-    li = d.lines(spark, sf).withColumn("m", F.month("event_ts"))
-    r = F.broadcast(promo_rules(spark))
-    cond = (F.col("m") >= r.m_from) & (F.col("m") <= r.m_to) & (F.col("ext_cents") >= r.min_cents) & (F.col("quantity") >= r.min_qty)
-    return li.join(r, cond, "left").select("receipt_id", "line_num", "product_id", "store_id", F.coalesce("code", F.lit("NONE")).alias("eligible_code"))
+    """Eligibility by month, minimum spend and quantity as one CASE over the
+    rules (at most one rule a month); fallback code NONE."""
+    li = d.lines(spark, sf)
+    code = F.lit("NONE")
+    for name, m_from, m_to, cents, qty in promo_rules():
+        fits = F.month("event_ts").between(m_from, m_to) & (F.col("ext_cents") >= cents) & (F.col("quantity") >= qty)
+        code = F.when(fits, F.lit(name)).otherwise(code)
+    return li.select("receipt_id", "line_num", "product_id", "store_id", code.alias("eligible_code"))
 
 
 @register(

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from storelake.operators import aggs
-from storelake.plans.common import SQL_LINES, SQL_RECEIPTS, finish
+from storelake.plans.common import SQL_LINES, SQL_RECEIPTS, finish, scalar
 from storelake.plans.registry import register
 from storelake.sources import driver as d
 
@@ -80,15 +82,17 @@ def u05_distinct(spark, sf):
 
 @register(
     "U06",
-    """SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type) FILTER (WHERE ts < TIMESTAMP '2024-01-15'))), ',') || '|' ||
+    """SELECT user_id, array_to_string(list_sort(list_distinct(list(event_type) FILTER (WHERE ts < (SELECT min(ts) FROM events) + INTERVAL 14 DAY))), ',') || '|' ||
   array_to_string(list_sort(list_distinct(list(event_type))), ',') AS type_sets FROM events GROUP BY 1""",
 )
 def u06_array_union(spark, sf):
-    """Per user: the sorted set of event types seen in the first two weeks,
-    and array_union of that set with all later types (set semantics)."""
+    """Per user: the sorted set of event types seen in the table's first two
+    weeks, and array_union of that set with all later types (set semantics)."""
     e = d.table(spark, sf, "events")
+    first = scalar(e, F.min("ts"))
+    early_end = F.lit(first + timedelta(days=14) if first else None).cast("timestamp_ntz")
     g = e.groupBy("user_id").agg(
-        F.array_sort(F.collect_set(F.when(F.col("ts") < F.lit("2024-01-15").cast("timestamp_ntz"), F.col("event_type")))).alias("early"),
+        F.array_sort(F.collect_set(F.when(F.col("ts") < early_end, F.col("event_type")))).alias("early"),
         F.array_sort(F.collect_set("event_type")).alias("all_types"),
     )
     return g.select("user_id", F.concat_ws("|", F.array_join("early", ","), F.array_join(F.array_sort(F.array_union("early", "all_types")), ",")).alias("type_sets"))
@@ -143,11 +147,17 @@ def t03_top_rules(spark, sf):
     return finish(r, 6).orderBy(F.desc("lift"), "antecedent", "consequent").limit(10)
 
 
-@register("T04", None)
+def _sql_t04() -> str:
+    from storelake.plans.analytics import _M02_SRC, _sql_anomaly
+
+    return _sql_anomaly(_M02_SRC)
+
+
+@register("T04", _sql_t04())
 def t04_severity_order(spark, sf):
     """Alerts ordered by severity rank, |score| desc, time (not by the
     severity text, G08)."""
     from storelake.plans.analytics import m02_velocity
 
     a = m02_velocity(spark, sf)
-    return a.orderBy("severity_rank", F.desc(F.abs("score")), "hour", "entity_id").limit(20)
+    return a.orderBy("severity_rank", F.desc(F.abs("score")), "hour", "entity_id")

@@ -78,24 +78,20 @@ def st03_incremental_window_aggregates(spark, sf):
 @register("ST04", None)
 def st04_latest_per_key(spark, sf):
     """Incremental latest-per-key view: each micro-batch's arg_max rows are
-    written to its own batch partition; the view is the latest batch per key."""
+    written to its own batch partition; the view is the arg_max over all of them,
+    so rows that arrive out of order never replace a later one."""
     e = st.table_stream(spark, sf, "events")
 
     def writer(df, bid, out):
         latest = aggs.latest_per_key(df, ["user_id"], ["ts", "event_id"], ["event_id", "ts", "event_type", "value", "props"])
         st.batch_keyed_upsert(latest, bid, out)
 
-    # read back through the latest-batch view (a key may appear in many batches)
-    return _latest_view(spark, e, writer, st.run_folder(spark, "st04"))
+    return latest_view(spark, e, writer, st.run_folder(spark, "st04"))
 
 
-def _latest_view(spark, stream, writer, base):
-    out, ckpt = f"{base}/out", f"{base}/_checkpoint"
-    q = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).foreachBatch(lambda df, bid: writer(df, bid, out)).start()
-    q.awaitTermination()
-    v = st.latest_by_batch(spark, out, ["user_id"])
-    # a later batch may carry an older row for a key: keep the true latest
-    return aggs.latest_per_key(v, ["user_id"], ["ts", "event_id"], ["event_id", "ts", "event_type", "value", "props"])
+def latest_view(spark, stream, writer, base):
+    out = st.run_batches(stream, base, writer)
+    return aggs.latest_per_key(spark.read.parquet(out), ["user_id"], ["ts", "event_id"], ["event_id", "ts", "event_type", "value", "props"])
 
 
 @register("ST05", None)
@@ -137,7 +133,8 @@ def st07_typed_fanout(spark, sf):
     e = st.table_stream(spark, sf, "events")
 
     def route(df, bid, out):
-        df.write.mode("append").partitionBy("event_type").parquet(f"{out}/batch_id={bid}")
+        # a replayed batch rewrites its own folder
+        df.write.mode("overwrite").partitionBy("event_type").parquet(f"{out}/batch_id={bid}")
 
     routed = st.run_to_table(e, "st07", writer=route)
     return routed.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
@@ -159,25 +156,45 @@ def st08_duplicate_safe_replay(spark, sf):
 ORACLES["ST08"] = "SELECT * FROM events"
 
 
-@register("ST09", None)
-def st09_late_rows(spark, sf):
-    """Late-data rule: rows at or below the watermark go to a late table.
-    Over one replay of the table nothing is late; returns counts per class."""
-    e = st.table_stream(spark, sf, "events")
-    marks: dict[str, object] = {"wm": None}
+def deliveries(events, n: int = 3, every: int = 10) -> list:
+    """``events`` as ``n`` deliveries by time, one event in ``every`` a delivery late."""
+    lo, hi = events.agg(F.unix_micros(F.min("ts").cast("timestamp")), F.unix_micros(F.max("ts").cast("timestamp"))).first()
+    if lo is None:
+        return []
+    part = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - lo) * n / (hi - lo + 1)).cast("int")
+    due = F.least(part + F.when(F.col("event_id") % every == 0, 1).otherwise(0), F.lit(n - 1))
+    return [events.where(due == k) for k in range(n)]
 
-    def writer(df, bid, out):
-        on_time, late = st.split_late(df, "ts", marks["wm"])
-        on_time.withColumn("class", F.lit("on_time")).unionByName(late.withColumn("class", F.lit("late"))).write.mode("overwrite").parquet(f"{out}/batch_id={bid}")
-        m = df.agg(F.max("ts")).first()[0]
-        if m is not None:
-            marks["wm"] = m if marks["wm"] is None else max(marks["wm"], m)
 
-    out = st.run_to_table(e, "st09", writer=writer)
-    return out.groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
+def mark_late(df, bid: int, out: str) -> None:
+    """foreachBatch of ST09: rows at or below the mark (the latest time of all earlier
+    batches) are late. Every batch writes its mark beside its rows in the shared folder, so a
+    restart or a replayed batch finds the marks of the batches before it and rewrites only its own."""
+    spark, marks, wm = df.sparkSession, f"{out}-marks", None
+    if bid > 0:
+        wm = spark.read.schema("mark timestamp_ntz, batch_id long").parquet(marks).where(F.col("batch_id") < bid).agg(F.max("mark")).first()[0]
+    on_time, late = st.split_late(df, "ts", wm)
+    on_time.withColumn("class", F.lit("on_time")).unionByName(late.withColumn("class", F.lit("late"))).write.mode("overwrite").parquet(f"{out}/batch_id={bid}")
+    df.agg(F.max("ts").alias("mark")).write.mode("overwrite").parquet(f"{marks}/batch_id={bid}")
 
 
-ORACLES["ST09"] = "SELECT 'on_time' AS class, count(*) AS rows FROM events"
+@register("ST09", None)
+def st09_late_rows(spark, sf):
+    """Late-data rule over a replay of the table in three deliveries with one
+    event in ten a delivery late; returns counts per class. Each delivery is one
+    run of the stream on the same checkpoint."""
+    events = d.table(spark, sf, "events")
+    base = st.run_folder(spark, "st09")
+    for part in deliveries(events):
+        part.write.mode("append").parquet(f"{base}/in")
+        st.run_batches(st.dir_stream(spark, f"{base}/in", events.schema, max_files=None), base, mark_late)
+    return spark.read.parquet(f"{base}/out").groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
+
+
+ORACLES["ST09"] = """WITH b AS (SELECT min(epoch_us(ts)) AS lo, max(epoch_us(ts)) AS hi FROM events),
+e AS (SELECT ts, least(CAST(floor((epoch_us(ts) - lo) * 3 / (hi - lo + 1)) AS INTEGER) + CASE WHEN event_id % 10 = 0 THEN 1 ELSE 0 END, 2) AS due FROM events, b),
+m AS (SELECT due, max(max(ts)) OVER (ORDER BY due ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM e GROUP BY due)
+SELECT CASE WHEN ts <= mark THEN 'late' ELSE 'on_time' END AS class, count(*) AS rows FROM e JOIN m USING (due) GROUP BY 1"""
 
 
 @register("ST10", None)

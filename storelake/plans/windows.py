@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from storelake.functions import calendar
@@ -324,7 +325,8 @@ def w19_trailing_windows(spark, sf):
 )
 def w20_rank_by_price(spark, sf):
     li = d.lines(spark, sf).select("receipt_id", "line_num", "product_id", "store_id", "unit_cents")
-    return windows.top_n_per_group(li, ["receipt_id"], ["unit_cents", "product_id", "line_num", "store_id"], n=10**9, rank_col="price_rank")
+    by_price = Window.partitionBy("receipt_id").orderBy("unit_cents", "product_id", "line_num", "store_id")
+    return li.withColumn("price_rank", F.row_number().over(by_price))
 
 
 # R01 ---------------------------------------------------------------------------

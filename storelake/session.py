@@ -68,11 +68,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's spark.checkpoint.dir; only when unset (local tests)
-    create a scratch folder under /tmp."""
+    """Use the cluster's spark.checkpoint.dir. Only a session that runs in one process
+    (``local[...]``: tests, the bench) may go without; it gets a scratch folder. On a
+    cluster a folder of one machine would lose data, so there it is an error."""
     sc = spark.sparkContext
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="storelake-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc.getCheckpointDir() is None:

@@ -74,6 +74,15 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", writer: Cal
         return spark.createDataFrame([], stream.schema)
 
 
+def run_batches(stream: DataFrame, base: str, writer: Callable) -> str:
+    """Run what is there of ``stream`` through ``writer(df, batch_id, out)`` with the
+    checkpoint in ``base``; returns ``out``. A second call goes on where the first ended."""
+    out = f"{base}/out"
+    q = stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).foreachBatch(lambda df, bid: writer(df, bid, out)).start()
+    q.awaitTermination()
+    return out
+
+
 def batch_keyed_upsert(df: DataFrame, batch_id: int, out: str) -> None:
     """foreachBatch: write this micro-batch's rows to ``out/batch_id=<id>``
     (overwrite that partition only; a replayed batch rewrites itself)."""
