@@ -33,10 +33,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelake.llm.common import buffers, plain, run_dir, slices, span_hashes, written_bucketed
+from storelake.llm.common import STEP, buffers, plain, run_dir, slices, span_hashes, written_bucketed
 
 BLOCK_BYTES = 16 << 20
-_STEP = 2 << 20  # bytes of text that are tokenised at once
 
 # --------------------------------------------------------------------------- pre-tokens
 
@@ -227,7 +226,7 @@ def _blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         for batch in batches:
             ids = batch.column(0).to_pylist()
             data, offsets = buffers(plain(batch.column(1)))
-            for i, j in slices(offsets, _STEP):
+            for i, j in slices(offsets, STEP):
                 block.add(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 if block.bytes >= block_bytes:
                     yield block.row(number)

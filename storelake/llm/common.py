@@ -30,12 +30,19 @@ from storelake.session import checkpoint_dir
 
 
 _shipped: set[str] = set()
+# Text rows are large: small Arrow batches bound what a task and its worker hold at once.
+_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Bytes of text whose words are hashed at once (the arrays behind it take some 30 times as much).
+STEP = 512 << 10
 
 
 def ship(spark: SparkSession) -> None:
     """Give this package to the Python workers (once a Spark application), so that they
-    need no copy of their own."""
+    need no copy of their own. Sets what the session leaves unset."""
     sc = spark.sparkContext
+    for k, v in _SETTINGS.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
     if sc.applicationId in _shipped:
         return
     top = Path(storelake.__file__).parent
@@ -76,6 +83,12 @@ def text_of(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame, **own) -> DataFrame:
+    """The rows of ``docs`` as one column ``row`` beside columns of our own, whatever names ``docs`` has.
+    ``select("row.*")`` gives them back."""
+    return docs.select(F.struct("*").alias("row"), *(c.alias(k) for k, c in own.items()))
+
+
 # --------------------------------------------------------------------------- Arrow text columns
 
 

@@ -26,7 +26,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelake.llm.common import run_dir, text_of, written
+from storelake.llm.common import packed, run_dir, text_of, written
 
 # Fixed by the contract: the characters deleted before texts are compared.
 SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
@@ -113,11 +113,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_first_of_equal(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
-    decided = exact_dedup(docs, **options)
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
-    stay = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    same_row = Window.partitionBy("_id", "_sha").orderBy(F.desc("_n"))
-    marked = docs.select("*", F.col(id_col).cast("long").alias("_id"), F.sha2(normal_form(text_of(text_col)), 256).alias("_sha"), F.length(text_of(text_col)).alias("_n"))
-    one = marked.withColumn("_row", F.row_number().over(same_row)).where("_row = 1")
-    null_safe = one["_id"].eqNullSafe(stay["_id"]) & (one["_sha"] == stay["_sha"])
-    return one.join(stay, null_safe, "left_semi").select(*docs.columns)
+    stay = exact_dedup(docs, **options).where("kept").select("doc_id", "text_sha256")
+    t = text_of(text_col)
+    marked = packed(docs, id=F.col(id_col).cast("long"), sha=F.sha2(normal_form(t), 256), size=F.length(t))
+    same_row = Window.partitionBy("id", "sha").orderBy(F.desc("size"))
+    one = marked.withColumn("copy", F.row_number().over(same_row)).where("copy = 1")
+    same = one["id"].eqNullSafe(stay["doc_id"]) & (one["sha"] == stay["text_sha256"])
+    return one.join(stay, same, "left_semi").select("row.*")

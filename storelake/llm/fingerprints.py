@@ -23,12 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelake.llm.common import LOWER, NOT_SPACE, buffers, plain, shingle_hashes, ship, slices, span_hashes, text_of, words
+from storelake.llm.common import LOWER, NOT_SPACE, STEP, buffers, plain, shingle_hashes, ship, slices, span_hashes, text_of, words
 
 K, SIZE = 5, 128
 _BYTES = 6
 _FULL = float(1 << 48)
-_STEP = 2 << 20
 
 # --------------------------------------------------------------------------- sketches
 
@@ -37,7 +36,7 @@ def sketches(texts: pa.Array, k: int = K, size: int = SIZE) -> list[np.ndarray]:
     """The bottom-k sketch of each text (sorted 48-bit hashes)."""
     data, offsets = buffers(texts)
     out: list[np.ndarray] = []
-    for i, j in slices(offsets, _STEP):
+    for i, j in slices(offsets, STEP):
         low = LOWER[data[offsets[i] : offsets[j]]]
         starts, ends, ranges = words(low, offsets[i : j + 1] - offsets[i], NOT_SPACE)
         h, bounds = shingle_hashes(span_hashes(low, starts, ends), ranges, k)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from storelake.llm.common import LOWER, buffers, plain, ship, slices, span_hashes, text_of, words
+from storelake.llm.common import LOWER, STEP, buffers, plain, ship, slices, span_hashes, text_of, words
 
 # Fixed values (contract): base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -59,7 +59,6 @@ IS_WORD[:0x80] = False
 IS_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = True
 
 ANCHOR, GAP, COVER = 3, 3, 0.75
-_STEP = 2 << 20
 
 
 class SuffixAutomaton:
@@ -214,7 +213,7 @@ def _scan(templates: dict, base: dict, anchor: int, gap: int, cover: float) -> C
         scanner = Scanner(templates, base, anchor, gap, cover)
         for batch in batches:
             data, offsets = buffers(plain(batch.column(1)))
-            for i, j in slices(offsets, _STEP):
+            for i, j in slices(offsets, STEP):
                 low = LOWER[data[offsets[i] : offsets[j]]]
                 starts, ends, ranges = words(low, offsets[i : j + 1] - offsets[i], IS_WORD)
                 h = span_hashes(low, starts, ends)

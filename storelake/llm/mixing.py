@@ -24,9 +24,10 @@ from math import ceil
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelake.llm.common import run_dir, text_of, written
+from storelake.llm.common import packed, run_dir, text_of, written
 
 POOL = "(small sources)"
+NO_SOURCE = "(none)"
 _SEGMENT_BITS = 12
 
 
@@ -81,7 +82,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, ceiling:
     repeated rows are documents like any other. Empty input, empty result."""
     spark = docs.sparkSession
     path = run_dir(spark, "mix")
-    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("(none)")).alias("source"), text_of().alias("text"))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)).alias("source"), text_of().alias("text"))
     rows = written(named.select("doc_id", "source", F.length("text").cast("long").alias("n_chars"), F.xxhash64("text").alias("text_key")), f"{path}/rows")
 
     total = F.sum("n_chars")
@@ -129,9 +130,8 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, ceiling:
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents of the mix with all their columns, in the order of the mix."""
-    plan = mix_sources(docs, **options).where("in_mix").groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("source").alias("_source")).agg(F.min("slot").alias("_slot"), F.min("offset").alias("_offset"))
-    marked = docs.select("*", F.xxhash64(text_of()).alias("_k"))
-    same = marked["doc_id"].cast("long").eqNullSafe(plan["_id"]) & (marked["_k"] == plan["_key"]) & (F.coalesce(marked["source"].cast("string"), F.lit("(none)")) == plan["_source"])
-    joined = marked.join(plan, same)
+    plan = mix_sources(docs, **options).where("in_mix").groupBy("doc_id", "text_key", "source").agg(F.min("slot").alias("slot"), F.min("offset").alias("offset"))
+    marked = packed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(text_of()), origin=F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
+    same = marked["id"].eqNullSafe(plan["doc_id"]) & (marked["key"] == plan["text_key"]) & (marked["origin"] == plan["source"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return joined.repartitionByRange(n, "_slot", "_offset").sortWithinPartitions("_slot", "_offset").select(*docs.columns)
+    return marked.join(plan, same).repartitionByRange(n, "slot", "offset").sortWithinPartitions("slot", "offset").select("row.*")

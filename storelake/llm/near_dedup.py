@@ -34,12 +34,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelake.llm.common import LOWER, NOT_SPACE, buffers, distinct_per_document, mix, plain, run_dir, shingle_hashes, slices, span_hashes, text_of, words, written
+from storelake.llm.common import LOWER, NOT_SPACE, STEP, buffers, distinct_per_document, mix, packed, plain, run_dir, shingle_hashes, slices, span_hashes, text_of, words, written
 
 BANDS, ROWS = 40, 5
 STAR_ROUNDS = 3
 _NAMELESS = 1 << 62
-_STEP = 2 << 20
 _SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, signature binary, bands array<long>"
 
 
@@ -66,7 +65,7 @@ def _sketch(k: int, bands: int, rows: int) -> Callable[[Iterator[pa.RecordBatch]
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = buffers(plain(batch.column(2)))
-            for i, j in slices(offsets, _STEP):
+            for i, j in slices(offsets, STEP):
                 h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 size = np.diff(bounds)
                 least = minima(h, bounds, bands * rows)
@@ -250,6 +249,6 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
 def keep_one_of_near(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that stay (one of each component), with all their columns."""
     gone = near_duplicates(docs, **options).where("NOT kept").select("doc_id", "text_key").distinct()
-    marked = docs.select("*", F.xxhash64(text_of()).alias("_key"))
-    same = marked["doc_id"].cast("long").eqNullSafe(gone["doc_id"]) & (marked["_key"] == gone["text_key"])
-    return marked.join(gone, same, "left_anti").select(*docs.columns)
+    marked = packed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(text_of()))
+    same = marked["id"].eqNullSafe(gone["doc_id"]) & (marked["key"] == gone["text_key"])
+    return marked.join(gone, same, "left_anti").select("row.*")

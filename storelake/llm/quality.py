@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from storelake.llm.common import buffers, plain, run_dir, slices, text_of, written, written_bucketed
+from storelake.llm.common import buffers, packed, plain, run_dir, slices, text_of, written, written_bucketed
 
 ORDER = 4
 BLOCK_BYTES = 16 << 20
@@ -233,6 +233,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that the classifier keeps, with all their columns."""
-    bad = quality_scores(docs, labels, **options).where("NOT kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
-    marked = docs.select("*", F.col("doc_id").cast("long").alias("_id"), F.xxhash64(text_of()).alias("_key"))
-    return marked.join(bad, marked["_id"].eqNullSafe(bad["_id"]) & (marked["_key"] == bad["_key"]), "left_anti").select(*docs.columns)
+    bad = quality_scores(docs, labels, **options).where("NOT kept").select("doc_id", "text_key").distinct()
+    marked = packed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(text_of()))
+    same = marked["id"].eqNullSafe(bad["doc_id"]) & (marked["key"] == bad["text_key"])
+    return marked.join(bad, same, "left_anti").select("row.*")
