@@ -13,9 +13,10 @@ least ``percent`` per cent are linked; the result is the components of the links
 3. *Candidates.* Band keys held by one text only drop out. In every other bucket
    the members are compared with one hub first (a star: as many pairs as members, not
    their square), then, as components grow, only across components: hubs
-   change for two more rounds, and a last round compares all pairs of a bucket
-   that are still in different components. So every pair that shares a bucket
-   is in one component or has been tested; no cap applies.
+   change for two more rounds. A last round compares the signatures of all pairs
+   of a bucket that are still in different components, chunk by chunk inside tasks, and
+   makes rows of survivors only. So every pair that shares a bucket is in one component
+   or has been tested; no cap applies.
 4. *Sequential Bayesian verification.* Signatures are compared in batches of ``rows`` * 8. After each
    batch a pair is dropped if the posterior probability (uniform prior) that its similarity
    reaches the threshold is below ``miss``. Survivors are verified on the full sets of their texts.
@@ -38,6 +39,7 @@ from storelake.llm.common import LOWER, NOT_SPACE, STEP, buffers, distinct_per_d
 
 BANDS, ROWS = 40, 5
 STAR_ROUNDS = 3
+CHUNK = 1000  # members of a bucket that are compared with each other at once
 _NAMELESS = 1 << 62
 _SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, signature binary, bands array<long>"
 
@@ -124,6 +126,33 @@ def _prune(n: int, step: int, threshold: float, miss: float) -> Callable[[Iterat
     return prune
 
 
+def _across(n: int, step: int, threshold: float, miss: float) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of different labels in one chunk, or between two chunks, of a bucket that pass the sequential test."""
+    tests = [(a, min(a + step, n)) for a in range(0, n, step)]
+    needed = [least_matches(b, threshold, miss) for _, b in tests]
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids, label, own = (group.column(c).to_numpy() for c in ("id", "label", "own"))
+        sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, n)
+        x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        out_a, out_b = [], []
+        for at in range(0, len(left), 64):
+            rows = left[at : at + 64]
+            i, j = np.nonzero((label[rows][:, None] != label[right][None, :]) & ((ids[rows][:, None] < ids[right][None, :]) | (x != y)))
+            i, j = rows[i], right[j]
+            matches = np.zeros(len(i), np.int64)
+            for (a, b), least in zip(tests, needed, strict=True):
+                matches = matches + (sig[i, a:b] == sig[j, a:b]).sum(axis=1)
+                alive = matches >= least
+                i, j, matches = i[alive], j[alive], matches[alive]
+            out_a.append(np.minimum(ids[i], ids[j]))
+            out_b.append(np.maximum(ids[i], ids[j]))
+        return pa.Table.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)])) for c in (out_a, out_b)], ["a", "b"])
+
+    return compare
+
+
 def word_shingles(text: str, k: int) -> set:
     """The full set of a text: runs of ``k`` words, or the whole sequence of a shorter text."""
     low = text.encode().translate(_LOWER)
@@ -216,23 +245,25 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         if turn < STAR_ROUNDS:
             member = now.join(split.select("band", "hub.id", "hub.label").toDF("band", "hub", "hub_label"), "band")
             pairs = member.where("label <> hub_label").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
+            pairs = pairs.distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = written(pairs, f"{path}/{turn}/pairs")
+            tested = pairs if tested is None else tested.unionAll(pairs)
+            x = signature.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
+            y = signature.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
+            alive = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(bands * rows, rows * 8, percent / 100, miss), "a long, b long")
         else:
-            open_ = written(now.join(split.select("band"), "band"), f"{path}/open")
-            other = open_.select("band", F.col("id").alias("b"), F.col("label").alias("lb"))
-            pairs = open_.select("band", F.col("id").alias("a"), "label").join(other, "band").where("a < b AND label <> lb").select("a", "b")
-        pairs = pairs.distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, f"{path}/{turn}/pairs")
-        if pairs.isEmpty():
-            if turn < STAR_ROUNDS:
-                continue
-            break
-        tested = pairs if tested is None else tested.unionAll(pairs)
-        x = signature.select(F.col("id").alias("a"), F.col("signature").alias("sa"))
-        y = signature.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
-        alive = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(bands * rows, rows * 8, percent / 100, miss), "a long, b long")
+            # cut every open bucket into chunks and compare chunk with chunk where the signatures are: only survivors become rows
+            chunks = now.join(split.select("band"), "band").groupBy("band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
+            member = now.join(chunks, "band").join(signature, "id").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n")).cast("int"))
+            against = member.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
+            dealt = against.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "signature")
+            compare = _across(bands * rows, rows * 8, percent / 100, miss)
+            alive = dealt.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         alive = written(alive, f"{path}/{turn}/alive")
+        if alive.isEmpty():
+            continue
         s = texts.select(F.col("id").alias("a"), F.col("text").alias("ta"))
         t = texts.select(F.col("id").alias("b"), F.col("text").alias("tb"))
         links = alive.join(t, "b").join(s, "a").select("a", "b", "ta", "tb").mapInArrow(_verify(k, percent), "a long, b long")
