@@ -36,6 +36,7 @@ from storelake.llm.common import buffers, packed, plain, run_dir, slices, text_o
 ORDER = 4
 BLOCK_BYTES = 16 << 20
 _VOCABULARY = 1 << 16  # the lowest order backs off to the uniform distribution
+_SALTS = 256
 _START, _END = 2, 3  # control characters that stand for the edges of a text
 _BLOCKS = "block long, doc_ids array<long>, keys array<long>, langs array<string>, sizes array<long>, texts binary"
 
@@ -162,7 +163,10 @@ def _order_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     cut = [F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(0.0), F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))).otherwise(F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
     discounts = d.select("lang", *cut)
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-    cut_counts = counts.join(discounts, "lang").select("lang", "gram", "n", less.alias("less"), _context("gram").alias("context"))
+    # a language may hold a third of all n-grams: salted, so that no task gets a language whole
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS)))
+    discounts = discounts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    cut_counts = salted.join(discounts, ["lang", "salt"]).select("lang", "gram", "n", less.alias("less"), _context("gram").alias("context"))
     contexts = cut_counts.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("cut")).select("lang", "context", "total", (F.col("cut") / F.col("total")).alias("gamma"))
     direct = cut_counts.join(contexts, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("direct"))
     return direct, contexts.select("lang", "context", "gamma")
