@@ -5,7 +5,8 @@ is a candidate. Its encoding is inferred from the characters it uses (hex, base3
 alphanumeric, base64), and under the hypothesis that it is random in that alphabet three tests
 give p-values:
 
-* chi-squared uniformity over the alphabet (Wilson-Hilferty form),
+* chi-squared uniformity over the alphabet (Wilson-Hilferty form); where fewer than five of each
+  symbol are expected the alphabet is merged into vowels, consonants (by case), digits and signs,
 * the runs test about the alphabet's middle,
 * lag-1 serial correlation of the symbols' numbers.
 
@@ -47,7 +48,15 @@ ALPHABETS = {
     "lower": ["abcdefghijklmnopqrstuvwxyz0123456789"],
     "base64": ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"],
 }
-_TABLES = [(name, frozenset(a), {c: i for i, c in enumerate(a)}) for name, alphabets in ALPHABETS.items() for a in alphabets]
+
+
+def _merged(alphabet: str) -> np.ndarray:
+    """Class of each symbol: vowels and other letters by case, digits, signs."""
+    kind = [(c.isalpha(), c.isupper(), c.lower() in "aeiou") if c.isalpha() else (False, c.isdigit()) for c in alphabet]
+    return np.array([sorted(set(map(str, kind))).index(str(k)) for k in kind])
+
+
+_TABLES = [(name, frozenset(a), {c: i for i, c in enumerate(a)}, _merged(a)) for name, alphabets in ALPHABETS.items() for a in alphabets]
 LEVEL, STEPS = 0.05, 10  # p-values are kept in steps of a tenth of a decade
 _MOST = 300 * STEPS
 
@@ -56,12 +65,15 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(symbols: np.ndarray, size: int) -> float:
-    """Combined p-value of the hypothesis that ``symbols`` are random in range(size)."""
-    n = len(symbols)
-    count = np.bincount(symbols, minlength=size)
-    chi = float(((count - n / size) ** 2).sum() * size / n)
-    d = size - 1
+def battery(symbols: np.ndarray, merged: np.ndarray) -> float:
+    """Combined p-value of the hypothesis that ``symbols`` are random in an alphabet whose
+    symbols have the classes ``merged``."""
+    n, size = len(symbols), len(merged)
+    cells = np.arange(size) if n >= 5 * size else merged
+    expected = np.bincount(cells) * n / size
+    count = np.bincount(cells[symbols], minlength=len(expected))
+    chi = float(((count - expected) ** 2 / expected).sum())
+    d = len(expected) - 1
     p1 = _upper(((chi / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
     high = symbols * 2 >= size
     a = int(high.sum())
@@ -87,11 +99,11 @@ def candidate(token: str) -> tuple[str, float] | None:
     if len(body) < 20 or not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
         return None
     used = frozenset(body)
-    for name, allowed, number in _TABLES:
+    for name, allowed, number, merged in _TABLES:
         if used <= allowed:
             if name == "base64" and not (any(c.islower() for c in body) and any(c.isupper() for c in body)):
                 return None
-            return name, battery(np.array([number[c] for c in body]), len(number))
+            return name, battery(np.array([number[c] for c in body]), merged)
     return None
 
 
