@@ -125,18 +125,18 @@ ORACLES["ST06"] = f"""SELECT user_id, min(ts) AS session_start, max(ts) + INTERV
     SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, sn"""
 
 
+def route_batch(df, bid: int, out: str) -> None:
+    """foreachBatch of ST07: a replayed batch rewrites its own folder."""
+    df.write.mode("overwrite").partitionBy("event_type").parquet(f"{out}/batch_id={bid}")
+
+
 @register("ST07", None)
 def st07_typed_fanout(spark, sf):
     """Typed fan-out of the mixed stream: each micro-batch is routed by
     event_type into a same-named partition; a failed write fails the batch
     (no swallowed errors, G10). Returns rows per routed table."""
     e = st.table_stream(spark, sf, "events")
-
-    def route(df, bid, out):
-        # a replayed batch rewrites its own folder
-        df.write.mode("overwrite").partitionBy("event_type").parquet(f"{out}/batch_id={bid}")
-
-    routed = st.run_to_table(e, "st07", writer=route)
+    routed = st.run_to_table(e, "st07", writer=route_batch)
     return routed.groupBy("event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -107,3 +107,24 @@ def test_empty_input(spark):
     df = spark.createDataFrame([], "k long, t timestamp_ntz, id string, q long")
     assert windows.running_balance(df, ["k"], "t", "id", "q", bucket=F.to_date("t")).count() == 0
     assert windows.sessionize(df, ["k"], "t", "id", 60, bucket=F.to_date("t")).count() == 0
+
+
+def test_overcrowded_zones(spark):
+    """AL04 on rows: a crowded zone, a slow zone and a quiet one."""
+    from storelake.plans.named import overcrowded
+
+    rows = [(1, "a", 10.0)] * 51 + [(1, "b", 601.0)] + [(2, "a", 600.0)] * 50
+    got = overcrowded(spark.createDataFrame(rows, "store_id long, zone string, dwell_seconds double"))
+    assert sorted((r.store_id, r.zone, r.customers) for r in got.collect()) == [(1, "a", 51), (1, "b", 1)]
+
+
+def test_recent_minutes_bound_equals_truncated_filter(spark):
+    from pyspark.sql import functions as F
+
+    from storelake.plans.named import recent_minutes
+
+    df = spark.sql("SELECT timestamp_ntz'2024-01-01 10:00:30' + make_interval(0, 0, 0, 0, 0, 0, id * 17) AS ts FROM range(600)")
+    m = F.date_trunc("minute", "ts").cast("timestamp_ntz")
+    last = df.agg(F.max(m)).first()[0]
+    want = df.where(m > F.lit(last) - F.expr("INTERVAL 3600 SECOND"))
+    assert sorted(recent_minutes(df, "ts", 3600).collect()) == sorted(want.collect())
