@@ -310,18 +310,27 @@ def b_dc_inventory(spark, sf):
     return g.withColumn("b012_avg_dc_units_per_sku", F.round(divide0(c("b010_dc_units_on_hand"), c("b011_dc_sku_count")), 6))
 
 
+def _sql_dc_positions() -> str:
+    from storelake.plans.registry import ORACLES
+
+    return ORACLES["A05"]
+
+
 @register(
     "B_network",
     f"""WITH s AS (SELECT CAST(sum(on_hand) AS BIGINT) AS su, CAST(sum(on_hand * coalesce(price_cents, 0)) AS DOUBLE) / 100 AS rv FROM {_sql_positions()}),
 n AS (SELECT CAST(sum(ext_cents) AS DOUBLE) / 100 AS ns FROM {_lines_sql(False)})
-SELECT su AS b118_network_units_on_hand_store_part, round({sql_divide0('rv', 'ns')}, 6) AS b119_inventory_to_sales_ratio FROM s, n""",
+SELECT su + (SELECT CAST(sum(on_hand) AS BIGINT) FROM ({_sql_dc_positions()})) AS b118_network_units_on_hand, round({sql_divide0('rv', 'ns')}, 6) AS b119_inventory_to_sales_ratio FROM s, n""",
 )
 def b_network(spark, sf):
-    """B118 (store part; the DC part is B010) and B119 inventory-to-sales."""
+    """B118 (units in stores and DCs) and B119 inventory-to-sales."""
+    from storelake.plans.gold import a05_dc_inventory_position_current
+
+    dc = a05_dc_inventory_position_current(spark, sf).agg(F.sum("on_hand").alias("du"))
     s = _positions(spark, sf).agg(F.sum("on_hand").alias("su"), (F.sum(c("on_hand") * F.coalesce(c("price_cents"), F.lit(0))) / 100).alias("rv"))
     n = channel_lines(spark, sf, False).agg((F.sum("ext_cents") / 100).alias("ns"))
-    x = s.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k")
-    return x.select(c("su").alias("b118_network_units_on_hand_store_part"), F.round(divide0(c("rv"), c("ns")), 6).alias("b119_inventory_to_sales_ratio"))
+    x = s.withColumn("_k", F.lit(1)).join(n.withColumn("_k", F.lit(1)), "_k").join(dc.withColumn("_k", F.lit(1)), "_k")
+    return x.select((c("su") + c("du")).alias("b118_network_units_on_hand"), F.round(divide0(c("rv"), c("ns")), 6).alias("b119_inventory_to_sales_ratio"))
 
 
 # ---------------------------------------------------------------- reorders / stockouts / ops / trucks

@@ -380,3 +380,17 @@ ORACLES["PJ04"] = f"""SELECT signal, store_id, product_id, count(*) AS signals,
   UNION ALL SELECT 'stockout', store_id, product_id, event_ts FROM {_SQL_STOCKOUTS})
 WHERE event_ts > (SELECT greatest((SELECT max(event_ts) FROM {_SQL_REORDERS}), (SELECT max(event_ts) FROM {_SQL_STOCKOUTS}))) - INTERVAL 1800 SECOND
 GROUP BY ALL ORDER BY latest DESC, signal, store_id, product_id LIMIT 25"""
+
+# Oracles of projections over the views defined in several modules.
+_SQL_P15 = f"""SELECT store_id, CAST(NULL AS DOUBLE) AS dc_id, product_id, current_quantity, reorder_quantity, reorder_point, priority, event_ts, day AS event_date
+FROM {_SQL_REORDERS} r"""
+ORACLES["P15"] = _SQL_P15
+ORACLES["P35"] = f"SELECT * EXCLUDE (event_date) FROM ({_SQL_P15})"
+ORACLES["P36"] = f"SELECT store_id, CAST(dc_id AS DOUBLE) AS dc_id, product_id, last_known_quantity, event_ts FROM ({ORACLES['P14']})"
+ORACLES["P37"] = f"SELECT shipment_id, truck_id, CAST(dc_id AS DOUBLE) AS dc_id, CAST(store_id AS DOUBLE) AS store_id, status, event_ts FROM {SQL_TRUCK_MOVES}"
+ORACLES["P21"] = f"""SELECT 'ORD-' || CAST(receipt_id AS VARCHAR) AS order_id_ext, customer_id, subtotal_cents, tax_cents, total_cents,
+  printf('%d.%02d', subtotal_cents // 100, subtotal_cents % 100) AS subtotal_amount, printf('%d.%02d', tax_cents // 100, tax_cents % 100) AS tax_amount,
+  printf('%d.%02d', total_cents // 100, total_cents % 100) AS total_amount, tender_type AS payment_method, event_ts, CAST(event_ts AS DATE) AS event_date
+FROM {SQL_ORDER_TOTALS}"""
+ORACLES["R04"] = f"""SELECT 'RET-' || CAST(s.receipt_id AS VARCHAR) AS return_id, s.receipt_id AS original_receipt_id, CAST(NULL AS DOUBLE) AS customer_id, store_id,
+  o_orderdate + INTERVAL 1 DAY AS event_ts, -total_cents AS total_cents, 'RETURN' AS receipt_type FROM ({ORACLES['W15']}) s JOIN orders ON s.receipt_id = o_orderkey"""

@@ -51,7 +51,9 @@ def st02_watermark_table(spark, sf):
         {"orders": t("orders").select(F.col("o_orderdate").alias("ts")), "lineitem": t("lineitem").select(F.col("l_shipdate").alias("ts")), "events": t("events").select("ts")},
         "ts",
     ).select("source", F.col("latest").alias("new_mark"))
-    old = spark.createDataFrame([], "source string, mark timestamp_ntz")
+    # marks of an earlier load: orders up to its first day, and a source that has ended
+    first = t("orders").agg(F.min("o_orderdate").alias("mark"))
+    old = first.select(F.explode(F.array(F.lit("orders"), F.lit("archive"))).alias("source"), "mark")
     merged = old.join(new, "source", "full_outer").select("source", F.greatest(F.col("mark"), F.col("new_mark")).alias("mark"))
     out = st.run_folder(spark, "st02") + "/marks"
     merged.write.mode("overwrite").parquet(out)
@@ -59,7 +61,7 @@ def st02_watermark_table(spark, sf):
 
 
 ORACLES["ST02"] = """SELECT 'orders' AS source, max(o_orderdate) AS mark FROM orders UNION ALL SELECT 'lineitem', max(l_shipdate) FROM lineitem
-UNION ALL SELECT 'events', max(ts) FROM events"""
+UNION ALL SELECT 'events', max(ts) FROM events UNION ALL SELECT 'archive', min(o_orderdate) FROM orders"""
 
 
 @register("ST03", None)

@@ -301,11 +301,13 @@ def w18_prior_periods(spark, sf):
     "W19",
     f"""SELECT department, sale_date, units, revenue_cents,
   CAST(sum(revenue_cents) OVER (PARTITION BY department ORDER BY sale_date RANGE BETWEEN INTERVAL 6 DAYS PRECEDING AND CURRENT ROW) AS BIGINT) AS last_7d,
-  CAST(sum(revenue_cents) OVER (PARTITION BY department ORDER BY sale_date RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING) AS DOUBLE) AS prev_7d
+  CAST(sum(revenue_cents) OVER (PARTITION BY department ORDER BY sale_date RANGE BETWEEN INTERVAL 13 DAYS PRECEDING AND INTERVAL 7 DAYS PRECEDING) AS DOUBLE) AS prev_7d,
+  round((last_7d - prev_7d) / nullif(prev_7d, 0) * 100, 6) AS wow_pct
 FROM {SQL_DAILY_DEPT}""",
 )
 def w19_trailing_windows(spark, sf):
-    """Trailing 7 days and the 7 before, on the sparse series (range frames)."""
+    """Trailing 7 days and the 7 before, on the sparse series (range frames), and
+    the week-over-week change in per cent."""
     li = d.table(spark, sf, "lineitem")
     p = d.table(spark, sf, "part").select("p_partkey", "p_type")
     day = (
@@ -314,7 +316,8 @@ def w19_trailing_windows(spark, sf):
         .agg(F.sum("l_quantity").cast("bigint").alias("units"), F.sum(d.cents("l_extendedprice")).alias("revenue_cents"))
     )
     out = windows.trailing_windows(day, ["department"], "sale_date", "revenue_cents", 7)
-    return out.withColumn("prev_7d", F.col("prev_7d").cast("double"))
+    out = out.withColumn("prev_7d", F.col("prev_7d").cast("double"))
+    return out.withColumn("wow_pct", F.round(F.try_divide(F.col("last_7d") - F.col("prev_7d"), F.col("prev_7d")) * 100, 6))
 
 
 # W20 ---------------------------------------------------------------------------
