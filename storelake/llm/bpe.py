@@ -6,7 +6,7 @@
    are a table in the shared folder, bucketed by block.
 2. *Words.* The blocks' words are shuffled by word. Sorted, every distinct word
    of the corpus is merged once by the ranks and its ids go back to all blocks that
-   asked. A frequent word is one row a block, not one an occurrence.
+   asked, packed by block. A frequent word is one row a block, not one an occurrence.
 3. *Reassembly.* Ids join their block (the bucketed table is not moved) and are
    laid out by position.
 4. *Decoding* joins ids to the table of token bytes in the same way: by distinct
@@ -27,6 +27,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -248,22 +249,40 @@ def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block, words, sizes in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "sizes")), strict=True):
             word = _split(words, sizes)
+            order = pc.sort_indices(word)  # neighbours share beginnings: the shuffle compresses better
             for i in range(0, len(word), 50_000):
-                part = word.slice(i, 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(i, i + len(part), dtype=np.int32)), part], ["block", "place", "word"])
+                place = order.slice(i, 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), block)), place.cast(pa.int32()), word.take(place)], ["block", "place", "word"])
+
+
+def _encode(ranks, flush: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def pieces(blocks: list[np.ndarray], places: list[np.ndarray], ids: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """One row for each block: the places of its words among these, and their ids."""
+        block, place = np.concatenate(blocks), np.concatenate(places)
+        order = np.lexsort((place, block))
+        cuts = np.flatnonzero(np.diff(block[order])) + 1
+        for mine in np.split(order, cuts):
+            found = [ids[i] for i in mine.tolist()]
+            counts = np.fromiter((len(x) // 4 for x in found), np.uint32, len(found))
+            cols = [_pack(np.diff(place[mine], prepend=0)), _pack(counts), _pack(np.frombuffer(b"".join(found), "<u4"))]
+            yield pa.RecordBatch.from_arrays([pa.array([int(block[mine[0]])]), *(pa.array([c], pa.binary()) for c in cols)], ["block", "places", "counts", "ids"])
 
-
-def _encode(ranks) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ranks.value
-        last, ids = None, b""
+        last, now = None, b""
+        blocks, places, ids = [], [], []
         for batch in batches:
-            out = []
             for word in batch.column(2).to_pylist():  # sorted: equal words follow each other
                 if word != last:
-                    last, ids = word, np.array(merge(word, table), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["block", "place", "ids"])
+                    last, now = word, np.array(merge(word, table), "<u4").tobytes()
+                ids.append(now)
+            blocks.append(batch.column(0).to_numpy())
+            places.append(batch.column(1).to_numpy())
+            if len(ids) >= flush:
+                yield from pieces(blocks, places, ids)
+                blocks, places, ids = [], [], []
+        if ids:
+            yield from pieces(blocks, places, ids)
 
     return encode
 
@@ -273,14 +292,15 @@ def _reassemble(ranks, with_ids: bool, with_text: bool) -> Callable[[pa.Table, p
         row = {c: block.column(c)[0].as_py() for c in ("doc_ids", "counts", "checks", "order")}
         table = ranks.value
         token = _token_bytes(table)
-        place = words.column("place").to_numpy()
-        said: list[list[int]] = [[]] * len(place)
-        for p, b in zip(place.tolist(), words.column("ids").to_pylist(), strict=True):
-            said[p] = np.frombuffer(b, "<u4").tolist()
+        order = _unpack(row["order"])
+        said: list[list[int]] = [[]] * (int(order.max()) + 1 if len(order) else 0)
+        for places, counts, ids in zip(*(words.column(c).to_pylist() for c in ("places", "counts", "ids")), strict=True):
+            flat, ends = _unpack(ids).tolist(), np.cumsum(_unpack(counts), dtype=np.int64).tolist()
+            for p, a, b in zip(np.cumsum(_unpack(places), dtype=np.int64).tolist(), [0, *ends], ends, strict=False):
+                said[p] = flat[a:b]
         text = [",".join(map(str, x)) for x in said]
         raw = [b"".join([token[i] for i in x]) for x in said]
         size = np.fromiter(map(len, said), np.int64, len(said))
-        order = _unpack(row["order"])
         out: list[tuple] = []
         at = 0
         for doc_id, count, check in zip(row["doc_ids"], row["counts"], row["checks"], strict=True):
@@ -335,7 +355,7 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     blocks = written_bucketed(rows.mapInArrow(_blocks(block_bytes), _BLOCKS), f"{path}/blocks", "block")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = blocks.select("block", "words", "sizes").mapInArrow(_explode, "block long, place int, word binary")
-    ids = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(ranks), "block long, place int, ids binary")
+    ids = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(ranks), "block long, places binary, counts binary, ids binary")
     asked = blocks.select("block", "doc_ids", "counts", "checks", "order")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
     out = asked.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble(ranks, with_ids, with_text), schema)
