@@ -69,3 +69,9 @@ def densify(
     grid = rng.select(*keys, F.explode(F.sequence("_s", "_e")).alias(date))
     out = grid.join(df, [*keys, date], "left")
     return out.fillna(0, subset=list(values))
+
+
+def calendar_features(df, day: str):
+    """Model features of a date column: day of week and month, month, ISO week."""
+    parts = {"day_of_week": F.dayofweek, "day_of_month": F.dayofmonth, "month": F.month, "week_of_year": F.weekofyear}
+    return df.withColumns({name: part(F.col(day)) for name, part in parts.items()})

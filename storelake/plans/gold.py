@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import functions as F
 
 from storelake.operators import aggs, windows
@@ -142,13 +144,22 @@ def a07_truck_dwell_daily_v2(spark, sf):
     return finish(aggs.truck_dwell_daily_v2(lifecycles(spark, sf), "store_id", "dc_id"), 4)
 
 
-def order_totals(spark, sf):
-    """R13 order totals (basis-point tax on lines) joined to the header."""
+def order_totals(spark, sf, seconds: int | None = None):
+    """R13 order totals (basis-point tax on lines) joined to the header.
+
+    With ``seconds`` only orders of the last ``seconds`` before the latest order that has
+    lines; the orders are chosen first, so only their lines are summed."""
     from storelake.functions.money import line_tax_cents
 
-    li = d.lines(spark, sf).withColumn("tax_cents", line_tax_cents("ext_cents", F.round(F.col("tax_rate") * 10000).cast("bigint"), F.lit(100)))
-    head = aggs.header_rollup(li, "receipt_id", "ext_cents", "tax_cents")
+    li = d.lines(spark, sf)
     r = d.receipts(spark, sf).select("receipt_id", "customer_id", "event_ts", "tender_type")
+    if seconds is not None:
+        last = scalar(r.select("receipt_id", "event_ts").join(li.select("receipt_id"), "receipt_id", "left_semi"), F.max("event_ts"))
+        if last is not None:
+            r = r.where(F.col("event_ts") > F.lit(last - timedelta(seconds=seconds)))
+        li = li.join(r.select("receipt_id"), "receipt_id", "left_semi")
+    li = li.withColumn("tax_cents", line_tax_cents("ext_cents", F.round(F.col("tax_rate") * 10000).cast("bigint"), F.lit(100)))
+    head = aggs.header_rollup(li, "receipt_id", "ext_cents", "tax_cents")
     return r.join(head, "receipt_id", "inner")
 
 

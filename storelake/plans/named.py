@@ -112,7 +112,7 @@ def q04_marketing_cost(spark, sf):
 
 
 def _online(spark, sf, seconds):
-    t = recent(order_totals(spark, sf), "event_ts", seconds)
+    t = order_totals(spark, sf, seconds)
     g = t.agg(F.count(F.lit(1)).alias("orders"), F.sum("subtotal_cents").alias("subtotal_cents"), F.sum("tax_cents").alias("tax_cents"), F.sum("total_cents").alias("total_cents"))
     return g.withColumn("aov", F.try_divide(F.col("total_cents") / 100, F.col("orders")))
 
@@ -129,8 +129,8 @@ def q05_online_orders(spark, sf):
 
 
 def _store_minutes(spark, sf, seconds):
-    a = aggs.sales_by_time(d.receipts(spark, sf, with_store=True), ["store_id"], "event_ts", "total_cents", "minute")
-    return recent(a, "ts", seconds)
+    r = recent_minutes(d.receipts(spark, sf, with_store=True), "event_ts", seconds)
+    return aggs.sales_by_time(r, ["store_id"], "event_ts", "total_cents", "minute")
 
 
 # Q06 ---------------------------------------------------------------------------
@@ -346,9 +346,9 @@ def dr01_top_stores(spark, sf):
 
 
 # DR02 --------------------------------------------------------------------------
-@register("DR02", _SQL_ONLINE)
+@register("DR02", f"SELECT orders, aov, total_cents FROM ({_SQL_ONLINE})")
 def dr02_online_tile(spark, sf):
-    return _online(spark, sf, 900)
+    return _online(spark, sf, 900).select("orders", "aov", "total_cents")
 
 
 # DR03 --------------------------------------------------------------------------
@@ -637,7 +637,9 @@ def dp11_decision_time(spark, sf):
     # minute boundaries crossed (datetime_diff semantics), not elapsed whole minutes
     minute_no = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / 60_000_000)
     j = j.withColumn("m", (minute_no("decided_ts") - minute_no("created_ts")).cast("bigint"))
-    return finish(j.agg(F.avg("m").alias("avg_decision_time_min"), F.percentile("m", 0.5).alias("median_decision_time_min")), 4)
+    median = aggs.exact_percentiles(j, [], {"median_decision_time_min": ("m", 0.5)}).withColumn("_k", F.lit(1))
+    mean = j.agg(F.avg("m").alias("avg_decision_time_min")).withColumn("_k", F.lit(1))
+    return finish(mean.join(median, "_k", "left").drop("_k"), 4)
 
 
 # DP12 --------------------------------------------------------------------------

@@ -128,3 +128,19 @@ def test_recent_minutes_bound_equals_truncated_filter(spark):
     last = df.agg(F.max(m)).first()[0]
     want = df.where(m > F.lit(last) - F.expr("INTERVAL 3600 SECOND"))
     assert sorted(recent_minutes(df, "ts", 3600).collect()) == sorted(want.collect())
+
+
+def test_exact_percentiles_equal_percentile(spark):
+    from pyspark.sql import functions as F
+
+    from storelake.operators import aggs
+
+    df = spark.range(20000).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 11 != 0, F.pow(F.rand(3), 3) * 1000).alias("v"), (F.col("id") % 5).alias("w"))
+    df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
+    want = {"a": ("v", 0.5), "b": ("v", 0.9), "c": ("w", 0.33), "d": ("v", 0.0), "e": ("v", 1.0)}
+    for group in ([], ["g"]):
+        got = aggs.exact_percentiles(df, group, want).orderBy(*group).collect()
+        exp = df.groupBy(*group).agg(*(F.percentile(c, p).alias(k) for k, (c, p) in want.items())).orderBy(*group).collect()
+        assert len(got) == len(exp)
+        for x, y in zip(got, exp, strict=True):
+            assert all(a is b or abs(a - b) < 1e-9 for a, b in zip(x, y, strict=True))
