@@ -6,9 +6,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from storelake.operators import windows
+
 
 def _row(df: DataFrame, name: str, violations: Column) -> DataFrame:
     return df.agg(violations.cast("bigint").alias("violations")).select(F.lit(name).alias("check"), "violations")
@@ -53,8 +55,8 @@ def ordered(df: DataFrame, start: str, end: str, name: str) -> DataFrame:
 
 def running_consistent(df: DataFrame, keys: Sequence[str], order: Sequence[str], qty: str, balance: str, name: str) -> DataFrame:
     """Balance - previous balance = movement (first row: balance = qty)."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    prev = F.coalesce(F.lag(balance).over(w), F.lit(0))
+    df = windows.previous(df, keys, order, balance, "_prev")
+    prev = F.coalesce("_prev", F.lit(0))
     return _row(df.withColumn("_ok", (F.col(balance) - prev) == F.col(qty)), name, F.count_if(~F.col("_ok")))
 
 

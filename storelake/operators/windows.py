@@ -189,11 +189,41 @@ def dwell_to_next(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str, cu
     return df.withColumn("dwell_seconds", d).where((F.col("dwell_seconds") > 0) & (F.col("dwell_seconds") < cutoff_seconds))
 
 
+def _by_day(df: DataFrame, keys: Sequence[str], ts: str, inside: Column, summary: Column, carry: Column, out: str) -> DataFrame:
+    """``out`` = ``inside``, a window value within (key, day), or else what ``carry`` makes of
+    the ``summary`` of the key's earlier days (one row a key and day)."""
+    day = F.to_date(ts)
+    x = df.withColumn("_day", day).withColumn("_in", inside)
+    days = df.groupBy(*keys, day.alias("_day")).agg(summary.alias("_sum"))
+    days = days.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_day").alias("_k_day"), carry.alias("_carry"))
+    same = F.col("_day").eqNullSafe(F.col("_k_day"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return x.join(days, same).withColumn(out, F.coalesce("_in", "_carry")["v"]).drop("_day", "_in", "_carry", "_k_day", *(f"_k_{k}" for k in keys))
+
+
+def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:
+    """lag(value) per key in ``order`` (a timestamp first), a segmented scan by day: a key with
+    a third of all rows is spread over its days."""
+    boxed = F.struct(F.col(value).alias("v"))
+    inside = F.lag(boxed).over(Window.partitionBy(*keys, "_day").orderBy(*order))
+    carry = F.lag("_sum").over(Window.partitionBy(*keys).orderBy("_day"))
+    return _by_day(df, keys, order[0], inside, F.max_by(boxed, F.struct(*order)), carry, out)
+
+
+def last_at_or_before(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], value: Column, out: str, ts: str) -> DataFrame:
+    """The latest non-null ``value`` at or before each row of the key (an as-of link), by day as in ``previous``."""
+    boxed = F.when(value.isNotNull(), F.struct(value.alias("v")))
+    w = Window.partitionBy(*keys, "_day").orderBy(*order).rowsBetween(UNBOUNDED, 0)
+    at = F.when(value.isNotNull(), F.struct(*_cols(order)))
+    carry = F.last("_sum", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("_day").rowsBetween(UNBOUNDED, -1))
+    return _by_day(df, keys, ts, F.last(boxed, ignorenulls=True).over(w), F.max_by(boxed, at), carry, out)
+
+
 # W10 ----------------------------------------------------------------------------
 def changes(df: DataFrame, keys: Sequence[str], ts: str, tiebreak: str, state: str, from_col: str = "from_state", to_col: str = "to_state") -> DataFrame:
     """Rows where ``state`` differs from the previous row of the key."""
-    w = Window.partitionBy(*keys).orderBy(ts, tiebreak)
-    x = df.withColumn(from_col, F.lag(state).over(w)).withColumn(to_col, F.col(state))
+    x = previous(df, keys, [ts, tiebreak], state, from_col).withColumn(to_col, F.col(state))
     return x.where(F.col(from_col).isNotNull() & (F.col(from_col) != F.col(to_col)))
 
 

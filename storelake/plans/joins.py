@@ -398,8 +398,8 @@ FROM t LEFT JOIN (SELECT from_state, sum(n) AS total FROM t GROUP BY 1) tot ON t
 def j22_ratio_of_parts(spark, sf):
     """Transition counts left joined to their per-origin totals."""
     e = d.table(spark, sf, "events")
-    w = windows.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = e.select(F.lag("event_type").over(w).alias("from_state"), F.col("event_type").alias("to_state")).where(F.col("from_state").isNotNull())
+    t = windows.previous(e, ["user_id"], ["ts", "event_id"], "event_type", "from_state")
+    t = t.select("from_state", F.col("event_type").alias("to_state")).where(F.col("from_state").isNotNull())
     n = t.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
     tot = n.groupBy("from_state").agg(F.sum("n").alias("total"))
     return finish(n.join(tot, "from_state", "left").withColumn("probability", F.col("n") / F.col("total")), 6).withColumn(

@@ -10,10 +10,9 @@ from __future__ import annotations
 
 from datetime import timedelta
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from storelake.operators import aggs, joins
+from storelake.operators import aggs, joins, windows
 from storelake.plans.common import SQL_EVENTS, SQL_LINES, SQL_RECEIPTS, SQL_RECEIPTS_STORE, finish, nullable_ids_as_double, scalar
 from storelake.plans.gold import SQL_LIFECYCLES, SQL_MARKETING, SQL_ORDER_TOTALS, SQL_SENSORS, lifecycles, order_totals
 from storelake.plans.registry import register
@@ -450,8 +449,9 @@ FROM {SQL_EVENTS} e LEFT JOIN customer ON e.user_id = c_custkey WHERE event_type
 def decisions(spark, sf):
     """click/error events linked to the user's latest signup at or before them."""
     e = d.events(spark, sf).where(F.col("event_type").isin("signup", "click", "error"))
-    w = Window.partitionBy("user_id").orderBy("ts", F.when(F.col("event_type") == "signup", 0).otherwise(1), "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    x = e.withColumn("recommendation_id", F.last(F.when(F.col("event_type") == "signup", F.col("event_id")), ignorenulls=True).over(w))
+    signup = F.col("event_type") == "signup"
+    order = ["ts", F.when(signup, 0).otherwise(1), "event_id"]
+    x = windows.last_at_or_before(e, ["user_id"], order, F.when(signup, F.col("event_id")), "recommendation_id", "ts")
     x = x.where(F.col("event_type") != "signup").where(F.col("recommendation_id").isNotNull())
     return x.select(
         F.col("event_id").alias("decision_id"),

@@ -364,8 +364,8 @@ def r22_entity_timeline(spark, sf):
     r = r.join(known, "entity_id", "left_semi")
     e = u.select(F.col("user_id").alias("entity_id"), "ts", F.concat(F.lit("event_"), F.col("event_type")).alias("kind"), F.col("event_id").alias("ref"))
     x = r.unionByName(e)
-    w = windows.Window.partitionBy("entity_id").orderBy("ts", "kind", "ref")
-    return x.withColumn("seq", F.row_number().over(w).cast("bigint"))
+    numbered = windows.bucketed_row_number(x, ["entity_id"], [F.col("ts"), F.col("kind"), F.col("ref")], F.to_date("ts"), "seq")
+    return numbered.withColumn("seq", F.col("seq").cast("bigint"))
 
 
 # Ids whose query is another id's query share its oracle.

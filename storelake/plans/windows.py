@@ -242,8 +242,8 @@ def w15_capped_group_sample(spark, sf):
 )
 def w16_transition_share(spark, sf):
     e = d.table(spark, sf, "events")
-    w = windows.Window.partitionBy("user_id").orderBy("ts", "event_id")
-    t = e.select(F.lag("event_type").over(w).alias("from_state"), F.col("event_type").alias("to_state")).where(F.col("from_state").isNotNull())
+    t = windows.previous(e, ["user_id"], ["ts", "event_id"], "event_type", "from_state")
+    t = t.select("from_state", F.col("event_type").alias("to_state")).where(F.col("from_state").isNotNull())
     n = t.groupBy("from_state", "to_state").agg(F.count(F.lit(1)).alias("n"))
     return finish(windows.share_of_total(n, ["from_state"], "n"), 6)
 

@@ -144,3 +144,26 @@ def test_exact_percentiles_equal_percentile(spark):
         assert len(got) == len(exp)
         for x, y in zip(got, exp, strict=True):
             assert all(a is b or abs(a - b) < 1e-9 for a, b in zip(x, y, strict=True))
+
+
+def test_segmented_lag_and_as_of_equal_plain_windows(spark):
+    """One key holds half of the rows; some values and timestamps tie or are null."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from storelake.operators import windows
+
+    df = spark.range(4000).select(
+        F.when(F.col("id") % 2 == 0, F.lit(1)).otherwise(F.col("id") % 13).cast("long").alias("k"),
+        F.expr("timestamp_ntz'2024-01-01' + make_interval(0, 0, 0, 0, 0, 0, (id * 7919) % 900000)").alias("ts"),
+        "id",
+        F.when(F.col("id") % 5 != 0, F.col("id") % 3).alias("v"),
+    )
+    df = df.withColumn("k", F.when(F.col("k") != 3, F.col("k")))
+    w = Window.partitionBy("k").orderBy("ts", "id")
+    got = windows.previous(df, ["k"], ["ts", "id"], "v", "p").select("id", "p")
+    assert sorted(got.collect(), key=lambda r: r.id) == sorted(df.select("id", F.lag("v").over(w).alias("p")).collect(), key=lambda r: r.id)
+    sign = F.when(F.col("id") % 4 == 0, F.col("id"))
+    got = windows.last_at_or_before(df, ["k"], ["ts", "id"], sign, "s", "ts").select("id", "s")
+    want = df.select("id", F.last(sign, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
+    assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
