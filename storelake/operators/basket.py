@@ -49,8 +49,11 @@ def pair_rules(df: DataFrame, basket: str, item: str, min_support: float = 0.01,
     fb = bm.join(frequent.select(item), item, "left_semi")
     a = fb.select(F.col(basket), F.col(item).alias("antecedent"))
     b = fb.select(F.col(basket), F.col(item).alias("consequent"))
-    pairs = a.join(b, basket).where(F.col("antecedent") != F.col("consequent"))
-    pc = pairs.groupBy("antecedent", "consequent").agg(F.count(F.lit(1)).alias("n_pair"))
+    # each unordered pair is counted once; the mirror rule has the same count
+    pairs = a.join(b, basket).where(F.col("antecedent") < F.col("consequent"))
+    pc = pairs.groupBy("antecedent", "consequent").agg(F.count(F.lit(1)).alias("n_pair")).where(F.col("n_pair") >= F.lit(min_support * n_baskets))
+    both = F.array(F.struct("antecedent", "consequent"), F.struct(F.col("consequent").alias("antecedent"), F.col("antecedent").alias("consequent")))
+    pc = pc.select(F.explode(both).alias("x"), "n_pair").select("x.*", "n_pair")
     ca = counts.select(F.col(item).alias("antecedent"), F.col("n_item").alias("n_antecedent"))
     cb = counts.select(F.col(item).alias("consequent"), F.col("n_item").alias("n_consequent"))
     r = pc.join(ca, "antecedent").join(cb, "consequent")

@@ -5,7 +5,7 @@ shuffled-hash join, and AQE converts to a broadcast only when the built side
 is *measured* under ``spark.sql.autoBroadcastJoinThreshold`` at run time, and
 splits skewed partitions of a hot key. Explicit ``broadcast`` hints are used
 only for sides whose size is bounded by construction (a rule table, a
-per-nation summary) or checked with :func:`bounded`.
+per-nation summary).
 
 Range joins (J09–J12, J15) have no native operator in Spark. The bucketed
 form below keeps them equi joins: the interval side is exploded into the
@@ -23,18 +23,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def bounded(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows (reads at most
-    max_rows + 1 rows): the size check that must precede a broadcast hint."""
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_bounded(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Hint a broadcast only for a side proven small; otherwise leave the
-    choice to AQE (which still broadcasts if the runtime size is small)."""
-    return F.broadcast(df) if bounded(df, max_rows) else df
-
-
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     cond = None
     for k in keys:

@@ -27,12 +27,6 @@ def finish(df: DataFrame, digits: int | None = None) -> DataFrame:
     return df.select(*cols)
 
 
-def as_of(df: DataFrame, ts: str):
-    """Data-anchored 'now': a one-row frame holding max(ts). Used through a
-    join, never collected, so the plan stays one job."""
-    return df.agg(F.max(ts).alias("_as_of"))
-
-
 # ---------------------------------------------------------------------------
 # DuckDB role views (independent SQL used only by the oracles).
 # ---------------------------------------------------------------------------

@@ -245,11 +245,11 @@ def j12_trailing_window(spark, sf):
 FROM events e LEFT JOIN nation ON e.user_id = n_nationkey""",
 )
 def j13_static_enrichment(spark, sf):
-    """Stream-static enrichment (batch face): events x broadcast nation dim
-    (25 rows, bounded by the domain) with defaults for unknown keys."""
+    """Stream-static enrichment (batch face): events x nation dim with defaults for
+    unknown keys; AQE broadcasts the dim by its measured size."""
     n = d.table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("user_id"), "n_name", "n_regionkey")
     e = d.table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    out = e.join(joins.broadcast_if_bounded(n, 10_000), "user_id", "left")
+    out = e.join(n, "user_id", "left")
     return out.select("event_id", "user_id", "event_type", F.coalesce("n_name", F.lit("UNKNOWN")).alias("nation"), F.coalesce("n_regionkey", F.lit(-1)).alias("region"))
 
 

@@ -178,8 +178,8 @@ def s14_conform(spark, sf):
 
 @register("S15", "SELECT * FROM events")
 def s15_compact_and_cluster(spark, sf):
-    """Rewrite events into 4 files range-clustered on (user_id, ts)."""
-    path = fs.compact_and_cluster(d.table(spark, sf, "events"), ["user_id", "ts"], 4, run_folder(spark, "s15"))
+    """Rewrite events into files of a million rows, range-clustered on (user_id, ts)."""
+    path = fs.compact_and_cluster(d.table(spark, sf, "events"), ["user_id", "ts"], 1_000_000, run_folder(spark, "s15"))
     return spark.read.parquet(path)
 
 

@@ -166,20 +166,16 @@ def load_csv(spark: SparkSession, path: str, schema: str, columns: Sequence[str]
 
 # S12 -------------------------------------------------------------------------
 def chunked_write(df: DataFrame, keys: Sequence[str], chunks: int, base: str, writer=None) -> list[str]:
-    """Deterministic hash chunks: chunk = pmod(xxhash64(keys), n); each chunk is
-    written separately (``writer(chunk_df, i)``; default a parquet folder per
-    chunk) so a retried chunk rewrites exactly its own rows — a re-scan
-    neither drops nor repeats any."""
-    paths = []
-    tagged = df.withColumn("_chunk", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(chunks)))
-    for i in range(chunks):
-        part = tagged.where(F.col("_chunk") == i).drop("_chunk")
-        if writer is not None:
-            writer(part, i)
-        else:
-            p = f"{base}/chunk={i}"
-            part.write.mode("overwrite").parquet(p)
-            paths.append(p)
+    """Deterministic hash chunks: chunk = pmod(xxhash64(keys), n), written in one pass as a folder
+    a chunk. A ``writer(chunk_df, i)`` (a database target) then gets each folder, so a retried
+    chunk sends exactly its own rows — a re-scan neither drops nor repeats any."""
+    paths = [f"{base}/chunk={i}" for i in range(chunks)]
+    tagged = df.withColumn("chunk", F.pmod(F.xxhash64(*[F.col(k) for k in keys]), F.lit(chunks)))
+    tagged.write.mode("overwrite").partitionBy("chunk").parquet(base)
+    if writer is not None:
+        stored = df.sparkSession.read.schema(tagged.schema).parquet(base)
+        for i in range(chunks):  # the folder filter prunes to one chunk
+            writer(stored.where(F.col("chunk") == i).drop("chunk"), i)
     return paths
 
 
@@ -207,9 +203,10 @@ def conform(df: DataFrame, contract: T.StructType) -> tuple[DataFrame, DataFrame
 
 
 # S15 / S16 -------------------------------------------------------------------
-def compact_and_cluster(df: DataFrame, cols: Sequence[str], files: int, base: str) -> str:
+def compact_and_cluster(df: DataFrame, cols: Sequence[str], target_rows: int, base: str) -> str:
     """Re-aimed OPTIMIZE/ZORDER: range-partition on the query columns into
-    ``files`` files, sort within each, write a new version (swap)."""
+    files of about ``target_rows`` rows, sort within each, write a new version (swap)."""
+    files = max(1, -(-df.count() // target_rows))
     out = df.repartitionByRange(files, *[F.col(c) for c in cols]).sortWithinPartitions(*cols)
     return rewrite_table(out, base)
 
