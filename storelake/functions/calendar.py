@@ -72,6 +72,7 @@ def densify(
 
 
 def calendar_features(df, day: str):
-    """Model features of a date column: day of week and month, month, ISO week."""
+    """Model features of a date column: day of week and month, month, ISO week, weekend."""
     parts = {"day_of_week": F.dayofweek, "day_of_month": F.dayofmonth, "month": F.month, "week_of_year": F.weekofyear}
-    return df.withColumns({name: part(F.col(day)) for name, part in parts.items()})
+    out = df.withColumns({name: part(F.col(day)) for name, part in parts.items()})
+    return out.withColumn("is_weekend", F.when(F.col("day_of_week").isin(1, 7), 1).otherwise(0))
