@@ -13,9 +13,9 @@ least ``percent`` per cent are linked; the result is the components of the links
 3. *Candidates.* Band keys held by one text only drop out. In every other bucket
    the members are compared with one hub first (a star: as many pairs as members, not
    their square), then, as components grow, only across components: hubs
-   change for two more rounds. A last round compares the signatures of all pairs
-   of a bucket that are still in different components, chunk by chunk inside tasks, and
-   makes rows of survivors only. So every pair that shares a bucket is in one component
+   change for two more rounds. A last round compares all pairs of a bucket that are
+   still in different components, chunk by chunk inside tasks, by signatures and then
+   whole sets, and makes rows of links only. So every pair that shares a bucket is in one component
    or has been tested; no cap applies.
 4. *Sequential Bayesian verification.* Signatures are compared in batches of ``rows`` * 8. After each
    batch a pair is dropped if the posterior probability (uniform prior) that its similarity
@@ -39,7 +39,7 @@ from storelake.llm.common import LOWER, NOT_SPACE, STEP, buffers, distinct_per_d
 
 BANDS, ROWS = 40, 5
 STAR_ROUNDS = 3
-CHUNK = 1000  # members of a bucket that are compared with each other at once
+CHUNK = 500  # members of a bucket that are compared with each other at once
 _NAMELESS = 1 << 62
 _SKETCH = "doc_id long, text_key long, n_shingles long, digest binary, signature binary, bands array<long>"
 
@@ -126,17 +126,38 @@ def _prune(n: int, step: int, threshold: float, miss: float) -> Callable[[Iterat
     return prune
 
 
-def _across(n: int, step: int, threshold: float, miss: float) -> Callable[[pa.Table], pa.Table]:
-    """The pairs of different labels in one chunk, or between two chunks, of a bucket that pass the sequential test."""
+def _full_sets(k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Each text's whole shingle set, as sorted 32-bit hashes."""
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = buffers(plain(batch.column(1)))
+            for i, j in slices(offsets, STEP):
+                h, bounds = shingle_sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                small = [np.unique((h[a:b] >> np.uint64(32)).astype("<u4")).tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(small, pa.binary())], ["id", "members"])
+
+    return sets
+
+
+def _across(n: int, step: int, percent: int, miss: float) -> Callable[[pa.Table], pa.Table]:
+    """The links between different labels in one chunk, or between two chunks, of a bucket.
+
+    A pair is looked at in the first bucket it shares. It passes the sequential test on
+    signatures, then the comparison of whole sets of 32-bit hashes (two hashes of
+    tolerance for collisions: words decide later)."""
     tests = [(a, min(a + step, n)) for a in range(0, n, step)]
-    needed = [least_matches(b, threshold, miss) for _, b in tests]
+    needed = [least_matches(b, percent / 100, miss) for _, b in tests]
 
     def compare(group: pa.Table) -> pa.Table:
         ids, label, own = (group.column(c).to_numpy() for c in ("id", "label", "own"))
         sig = np.frombuffer(b"".join(group.column("signature").to_pylist()), np.uint8).reshape(-1, n)
+        keys = group.column("bands").combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
+        here = int(np.flatnonzero(keys[0] == group.column("band")[0].as_py())[0])
+        members = [np.frombuffer(b, "<u4") for b in group.column("members").to_pylist()]
         x, y = group.column("x")[0].as_py(), group.column("y")[0].as_py()
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out_a, out_b = [], []
+        out = []
         for at in range(0, len(left), 64):
             rows = left[at : at + 64]
             i, j = np.nonzero((label[rows][:, None] != label[right][None, :]) & ((ids[rows][:, None] < ids[right][None, :]) | (x != y)))
@@ -146,9 +167,12 @@ def _across(n: int, step: int, threshold: float, miss: float) -> Callable[[pa.Ta
                 matches = matches + (sig[i, a:b] == sig[j, a:b]).sum(axis=1)
                 alive = matches >= least
                 i, j, matches = i[alive], j[alive], matches[alive]
-            out_a.append(np.minimum(ids[i], ids[j]))
-            out_b.append(np.maximum(ids[i], ids[j]))
-        return pa.Table.from_arrays([pa.array(np.concatenate([*c, np.zeros(0, np.int64)])) for c in (out_a, out_b)], ["a", "b"])
+            first = (keys[i] == keys[j]).argmax(axis=1) == here
+            for p, q in zip(i[first].tolist(), j[first].tolist(), strict=True):
+                both = len(np.intersect1d(members[p], members[q], assume_unique=True)) + 2
+                if 100 * both >= percent * (len(members[p]) + len(members[q]) - both):
+                    out.append((min(ids[p], ids[q]), max(ids[p], ids[q])))
+        return pa.Table.from_arrays([pa.array([c[z] for c in out], pa.int64()) for z in (0, 1)], ["a", "b"])
 
     return compare
 
@@ -254,12 +278,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             y = signature.select(F.col("id").alias("b"), F.col("signature").alias("sb"))
             alive = pairs.join(x, "a").join(y, "b").select("a", "b", "sa", "sb").mapInArrow(_prune(bands * rows, rows * 8, percent / 100, miss), "a long, b long")
         else:
-            # cut every open bucket into chunks and compare chunk with chunk where the signatures are: only survivors become rows
-            chunks = now.join(split.select("band"), "band").groupBy("band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
-            member = now.join(chunks, "band").join(signature, "id").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n")).cast("int"))
+            # cut every open bucket into chunks and compare chunk with chunk inside tasks: only links become rows
+            open_ = written(now.join(split.select("band"), "band"), f"{path}/open")
+            chunks = open_.groupBy("band").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("n"))
+            ids = open_.select("id").distinct()
+            sets = texts.join(ids, "id", "left_semi").mapInArrow(_full_sets(k), "id long, members binary")
+            known = groups.select("id", "signature", "bands").join(sets, "id")
+            member = open_.join(chunks, "band").join(known, "id").withColumn("own", F.pmod(F.xxhash64(F.lit(1), "id"), F.col("n")).cast("int"))
             against = member.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other"))
-            dealt = against.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "signature")
-            compare = _across(bands * rows, rows * 8, percent / 100, miss)
+            dealt = against.select("band", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "id", "label", "signature", "bands", "members")
+            compare = _across(bands * rows, rows * 8, percent, miss)
             alive = dealt.groupBy("band", "x", "y").applyInArrow(compare, "a long, b long").distinct().join(tested, ["a", "b"], "left_anti")
         alive = written(alive, f"{path}/{turn}/alive")
         if alive.isEmpty():

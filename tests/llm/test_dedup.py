@@ -73,8 +73,10 @@ def _brute(docs, k, percent):
     return {d: (len(sets[d]), find(d)) for d in ids}
 
 
-@pytest.mark.parametrize(("k", "edit"), [(2, 0.03), (5, 0.02)])
-def test_near_matches_brute_force(spark, k, edit):
+@pytest.mark.parametrize(("k", "edit", "chunk", "stars"), [(2, 0.03, 500, 3), (5, 0.02, 3, 1)])
+def test_near_matches_brute_force(spark, monkeypatch, k, edit, chunk, stars):
+    monkeypatch.setattr(nd, "CHUNK", chunk)
+    monkeypatch.setattr(nd, "STAR_ROUNDS", stars)
     rng = random.Random(k)
     words = [f"w{i}" for i in range(300)]
     docs = []
