@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from storelake.llm.common import STEP, buffers, plain, run_dir, slices, span_hashes, written_bucketed
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 32 << 20
 
 # --------------------------------------------------------------------------- pre-tokens
 
