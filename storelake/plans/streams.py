@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from storelake.operators import aggs
 from storelake.plans.common import finish
+from storelake.plans.gold import lifecycles
+from storelake.plans.named import overcrowded, recent, stockouts
 from storelake.plans.registry import ORACLES, register
 from storelake.sources import driver as d
 from storelake.streaming import runner as st
@@ -260,17 +262,45 @@ m AS (SELECT due, max(max(ts)) OVER (ORDER BY due ROWS BETWEEN UNBOUNDED PRECEDI
 SELECT CASE WHEN ts <= mark THEN 'late' ELSE 'on_time' END AS class, count(*) AS rows FROM e JOIN m USING (due) GROUP BY 1"""
 
 
+def alert_rules() -> dict:
+    """Rule -> (lookback seconds, time column, rows of a window -> alerts (key, value))."""
+    key = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c)).alias("key")
+    value = lambda c: F.col(c).cast("double").alias("value")
+    return {
+        "AL01": (300, "event_ts", lambda x: x.select(key("store_id", "product_id"), value("last_known_quantity"))),
+        "AL02": (600, "event_ts", lambda x: x.where(F.col("priority") == "URGENT").select(key("store_id", "product_id"), value("reorder_quantity"))),
+        "AL03": (300, "arrival_ts", lambda x: x.where(F.col("dwell_minutes") > 90).select(key("shipment_id", "site"), F.round("dwell_minutes", 4).alias("value"))),
+        "AL04": (300, "event_ts", lambda x: overcrowded(x).select(key("store_id", "zone"), value("customers"))),
+        "AL05": (300, "event_ts", lambda x: x.where(F.col("total_cents") > 20000).select(key("receipt_id"), value("total_cents"))),
+    }
+
+
+def raise_alerts(rule: str):
+    """foreachBatch of ST10: the rule over the batch's rows of its lookback, into the batch's own folder."""
+    seconds, ts, alerts = alert_rules()[rule]
+
+    def writer(df, bid, out):
+        st.batch_keyed_upsert(alerts(recent(df, ts, seconds)).select(F.lit(rule).alias("rule"), "key", "value"), bid, out)
+
+    return writer
+
+
 @register("ST10", None)
 def st10_streaming_alerts(spark, sf):
-    """Rule AL04 on the stream: zones with > 50 visits or average dwell > 600 s
-    in a 5-minute window."""
-    s = et(st.table_stream(spark, sf, "events"), "ts").withWatermark("ts", WATERMARK)
-    g = s.groupBy(F.col("props"), F.col("event_type").alias("zone"), F.window("ts", "5 minutes").alias("w")).agg(
-        F.count(F.lit(1)).alias("customers"), F.avg("value").alias("avg_dwell")
-    )
-    out = st.run_to_table(g, "st10", mode="complete")
-    out = out.where((F.col("customers") > 50) | (F.col("avg_dwell") > 600))
-    return finish(out.select(F.get_json_object("props", "$.k").cast("bigint").alias("store_id"), "zone", F.col("w.start").alias("window_start"), "customers", F.round("avg_dwell", 4).alias("avg_dwell")))
+    """Rules AL01–AL05 over streams of their event tables, each micro-batch by its own
+    lookback (5 or 10 minutes before its latest row). No state is kept between batches, and a
+    replayed batch rewrites only its own alerts. Derived tables (stockouts, reorders, truck
+    lifecycles) are landed as files first, as their producers would."""
+    from storelake.plans.reaimed import reorder_signals
+
+    base = st.run_folder(spark, "st10")
+    tables = {"AL01": stockouts(spark, sf), "AL02": reorder_signals(spark, sf), "AL03": lifecycles(spark, sf), "AL04": d.sensors(spark, sf), "AL05": d.receipts(spark, sf)}
+    out = []
+    for rule, table in tables.items():
+        table.write.parquet(f"{base}/{rule}/in")
+        done = st.run_batches(st.dir_stream(spark, f"{base}/{rule}/in", table.schema, max_files=None), f"{base}/{rule}", raise_alerts(rule))
+        out.append(spark.read.schema("rule string, key string, value double").parquet(done).select("rule", "key", "value"))
+    return reduce(lambda a, b: a.unionByName(b), out)
 
 
 @register("ST11", None)
@@ -306,5 +336,14 @@ def _share(alias, src):
 
 
 _share("ST04", "A13")
-_share("ST10", "AL04")
+_AL = {
+    "AL01": ("store_id, product_id", "last_known_quantity"),
+    "AL02": ("store_id, product_id", "reorder_quantity"),
+    "AL03": ("shipment_id, site", "dwell_minutes"),
+    "AL04": ("store_id, zone", "customers"),
+    "AL05": ("receipt_id", "total_cents"),
+}
+ORACLES["ST10"] = " UNION ALL ".join(
+    f"SELECT '{rule}' AS rule, concat_ws('|', {key}) AS key, CAST({value} AS DOUBLE) AS value FROM ({ORACLES[rule]})" for rule, (key, value) in _AL.items()
+)
 _share("ST13", "J13")
