@@ -165,12 +165,19 @@ def s12_chunked_write(spark, sf):
     return x.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(*d.LINE_KEY).alias("distinct_rows"))
 
 
-@register("S14", None)
+@register(
+    "S14",
+    """SELECT 'o_totalprice' AS "column", 'mistyped' AS issue, 'decimal(19,4)' AS expected, 'double' AS found, count(*) AS rows,
+  CAST(count_if(o_totalprice IS NULL) AS BIGINT) AS nulls, CAST(count_if(o_totalprice IS NOT NULL AND try_cast(o_totalprice AS DECIMAL(19,4)) IS NULL) AS BIGINT) AS lost FROM orders
+UNION ALL SELECT 'o_orderpriority', 'mistyped', 'int', 'string', count(*), CAST(count_if(o_orderpriority IS NULL) AS BIGINT),
+  CAST(count_if(o_orderpriority IS NOT NULL AND try_cast(o_orderpriority AS INTEGER) IS NULL) AS BIGINT) FROM orders
+UNION ALL SELECT 'o_clerk', 'missing', 'string', NULL, count(*), count(*), 0 FROM orders""",
+)
 def s14_conform(spark, sf):
-    """Contract check of orders: missing / mistyped / case-duplicate report."""
+    """Contract check of orders: missing / mistyped columns and the values their casts would lose."""
     contract = T.StructType([
         T.StructField("o_orderkey", T.LongType()), T.StructField("o_custkey", T.LongType()), T.StructField("o_totalprice", T.DecimalType(19, 4)),
-        T.StructField("o_orderdate", T.TimestampNTZType()), T.StructField("o_clerk", T.StringType()),
+        T.StructField("o_orderdate", T.TimestampNTZType()), T.StructField("o_orderpriority", T.IntegerType()), T.StructField("o_clerk", T.StringType()),
     ])
     _, report = fs.conform(d.table(spark, sf, "orders"), contract)
     return report

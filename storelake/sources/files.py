@@ -181,9 +181,9 @@ def chunked_write(df: DataFrame, keys: Sequence[str], chunks: int, base: str, wr
 
 # S14 -------------------------------------------------------------------------
 def conform(df: DataFrame, contract: T.StructType) -> tuple[DataFrame, DataFrame]:
-    """Project to the contract order (missing columns NULL, casts applied)
-    and report missing / mistyped / case-duplicate columns as a DataFrame."""
-    spark = df.sparkSession
+    """Project to the contract order (missing columns NULL, casts applied) and
+    report missing / mistyped / case-duplicate columns with what the data shows: rows, nulls, and
+    values that do not survive the cast (``lost``). One aggregate over the rows."""
     have = {f.name: f.dataType for f in df.schema.fields}
     lower: dict[str, list[str]] = {}
     for n in have:
@@ -191,14 +191,19 @@ def conform(df: DataFrame, contract: T.StructType) -> tuple[DataFrame, DataFrame
     issues = []
     for f in contract.fields:
         if f.name not in have:
-            issues.append((f.name, "missing", f.dataType.simpleString(), None))
+            issues.append((f.name, "missing", f.dataType, None, F.count(F.lit(1)), F.lit(0)))
         elif have[f.name] != f.dataType:
-            issues.append((f.name, "mistyped", f.dataType.simpleString(), have[f.name].simpleString()))
-    for names in lower.values():
-        if len(names) > 1:
-            issues.append((",".join(sorted(names)), "case_duplicate", None, None))
-    projected = df.select(*[(F.col(f.name).cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in contract.fields])
-    report = spark.createDataFrame(issues, "column string, issue string, expected string, found string")
+            c = F.col(f.name)
+            issues.append((f.name, "mistyped", f.dataType, have[f.name], F.count_if(c.isNull()), F.count_if(c.isNotNull() & c.try_cast(f.dataType).isNull())))
+    issues += [(",".join(sorted(names)), "case_duplicate", None, None, F.lit(0), F.lit(0)) for names in lower.values() if len(names) > 1]
+    projected = df.select(*[(F.col(f.name).try_cast(f.dataType) if f.name in have else F.lit(None).cast(f.dataType)).alias(f.name) for f in contract.fields])
+    name = lambda t: F.lit(t.simpleString() if t else None).cast("string")
+    rows = [
+        F.struct(F.lit(c).alias("column"), F.lit(i).alias("issue"), name(want).alias("expected"), name(found).alias("found"), F.count(F.lit(1)).alias("rows"), nulls.cast("long").alias("nulls"), lost.cast("long").alias("lost"))
+        for c, i, want, found, nulls, lost in issues
+    ]
+    none = "array<struct<column:string,issue:string,expected:string,found:string,rows:long,nulls:long,lost:long>>"
+    report = df.agg((F.array(*rows) if rows else F.array()).cast(none).alias("x")).select(F.explode("x").alias("x")).select("x.*")
     return projected, report
 
 
