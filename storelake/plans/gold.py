@@ -582,21 +582,33 @@ def a34_hourly_decisions(spark, sf):
 
 
 # A35 ---------------------------------------------------------------------------
+def _sql_drill(name: str, source: str, levels: list[str]) -> str:
+    cols = ", ".join(f"CAST({x} AS VARCHAR) AS level_{i + 1}" for i, x in enumerate(levels))
+    pad = "".join(f", NULL::VARCHAR AS level_{i + 1}" for i in range(len(levels), 4))
+    return f"""SELECT '{name}' AS hierarchy, {cols}{pad}, CAST(sum(cents) AS BIGINT) AS revenue_cents, count(*) AS rows,
+  CAST(grouping({", ".join(levels)}) AS BIGINT) AS grouping_level FROM {source} GROUP BY ROLLUP ({", ".join(levels)})"""
+
+
 @register(
     "A35",
-    f"""SELECT CAST(year(event_ts) AS VARCHAR) AS year, CAST(quarter(event_ts) AS VARCHAR) AS quarter, CAST(month(event_ts) AS VARCHAR) AS month,
-  CAST(sum(total_cents) AS BIGINT) AS revenue_cents, count(*) AS receipts,
-  CAST(grouping(year(event_ts), quarter(event_ts), month(event_ts)) AS BIGINT) AS grouping_level
-FROM {SQL_RECEIPTS} GROUP BY ROLLUP (year(event_ts), quarter(event_ts), month(event_ts))""",
+    _sql_drill("calendar", f"(SELECT year(event_ts) AS y, quarter(event_ts) AS q, month(event_ts) AS m, CAST(event_ts AS DATE) AS d, total_cents AS cents FROM {SQL_RECEIPTS})", ["y", "q", "m", "d"])
+    + " UNION ALL "
+    + _sql_drill("product", f"(SELECT p_type, p_brand, product_id, ext_cents AS cents FROM {SQL_LINES} JOIN part ON product_id = p_partkey)", ["p_type", "p_brand", "product_id"]),
 )
 def a35_drill_rollup(spark, sf):
-    r = d.receipts(spark, sf).select(
-        F.year("event_ts").alias("year"), F.quarter("event_ts").alias("quarter"), F.month("event_ts").alias("month"), "total_cents"
-    )
-    out = aggs.hierarchy_rollup(r, ["year", "quarter", "month"], [F.sum("total_cents").alias("revenue_cents"), F.count(F.lit(1)).alias("receipts")])
-    # Levels as text: subtotal rows carry NULL levels, and nullable integers
-    # would surface as floats in pandas.
-    return out.select(*[F.col(c).cast("string").alias(c) for c in ("year", "quarter", "month")], "revenue_cents", "receipts", F.col("grouping_level").cast("bigint").alias("grouping_level"))
+    """Drill totals along the calendar (year, quarter, month, date) and the product
+    hierarchy (department, brand, product); levels as text, null where rolled up."""
+    ts = F.col("event_ts")
+    calendar = d.receipts(spark, sf).select(F.year(ts).alias("level_1"), F.quarter(ts).alias("level_2"), F.month(ts).alias("level_3"), F.to_date(ts).alias("level_4"), F.col("total_cents").alias("cents"))
+    part = d.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), F.col("p_type").alias("level_1"), F.col("p_brand").alias("level_2"))
+    product = d.lines(spark, sf).join(part, "product_id").select("level_1", "level_2", F.col("product_id").alias("level_3"), F.col("ext_cents").alias("cents"))
+    out = []
+    for name, x, n in (("calendar", calendar, 4), ("product", product, 3)):
+        levels = [f"level_{i + 1}" for i in range(n)]
+        g = aggs.hierarchy_rollup(x, levels, [F.sum("cents").alias("revenue_cents"), F.count(F.lit(1)).alias("rows")])
+        shown = [(F.col(f"level_{i + 1}").cast("string") if i < n else F.lit(None).cast("string")).alias(f"level_{i + 1}") for i in range(4)]
+        out.append(g.select(F.lit(name).alias("hierarchy"), *shown, "revenue_cents", "rows", "grouping_level"))
+    return out[0].unionByName(out[1])
 
 
 # A36 ---------------------------------------------------------------------------

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storelake.operators import quality as q
-from storelake.plans.common import SQL_EVENTS, SQL_LINES, SQL_RECEIPTS
-from storelake.plans.gold import SQL_ORDER_TOTALS, SQL_TRUCK_MOVES, order_totals
+from storelake.plans.common import SQL_EVENTS, SQL_LEDGER, SQL_LINES, SQL_RECEIPTS
+from storelake.plans.gold import SQL_MARKETING, SQL_ORDER_TOTALS, SQL_SENSORS, SQL_TRUCK_MOVES, order_totals
 from storelake.plans.registry import register
 from storelake.sources import driver as d
 
@@ -53,14 +53,15 @@ def d03_exactly_one(spark, sf):
     return q.exactly_one(d.truck_moves(spark, sf), "store_id", "dc_id", "moves_store_xor_dc")
 
 
-@register(
-    "D04",
-    _chk("lines_event_date", f"SELECT count(*) FROM {SQL_LINES} l WHERE event_date IS NULL")
-    + " UNION ALL "
-    + _chk("receipts_event_date", f"SELECT count(*) FROM {SQL_RECEIPTS} r WHERE event_date IS NULL"),
-)
+# Every fact and its date or time column.
+_FACT_DATES = {"lines": (SQL_LINES, "event_date"), "receipts": (SQL_RECEIPTS, "event_date"), "sensors": (SQL_SENSORS, "event_ts"), "ledger": (SQL_LEDGER, "event_ts"), "truck_moves": (SQL_TRUCK_MOVES, "event_ts"), "marketing": (SQL_MARKETING, "event_ts"), "order_totals": (SQL_ORDER_TOTALS, "event_ts")}
+
+
+@register("D04", " UNION ALL ".join(_chk(f"{name}_{c}", f"SELECT count(*) FROM {sql} x WHERE {c} IS NULL") for name, (sql, c) in _FACT_DATES.items()))
 def d04_not_null_dates(spark, sf):
-    return q.report([q.not_null(d.lines(spark, sf), "event_date", "lines_event_date"), q.not_null(d.receipts(spark, sf), "event_date", "receipts_event_date")])
+    """The date of every row of every fact is set."""
+    facts = {"lines": d.lines, "receipts": d.receipts, "sensors": d.sensors, "ledger": d.ledger, "truck_moves": d.truck_moves, "marketing": d.marketing, "order_totals": order_totals}
+    return q.report([q.not_null(fact(spark, sf), _FACT_DATES[name][1], f"{name}_{_FACT_DATES[name][1]}") for name, fact in facts.items()])
 
 
 @register(
