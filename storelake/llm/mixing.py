@@ -31,17 +31,24 @@ NO_SOURCE = "(none)"
 _SEGMENT_BITS = 12
 
 
-def target_weights(shares: dict[str, int], ceiling: float, period: int) -> dict[str, int]:
-    """Integer weights that sum to ``period``: natural shares, none above ``ceiling``
-    (the surplus goes to the others in proportion), at least 1 each."""
+def target_weights(shares: dict[str, int], ceiling: float, period: int, most_trim: float = 0.5) -> dict[str, int]:
+    """Integer weights that sum to ``period``, at least 1 each: natural shares, with sources
+    that would hold more than ``ceiling`` of the mix brought down to it while all others keep
+    their text, but none by more than ``most_trim`` of its text."""
     total = sum(shares.values())
+    natural = {k: v / total for k, v in shares.items()}
     top = max(ceiling, 1 / len(shares))
-    w, full = {k: v / total for k, v in shares.items()}, set()
+    w, full = dict(natural), set()
     while over := {k for k, v in w.items() if v > top + 1e-12 and k not in full}:
         full |= over
         rest = sum(shares[k] for k in shares if k not in full)
         left = 1 - top * len(full)
         w = {k: top if k in full else left * shares[k] / rest for k in shares}
+    free = next((k for k in shares if k not in full), None)
+    if free is not None:  # what each source keeps if those below the ceiling keep all
+        scale = natural[free] / w[free]
+        kept = {k: max(w[k] * scale, natural[k] * (1 - most_trim)) if k in full else natural[k] for k in shares}
+        w = {k: v / sum(kept.values()) for k, v in kept.items()}
     whole = {k: max(1, int(v * period)) for k, v in w.items()}
     order = sorted(w, key=lambda k: (whole[k] - w[k] * period, k))
     i = 0
@@ -70,14 +77,15 @@ def pfair_period(weights: dict[str, int], period: int) -> list[tuple[str, int, i
     return out
 
 
-def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, ceiling: float = 0.25, period: int = 1000, block_chars: int = 100_000) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, ceiling: float = 0.25, most_trim: float = 0.5, period: int = 1000, block_chars: int = 100_000) -> DataFrame:
     """One row per input row: ``doc_id, text_key, source, lane, n_chars, block, slot,
     release, deadline, offset, in_mix``.
 
     Order by (slot, offset) to read the mix. ``weights`` gives integer weights by source
     (sources not named get none and leave the mix; ``period`` is their sum); else weights are the natural shares with no source
-    above ``ceiling``. A source over its target has surplus blocks: what comes after the last
-    block of all other sources is not ``in_mix``. All else is. A null source is a
+    above ``ceiling``, though none gives up more than ``most_trim`` of its text for that. A source
+    over its target has surplus blocks: what comes after the last block of all other sources
+    is not ``in_mix``. All else is. A null source is a
     source of its own ('(none)'); null texts have length 0; rows without an id and
     repeated rows are documents like any other. Empty input, empty result."""
     spark = docs.sparkSession
@@ -93,7 +101,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, ceiling:
         lanes = written(by_source.withColumn("lane", F.when(small, F.lit(POOL)).otherwise(F.col("source"))), f"{path}/lanes")
         # a lane has 1/period of the text, or is the pool: at most period + 1 rows
         shares = {r["lane"]: int(r["chars"]) for r in lanes.groupBy("lane").agg(F.sum("chars").alias("chars")).collect()}
-        targets = target_weights(shares, ceiling, period) if shares else {}
+        targets = target_weights(shares, ceiling, period, most_trim) if shares else {}
         natural = {k: v / max(1, sum(shares.values())) for k, v in shares.items()}
         trimmed = {k for k in targets if targets[k] / period < natural[k] - 1.0 / period}
     else:

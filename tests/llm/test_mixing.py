@@ -31,7 +31,17 @@ def test_period_is_pfair(parts):
 def test_targets(shares):
     w = target_weights(shares, 0.25, 1000)
     assert sum(w.values()) == 1000 and min(w.values()) >= 1 and w.keys() == shares.keys()
-    assert max(w.values()) <= max(250, ceil(1000 / len(shares))) + len(shares)
+    total = sum(shares.values())
+    for k, v in shares.items():  # nothing loses more than half of its text, and the mix is no larger than all text
+        assert w[k] >= v / total * 1000 / 2 - len(shares) - 1
+    if max(shares.values()) / total <= 0.25:  # nothing above the ceiling: natural shares
+        assert all(abs(w[k] - v / total * 1000) <= len(shares) + 1 for k, v in shares.items())
+
+
+def test_ceiling_and_most_trim():
+    w = target_weights({"hot": 600, "b": 200, "c": 200, "d": 200, "e": 200}, 0.25, 1000)
+    assert abs(w["hot"] - 1000 * 300 / 1100) <= 1  # half of its own text: a quarter of the mix would be less
+    assert target_weights({"big": 99, "small": 1}, 0.25, 1000)["big"] > 950
 
 
 def _docs(spark, sizes):
@@ -68,13 +78,13 @@ def test_only_a_source_over_its_target_gives_way(spark):
     left = {r.source: (r.n, r.kept) for r in got.groupBy("source").agg(F.count("*").alias("n"), F.count_if("in_mix").alias("kept")).collect()}
     assert all(left[s] == (200, 200) for s in "bcde")
     total = sum(k for _, k in left.values())
-    assert left["hot"][1] / total == pytest.approx(0.25, abs=0.01)
+    assert left["hot"][1] == pytest.approx(300, abs=6)  # half of it: a quarter of the mix would be 267
     stay = mixed(docs, block_chars=100)
     assert stay.columns == docs.columns and stay.count() == total
 
 
 def test_small_sources_share_a_lane(spark):
-    docs = _docs(spark, {"a": 90, "b": 90, **{f"t{i}": 1 for i in range(6)}})
+    docs = _docs(spark, {**dict.fromkeys("abcde", 90), **{f"t{i}": 1 for i in range(6)}})
     got = mix_sources(docs, period=20, block_chars=100)
     assert got.where("lane = '(small sources)'").count() == 6
     assert got.where("in_mix").count() == got.count()
