@@ -2,7 +2,9 @@
 
 The model is over characters (runs of ``ORDER`` = 4; each of the four packs
 into 16 bits, characters beyond U+FFFF count as one), one model a language. Trusted
-text is every document labelled good; all of it is counted.
+text is every document labelled good. One document in ``HOLD_OUT`` = 5 of it (by a hash of its
+id) is held out to set the thresholds, since a model is too sure of what it was
+trained on; all others are counted.
 
 1. *Blocks.* Documents are stored once in compressed blocks, bucketed by block.
    Labels meet the block's document numbers, so no text is moved for them.
@@ -14,10 +16,10 @@ text is every document labelled good; all of it is counted.
    order: P(w|h) = (c - D(c)) / c(h) + gamma(h) P(w|h'). The log-probabilities join
    the n-grams of each block, and a block sums them by document.
 5. *Thresholds.* A document is rejected if its bits a character exceed the
-   ``quantile`` of trusted documents of its language and length class (powers of
-   four of its length; a class with fewer than ``least`` trusted documents takes the
-   language's own quantile). Short texts vary more than long ones. A language
-   without trusted documents rejects nothing.
+   ``quantile`` of held-out trusted documents of its language and length class (powers of
+   four of its length; a class with fewer than ``least`` of them takes the language's own
+   quantile, a language with none that of its training documents). Short texts vary more
+   than long ones. A language without trusted documents rejects nothing.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from pyspark.sql import functions as F
 from storelake.llm.common import buffers, packed, plain, run_dir, slices, text_of, written, written_bucketed
 
 ORDER = 4
+HOLD_OUT = 5
+LEAST_DISCOUNT = 0.01
 BLOCK_BYTES = 16 << 20
 _VOCABULARY = 1 << 16  # the lowest order backs off to the uniform distribution
 _SALTS = 256
@@ -114,7 +118,7 @@ def _sorted_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(block: pa.Table, trusted: pa.Table) -> pa.Table:
     row, texts = _documents(block)
-    good = set(trusted.column("place").to_pylist())
+    good = {p for p, held in zip(trusted.column("place").to_pylist(), trusted.column("held").to_pylist(), strict=True) if not held}
     out = []
     for lang, places in sorted(_by_language(row["langs"]).items()):
         mine = _sorted_counts([texts[i] for i in places])[0]
@@ -159,8 +163,8 @@ def _order_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     of = lambda k: F.count_if(F.col("n") == k).alias(f"n{k}")
     d = counts.groupBy("lang").agg(of(1), of(2), of(3), of(4))
     y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
-    # where a count of counts is zero the discount is a half
-    cut = [F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(0.0), F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))).otherwise(F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
+    # where a count of counts is zero the discount is a half; a least discount leaves every context some weight for lower orders
+    cut = [F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(LEAST_DISCOUNT), F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))).otherwise(F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
     discounts = d.select("lang", *cut)
     less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     # a language may hold a third of all n-grams: salted, so that no task gets a language whole
@@ -202,11 +206,12 @@ def _quantiles(trusted: DataFrame, by: list[str], quantile: float, name: str) ->
 
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, text_key, lang, n_grams, bits, perplexity,
-    threshold, trusted, kept``.
+    threshold, role, kept``.
 
     ``docs`` needs doc_id, text, lang; ``labels`` doc_id, quality. A null language is a
     language of its own ('und'); a null or empty text is scored by its end alone and
-    kept or rejected like any other. A document is trusted if all its labels say 1. ``text_key`` is
+    kept or rejected like any other. A document is trusted if all its labels say 1;
+    ``role`` is then 'training' or 'calibration', else null. ``text_key`` is
     the 64-bit hash of the text, so that (doc_id, text_key) names a row where ids repeat. Empty
     documents give an empty result; without labels everything is kept."""
     spark = docs.sparkSession
@@ -215,7 +220,8 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     blocks = written_bucketed(rows.mapInArrow(_blocks(block_bytes), _BLOCKS), f"{path}/blocks", "block")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
-    trusted = written(places.join(good, "doc_id").select("block", "place"), f"{path}/trusted")
+    held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
+    trusted = written(places.join(good, "doc_id").select("block", "place", held.alias("held")), f"{path}/trusted")
     texts = blocks.select("block", "doc_ids", "keys", "langs", "sizes", "texts")
     seen = texts.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(_count, "block long, lang string, gram long, n long")
     seen = written(seen, f"{path}/grams")
@@ -226,13 +232,14 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     scored = texts.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(_score, schema)
     band = F.floor(F.log("n_grams") / F.log(F.lit(4.0))).cast("int").alias("band")
     scored = written(scored.select("*", band, F.ceil(F.col("bits") * 1000).alias("step")), f"{path}/scores")
-    marked = scored.join(trusted.withColumn("trusted", F.lit(True)), ["block", "place"], "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
-    own = marked.where("trusted")
-    narrow = _quantiles(own, ["lang", "band"], quantile, "fine").where(F.col("fine_docs") >= least)
-    wide = _quantiles(own, ["lang"], quantile, "whole")
-    threshold = F.coalesce("fine", "whole")
+    marked = scored.join(trusted, ["block", "place"], "left")
+    narrow = _quantiles(marked.where("held"), ["lang", "band"], quantile, "fine").where(F.col("fine_docs") >= least)
+    wide = _quantiles(marked.where("held"), ["lang"], quantile, "whole")
+    fitted = _quantiles(marked.where("NOT held"), ["lang"], quantile, "fitted")
+    threshold = F.coalesce("fine", "whole", "fitted")
     kept = threshold.isNull() | (F.col("step") / 1000 <= threshold)
-    return marked.join(narrow, ["lang", "band"], "left").join(wide, ["lang"], "left").select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), "trusted", kept.alias("kept"))
+    role = F.when(F.col("held"), "calibration").when(~F.col("held"), "training").alias("role")
+    return marked.join(narrow, ["lang", "band"], "left").join(wide, ["lang"], "left").join(fitted, ["lang"], "left").select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), role, kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
