@@ -118,6 +118,7 @@ def span_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID)).alias("doc_id"), text_of(text_col).alias("text")).select("doc_id", F.xxhash64("text").alias("text_key"), "text")
     spans = written(rows.mapInArrow(_spans(run, least), "span long, doc_id long, text_key long, start int, stop int, again boolean"), f"{path}/spans")
     repeated = spans.groupBy("span").agg(F.min("doc_id").alias("holder"), F.count("*").alias("n")).where("n > 1").select("span", "holder")
+    repeated = written(repeated, f"{path}/repeated")  # a side of its own, so that AQE may split a hot span on the other
     later = spans.join(repeated, "span").where("again OR doc_id <> holder")
     # the spans of a document are bounded by its sentences
     cuts = later.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "stop")).alias("cuts"), F.sort_array(F.collect_set(F.when(F.col("holder") < _LAST_ID, F.col("holder")))).alias("copied_from"))
