@@ -195,11 +195,11 @@ def _by_day(df: DataFrame, keys: Sequence[str], ts: str, inside: Column, summary
     day = F.to_date(ts)
     x = df.withColumn("_day", day).withColumn("_in", inside)
     days = df.groupBy(*keys, day.alias("_day")).agg(summary.alias("_sum"))
-    days = days.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_day").alias("_k_day"), carry.alias("_carry"))
-    same = F.col("_day").eqNullSafe(F.col("_k_day"))
+    days = days.select(*(F.col(k).alias(f"_k_{k}") for k in keys), F.col("_day").alias("_carry_day"), carry.alias("_carry"))
+    same = F.col("_day").eqNullSafe(F.col("_carry_day"))
     for k in keys:
         same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
-    return x.join(days, same).withColumn(out, F.coalesce("_in", "_carry")["v"]).drop("_day", "_in", "_carry", "_k_day", *(f"_k_{k}" for k in keys))
+    return x.join(days, same).withColumn(out, F.coalesce("_in", "_carry")["v"]).drop("_day", "_in", "_carry", "_carry_day", *(f"_k_{k}" for k in keys))
 
 
 def previous(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, out: str) -> DataFrame:

@@ -135,7 +135,7 @@ def test_exact_percentiles_equal_percentile(spark):
 
     from storelake.operators import aggs
 
-    df = spark.range(20000).select((F.col("id") % 7).alias("g"), F.when(F.col("id") % 11 != 0, F.pow(F.rand(3), 3) * 1000).alias("v"), (F.col("id") % 5).alias("w"))
+    df = spark.range(200000).select(F.when(F.col("id") < 300, F.col("id") % 3 + 2).otherwise(F.col("id") % 2).alias("g"), F.when(F.col("id") % 11 != 0, F.pow(F.rand(3), 3) * 1000).alias("v"), (F.col("id") % 5).alias("w"))
     df = df.withColumn("g", F.when(F.col("g") > 0, F.col("g")))
     want = {"a": ("v", 0.5), "b": ("v", 0.9), "c": ("w", 0.33), "d": ("v", 0.0), "e": ("v", 1.0)}
     for group in ([], ["g"]):
