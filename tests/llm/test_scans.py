@@ -10,7 +10,7 @@ import pytest
 
 from storelake.llm import licenses as lic
 from storelake.llm import secret_scan as sec
-from storelake.llm.spans import sentences, span_dedup
+from storelake.llm.spans import sentences, span_dedup, word_runs
 
 BITS = ["token: ", 'api_key = "', "Password=", "secret:", "AKIA", "0123456789abcdef", "ABCDEFGH12345678", " ", "'", "xyz.", "é", "==", "PASSWD : '", "\n"]
 
@@ -188,3 +188,49 @@ def test_span_edges(edge_docs, no_docs):
     assert by[10].n_removed == 3 and by[10].copied_from == [1] and by[1].n_removed == 0
     assert by[3].clean_text == "" and None in by
     assert span_dedup(no_docs).count() == 0
+
+
+def _repeats(texts, n=51):
+    """Windows of ``n`` words that stand in two documents."""
+    seen = {}
+    for d, t in enumerate(texts):
+        w = t.lower().split()
+        for i in range(len(w) - n + 1):
+            seen.setdefault(tuple(w[i : i + n]), set()).add(d)
+    return [k for k, at in seen.items() if len(at) > 1]
+
+
+def test_passages_are_caught_wherever_they_begin(spark):
+    """51 words inside a sentence, at any offset, without end marks, wrapped at other line ends, and in a script without spaces."""
+    rng = random.Random(11)
+    said = [f"w{rng.randrange(900)}" for _ in range(51)]
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(60))
+    texts, own = [], []
+    for d in range(24):
+        before, after = ([f"{c}{d}x{rng.randrange(900)}" for _ in range(5 + 7 * d)] for c in "uv")
+        inner = "".join((" " if rng.random() < 0.8 else "\n") + (w.upper() if rng.random() < 0.2 else w) for w in said).strip()
+        other = "".join(chr(0x3400 + 40 * d + rng.randrange(40)) for _ in range(d % 10 + 30))  # too short to count
+        texts.append(f"{' '.join(before)} {inner} {' '.join(after)}\n{other}{cjk}{other}")
+        own.append(f"{' '.join(before)} {' '.join(after)}\n{other}{other}")
+    assert _repeats(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in span_dedup(docs, block_bytes=3000).collect()}
+    assert got[0].clean_text == texts[0] and got[0].removed_chars == 0
+    for d in range(1, 24):
+        assert got[d].clean_text == own[d] and got[d].copied_from == [0]
+        assert got[d].removed_chars == len(texts[d]) - len(own[d])
+
+
+def test_no_long_window_stays_twice(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    got = span_dedup(docs).orderBy("doc_id").collect()
+    texts = [r.text or "" for r in docs.orderBy("doc_id").collect()]
+    keep = set(_repeats(texts))
+    assert len(got) == len(texts) and keep
+    assert not keep & set(_repeats([r.clean_text for r in got]))
+
+
+def test_first_place_of_a_text_that_repeats_itself_stays(spark):
+    docs = spark.createDataFrame([(1, "so " * 200)], "doc_id long, text string")
+    assert word_runs(["so " * 200])[1].size == 200
+    assert span_dedup(docs).first().removed_chars < 600
