@@ -136,9 +136,14 @@ def mix_sources(docs: DataFrame, weights: dict[str, int] | None = None, ceiling:
     return slots.select("*", in_mix.alias("in_mix"))
 
 
-def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The documents of the mix with all their columns, in the order of the mix."""
-    plan = mix_sources(docs, **options).where("in_mix").groupBy("doc_id", "text_key", "source").agg(F.min("slot").alias("slot"), F.min("offset").alias("offset"))
+def mixed(docs: DataFrame, surplus: bool = False, **options) -> DataFrame:
+    """The documents of the mix with all their columns, in the order of the mix.
+
+    With ``surplus`` all documents of scheduled sources stay: the blocks of a source over its target that are not
+    ``in_mix`` keep their slots, which come after the last block of the sources at their targets."""
+    plan = mix_sources(docs, **options)
+    plan = plan if surplus else plan.where("in_mix")
+    plan = plan.groupBy("doc_id", "text_key", "source").agg(F.min("slot").alias("slot"), F.min("offset").alias("offset"))
     marked = packed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(text_of()), origin=F.coalesce(F.col("source").cast("string"), F.lit(NO_SOURCE)))
     same = marked["id"].eqNullSafe(plan["doc_id"]) & (marked["key"] == plan["text_key"]) & (marked["origin"] == plan["source"])
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

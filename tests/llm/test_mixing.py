@@ -97,3 +97,17 @@ def test_edges(edge_docs, no_docs):
     assert stay.columns == edge_docs.columns
     assert stay.count() == sum(r.in_mix for r in got)
     assert mix_sources(no_docs).count() == 0 and mixed(no_docs).count() == 0
+
+
+def test_the_surplus_stays_behind_the_balanced_part(spark):
+    import corpus_pipeline as cp
+
+    docs = _docs(spark, {"hot": 600, "b": 200, "c": 200})
+    long = docs.withColumn("text", F.expr("repeat(text, 100)"))  # 30 blocks of the largest source
+    assert mixed(long).count() < 1000
+    assert cp.mix(spark, long, "").exceptAll(long).count() == 0 and cp.mix(spark, long, "").count() == 1000
+    plan = {r.doc_id: r for r in mix_sources(docs, block_chars=100).collect()}
+    out = [r.doc_id for r in mixed(docs, surplus=True, block_chars=100).collect()]
+    assert sorted(out) == sorted(plan) and not all(r.in_mix for r in plan.values())
+    assert [plan[d].slot for d in out] == sorted(r.slot for r in plan.values())
+    assert sorted(plan[d].in_mix for d in out)[::-1] == [plan[d].in_mix for d in out]
