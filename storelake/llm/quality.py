@@ -15,11 +15,12 @@ trained on; all others are counted.
 4. *Scores.* The corpus's distinct n-grams are looked up by shuffle joins, order by
    order: P(w|h) = (c - D(c)) / c(h) + gamma(h) P(w|h'). The log-probabilities join
    the n-grams of each block, and a block sums them by document.
-5. *Thresholds.* A document is rejected if its bits a character exceed the
-   ``quantile`` of held-out trusted documents of its language and length class (powers of
-   four of its length; a class with fewer than ``least`` of them takes the language's own
-   quantile, a language with none that of its training documents). Short texts vary more
-   than long ones. A language without trusted documents rejects nothing.
+5. *Thresholds.* Short texts vary more than long ones, with the root of their length up to
+   ``FLAT`` characters. So bits are standardised: less the language's median, over sqrt(1 + FLAT / length),
+   over the language's median deviation (drawn a little to that of all languages). A
+   document is rejected if its score exceeds the ``quantile`` of held-out trusted
+   texts of its language, to which those of all languages are added with a weight of ``least``
+   texts in all. The same rule holds at any count. Equal texts count once.
 """
 
 from __future__ import annotations
@@ -39,6 +40,9 @@ ORDER = 4
 HOLD_OUT = 5
 LEAST_DISCOUNT = 0.01
 BLOCK_BYTES = 16 << 20
+FLAT = 4096  # characters up to which the spread of texts falls with the root of their length
+PRIOR = 4  # texts that the spread of all languages counts as beside a language's own
+STEPS, MOST = 10_000, 100.0  # steps of a quantile; scores beyond MOST count as MOST
 _VOCABULARY = 1 << 16  # the lowest order backs off to the uniform distribution
 _SALTS = 256
 _START, _END = 2, 3  # control characters that stand for the edges of a text
@@ -196,12 +200,40 @@ def probabilities(grams: DataFrame, path: str) -> DataFrame:
     return lower.select("lang", "gram", (-F.log2("p")).alias("bits"))
 
 
-def _quantiles(trusted: DataFrame, by: list[str], quantile: float, name: str) -> DataFrame:
-    """Exact quantile of ``bits`` in steps of 1/1000, from counts by value (bounded by the steps)."""
+def _quantiles(rows: DataFrame, by: list[str], quantile: float, value, name: str) -> DataFrame:
+    """Quantile of ``value`` over rows of weight ``weight``, in steps of 1/STEPS, from sums by step (bounded by the steps)."""
     so_far = Window.partitionBy(*by).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    steps = trusted.groupBy(*by, "step").agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(so_far))
-    total = trusted.groupBy(*by).agg(F.count("*").alias("docs"))
-    return steps.join(total, by).where(F.col("upto") >= F.ceil(F.col("docs") * F.lit(quantile))).groupBy(*by).agg((F.min("step") / 1000).alias(name), F.max("docs").alias(f"{name}_docs"))
+    step = F.ceil(F.least(F.greatest(value, F.lit(-MOST)), F.lit(MOST)) * STEPS).alias("step")
+    steps = rows.groupBy(*by, step).agg(F.sum("weight").alias("weight")).withColumn("upto", F.sum("weight").over(so_far))
+    total = rows.groupBy(*by).agg(F.sum("weight").alias(f"{name}_weight"))
+    enough = F.col("upto") >= F.col(f"{name}_weight") * F.lit(quantile) - F.lit(1e-6)
+    return steps.join(total, by).where(enough).groupBy(*by).agg((F.min("step") / STEPS).alias(name), F.max(f"{name}_weight").alias(f"{name}_weight"))
+
+
+def _widening():
+    """How much wider a text of ``n_grams`` characters may vary than a very long one."""
+    return F.sqrt(1 + F.lit(float(FLAT)) / F.col("n_grams"))
+
+
+def limits(held: DataFrame, quantile: float, least: int) -> DataFrame:
+    """(lang, middle, width): a document goes if its bits exceed middle + width * widening.
+
+    ``held`` has lang, n_grams, bits of held-out trusted texts."""
+    held = held.select("lang", "n_grams", "bits", F.lit(1.0).alias("weight"), F.lit(0).alias("one"))
+    middle = _quantiles(held, ["lang"], 0.5, F.col("bits"), "middle")
+    off = held.join(middle.select("lang", "middle"), "lang").withColumn("off", (F.col("bits") - F.col("middle")) / _widening())
+    own = _quantiles(off, ["lang"], 0.5, F.abs("off"), "own")
+    whole = _quantiles(off, ["one"], 0.5, F.abs("off"), "whole")
+    n = F.col("own_weight")
+    spread = own.withColumn("one", F.lit(0)).join(whole, "one").select("lang", n.alias("n"), "whole_weight", F.greatest((n * F.col("own") + PRIOR * F.col("whole")) / (n + PRIOR), F.lit(1 / STEPS)).alias("spread"))
+    # sums by step, of the language itself and (as ``least`` texts in all) of every language
+    score = F.round(F.least(F.greatest(F.col("off") / F.col("spread"), F.lit(-MOST)), F.lit(MOST)), 2).alias("score")
+    scores = off.join(spread.select("lang", "spread"), "lang").groupBy("lang", score).agg(F.sum("weight").alias("weight"))
+    pooled = scores.groupBy("score").agg(F.sum("weight").alias("weight")).withColumn("one", F.lit(0))
+    shared = spread.select("lang", "whole_weight").withColumn("one", F.lit(0)).join(pooled, "one").select("lang", "score", (F.col("weight") * least / F.col("whole_weight")).alias("weight"))
+    top = _quantiles(scores.unionByName(shared), ["lang"], quantile, F.col("score"), "top")
+    width = F.col("spread") * F.greatest("top", F.lit(0.0))
+    return middle.join(spread, "lang").join(top, "lang").select("lang", "middle", width.alias("width"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -230,16 +262,13 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     scores = seen.select("block", "lang", "gram").join(bits, ["lang", "gram"]).select("block", "lang", "gram", F.col("bits").cast("float").alias("bits"))
     schema = "block long, place int, doc_id long, text_key long, lang string, n_grams long, bits double"
     scored = texts.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(_score, schema)
-    band = F.floor(F.log("n_grams") / F.log(F.lit(4.0))).cast("int").alias("band")
-    scored = written(scored.select("*", band, F.ceil(F.col("bits") * 1000).alias("step")), f"{path}/scores")
+    scored = written(scored, f"{path}/scores")
     marked = scored.join(trusted, ["block", "place"], "left")
-    narrow = _quantiles(marked.where("held"), ["lang", "band"], quantile, "fine").where(F.col("fine_docs") >= least)
-    wide = _quantiles(marked.where("held"), ["lang"], quantile, "whole")
-    fitted = _quantiles(marked.where("NOT held"), ["lang"], quantile, "fitted")
-    threshold = F.coalesce("fine", "whole", "fitted")
-    kept = threshold.isNull() | (F.col("step") / 1000 <= threshold)
+    held = written(marked.where("held").dropDuplicates(["lang", "text_key"]).select("lang", "n_grams", "bits"), f"{path}/held")
+    threshold = F.col("middle") + F.col("width") * _widening()
+    kept = threshold.isNull() | (F.col("bits") <= threshold)
     role = F.when(F.col("held"), "calibration").when(~F.col("held"), "training").alias("role")
-    return marked.join(narrow, ["lang", "band"], "left").join(wide, ["lang"], "left").join(fitted, ["lang"], "left").select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), role, kept.alias("kept"))
+    return marked.join(limits(held, quantile, least), ["lang"], "left").select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), role, kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -88,3 +88,16 @@ def test_edges(spark, edge_docs, no_docs):
     assert quality_scores(no_docs, labels).count() == 0
     none = quality_scores(edge_docs, labels.where("1 = 0"))
     assert none.where("kept").count() == edge_docs.count()
+
+
+def test_thresholds_follow_the_length(spark):
+    """One short text does not set the threshold of long ones, and no class of lengths has a rule of its own."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    got = quality_scores(docs, labels).join(labels, "doc_id").select("lang", "quality", "n_grams", "threshold", "kept").toPandas()
+    bad = got[(got.quality == 0) & got.kept].groupby("lang").size()
+    assert bad["de"] <= 14 and bad["en"] <= 20 and bad["fr"] <= 18  # 19, 25 and 20 by length classes
+    assert got[got.quality == 1].kept.mean() > 0.995
+    for _, own in got.groupby("lang"):
+        own = own.sort_values("n_grams")
+        assert (own.threshold.diff().dropna() <= 1e-9).all()  # longer texts never have a higher one
