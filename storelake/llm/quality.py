@@ -20,7 +20,9 @@ trained on; all others are counted.
    over the language's median deviation (drawn a little to that of all languages). A
    document is rejected if its score exceeds the ``quantile`` of held-out trusted
    texts of its language, to which those of all languages are added with a weight of ``least``
-   texts in all. The same rule holds at any count. Equal texts count once.
+   texts in all. The same rule holds at any count. Equal texts count once. A median of few texts
+   is itself uncertain: n of them widen the limit by 1 + DOUBT / (n - 1), as a prediction
+   limit from n values does. A language with fewer than two held-out texts rejects nothing.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ LEAST_DISCOUNT = 0.01
 BLOCK_BYTES = 16 << 20
 FLAT = 4096  # characters up to which the spread of texts falls with the root of their length
 PRIOR = 4  # texts that the spread of all languages counts as beside a language's own
+DOUBT = 8.0  # widening of the limit at two held-out texts
 STEPS, MOST = 10_000, 100.0  # steps of a quantile; scores beyond MOST count as MOST
 _VOCABULARY = 1 << 16  # the lowest order backs off to the uniform distribution
 _SALTS = 256
@@ -216,7 +219,7 @@ def _widening():
 
 
 def limits(held: DataFrame, quantile: float, least: int) -> DataFrame:
-    """(lang, middle, width): a document goes if its bits exceed middle + width * widening.
+    """(lang, middle, width): a document goes if its bits exceed middle + width * widening; no row of a language with fewer than two texts.
 
     ``held`` has lang, n_grams, bits of held-out trusted texts."""
     held = held.select("lang", "n_grams", "bits", F.lit(1.0).alias("weight"), F.lit(0).alias("one"))
@@ -232,8 +235,8 @@ def limits(held: DataFrame, quantile: float, least: int) -> DataFrame:
     pooled = scores.groupBy("score").agg(F.sum("weight").alias("weight")).withColumn("one", F.lit(0))
     shared = spread.select("lang", "whole_weight").withColumn("one", F.lit(0)).join(pooled, "one").select("lang", "score", (F.col("weight") * least / F.col("whole_weight")).alias("weight"))
     top = _quantiles(scores.unionByName(shared), ["lang"], quantile, F.col("score"), "top")
-    width = F.col("spread") * F.greatest("top", F.lit(0.0))
-    return middle.join(spread, "lang").join(top, "lang").select("lang", "middle", width.alias("width"))
+    width = F.col("spread") * F.greatest("top", F.lit(0.0)) * (1 + F.lit(DOUBT) / (F.col("n") - 1))
+    return middle.join(spread.where("n > 1"), "lang").join(top, "lang").select("lang", "middle", width.alias("width"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:

@@ -101,3 +101,17 @@ def test_thresholds_follow_the_length(spark):
     for _, own in got.groupby("lang"):
         own = own.sort_values("n_grams")
         assert (own.threshold.diff().dropna() <= 1e-9).all()  # longer texts never have a higher one
+
+
+@pytest.mark.parametrize("n_labels", [1, 3, 8, 20])
+def test_a_rare_language_keeps_its_clean_documents(spark, n_labels):
+    """Few labels of a language do not make its other clean documents go."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("doc_id < 4000").select("doc_id", "text", "lang")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
+    good = labels.where("quality = 1").select("doc_id")
+    rare = docs.where("lang = 'fr'").join(good, "doc_id").orderBy("doc_id").limit(80).select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    rare_ids = [r.doc_id for r in rare.select("doc_id").orderBy("doc_id").collect()]
+    some = docs.where("lang = 'en' AND doc_id < 1500").unionByName(rare)
+    told = labels.where(~F.col("doc_id").isin(rare_ids[n_labels:]))
+    got = quality_scores(some, told).where("lang = 'und'").toPandas()
+    assert len(got) == len(rare_ids) and got.kept.mean() > 0.95
