@@ -1,9 +1,11 @@
 """Secret scans: base patterns, and a battery of randomness tests over all token strings.
 
-Every maximal run of 20 or more characters of ``[A-Za-z0-9+/_=-]`` that mixes letters and digits
-is a candidate. Its encoding is inferred from the characters it uses (hex, base32, lower-case
-alphanumeric, base64), and under the hypothesis that it is random in that alphabet three tests
-give p-values:
+Every maximal run of characters of ``[A-Za-z0-9+/_=-]`` is split at ``=`` (NAME=value), and
+a piece of ``SHORTEST`` = 12 or more characters that mixes letters and digits is a candidate. So are its
+parts between ``/``, and those between ``/``, ``-`` and ``_`` (a key in a path or behind a prefix). The encoding is
+inferred from the characters used (hex, base32, lower-case and upper-case alphanumeric, base64; a string of
+one case with ``-`` or ``_``, such as a UUID, is judged without them and as a class of its own), and under
+the hypothesis that a candidate is random in that alphabet three tests give p-values:
 
 * chi-squared uniformity over the alphabet (Wilson-Hilferty form); where fewer than five of each
   symbol are expected the alphabet is merged into vowels, consonants (by case), digits and signs,
@@ -16,7 +18,7 @@ and length class (a string of 20 characters carries less evidence than one of 20
 tested apart) decides which candidates are called text; the others are reported as ``random``.
 The counts behind it cover the whole corpus: a partial aggregate by class and p-value step.
 
-Candidates inside a base span are not reported again.
+Candidates inside a base span are not reported again, nor parts of a reported string.
 """
 
 from __future__ import annotations
@@ -39,13 +41,16 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as long as a maximal run of 32 or more
 _WORDS = ("password", "passwd", "secret", "token", "api")
-_TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+SHORTEST = 12
+_TOKEN = re.compile(r"[A-Za-z0-9+/_-]{%d,}" % SHORTEST)  # maximal between "=" too
+_PARTS = [re.compile(r"[A-Za-z0-9+_-]{%d,}" % SHORTEST), re.compile(r"[A-Za-z0-9+]{%d,}" % SHORTEST)]
 
 # Alphabets by encoding, the most special first.
 ALPHABETS = {
     "hex": ["0123456789abcdef", "0123456789ABCDEF"],
     "base32": ["ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"],
     "lower": ["abcdefghijklmnopqrstuvwxyz0123456789"],
+    "upper": ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"],
     "base64": ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"],
 }
 
@@ -96,17 +101,34 @@ def battery(symbols: np.ndarray, merged: np.ndarray) -> float:
 def candidate(token: str) -> tuple[str, float] | None:
     """(encoding, p-value) of a token string, None where it is no candidate."""
     body = token.rstrip("=")
-    if len(body) < 20 or not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
+    if len(body) < SHORTEST or not (any(c.isdigit() for c in body) and any(c.isalpha() for c in body)):
         return None
+    group = ""
+    if ("-" in body or "_" in body) and (body == body.lower() or body == body.upper()):
+        body, group = body.replace("-", "").replace("_", ""), "-groups"
+        if len(body) < SHORTEST:
+            return None
     used = frozenset(body)
     for name, allowed, number, merged in _TABLES:
         if used <= allowed:
             if name == "base64" and not (any(c.islower() for c in body) and any(c.isupper() for c in body)):
                 return None
-            return name, battery(np.array([number[c] for c in body]), merged)
+            return name + group, battery(np.array([number[c] for c in body]), merged)
     return None
 
 
+def candidates(text: str) -> Iterator[tuple[int, int, str, float]]:
+    """(start, end, encoding, p-value) of the candidates of a text: pieces and their parts."""
+    for m in _TOKEN.finditer(text):
+        places = {m.span()}
+        if "/" in m.group() or "-" in m.group() or "_" in m.group():
+            places |= {x.span() for part in _PARTS for x in part.finditer(text, m.start(), m.end())}
+        for start, stop in sorted(places):
+            found = candidate(text[start:stop])
+            if found:
+                yield start, stop, *found
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the base patterns, in order."""
     out = []
@@ -130,13 +152,11 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in plain(batch.column(1)).to_pylist():
             base = base_spans(text)
             maybe = []
-            for m in _TOKEN.finditer(text):
-                if any(a <= m.start() and m.end() <= b for a, _, b in base):
+            for start, stop, encoding, p in candidates(text):
+                if any(a <= start and stop <= b for a, _, b in base):
                     continue
-                found = candidate(m.group())
-                if found:
-                    step = min(_MOST, int(-math.log10(max(found[1], 1e-300)) * STEPS))  # rounded towards larger p
-                    maybe.append({"start": m.start(), "stop": m.end(), "encoding": found[0], "size": (m.end() - m.start()).bit_length(), "step": step})
+                step = min(_MOST, int(-math.log10(max(p, 1e-300)) * STEPS))  # rounded towards larger p
+                maybe.append({"start": start, "stop": stop, "encoding": encoding, "size": (stop - start).bit_length(), "step": step})
             n = [sum(1 for x in base if x[1] == k) for k in range(3)]
             rows.append((*n, [{"start": a, "kind": k, "stop": b} for a, k, b in base], maybe))
         cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], t) for t in kinds]
@@ -166,8 +186,13 @@ def _render(least: dict[tuple[str, int], int]) -> Callable[[Iterator[pa.RecordBa
             for base, maybe in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
                 own = [(x["start"], x["kind"], x["stop"]) for x in base]
                 digests.append(hashlib.sha256(_shown(own).encode()).hexdigest())
-                more = [(x["start"], 3, x["stop"]) for x in maybe if x["step"] < least.get((x["encoding"], x["size"]), _MOST + 1)]
-                shown.append(_shown(sorted(own + more)))
+                more = [x for x in maybe if x["step"] < least.get((x["encoding"], x["size"]), _MOST + 1)]
+                last, outer = -1, []
+                for x in sorted(more, key=lambda x: (x["start"], -x["stop"])):
+                    if x["stop"] > last:
+                        last = x["stop"]
+                        outer.append((x["start"], 3, last))
+                shown.append(_shown(sorted(own + outer)))
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(digests, pa.string()), pa.array(shown, pa.string())], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
     return render
@@ -184,7 +209,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     found = written(rows.mapInArrow(_find, _FOUND), f"{path}/found")
     candidates = found.select(F.explode("maybe").alias("c")).select("c.encoding", "c.size", "c.step")
-    # one row a class: four encodings, lengths by powers of two
+    # one row a class: ten encodings, lengths by powers of two
     least = {(r["encoding"], r["size"]): r["least"] for r in called_text(candidates, level).collect()}
     schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
     return found.mapInArrow(_render(least), schema)

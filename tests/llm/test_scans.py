@@ -234,3 +234,33 @@ def test_first_place_of_a_text_that_repeats_itself_stays(spark):
     docs = spark.createDataFrame([(1, "so " * 200)], "doc_id long, text string")
     assert word_runs(["so " * 200])[1].size == 200
     assert span_dedup(docs).first().removed_chars < 600
+
+
+def test_secrets_in_names_paths_and_other_alphabets(spark):
+    """NAME=value, keys in paths and behind prefixes, upper-case and signed alphabets and short strings reach the battery."""
+    rng = random.Random(12)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(n - 2)) + rng.choice(string.digits) + rng.choice([c for c in chars if c.isalpha()])
+    mixed = string.ascii_letters + string.digits
+    makers = {
+        "env": lambda: ("AWS_KEY=", draw(mixed + "+/", 40), ""),
+        "path": lambda: ("/srv/my-files_of/", draw(mixed, 40), "/list-all"),
+        "prefix": lambda: ("xoxb-", draw(mixed, 32), ""),
+        "upper": lambda: ("", draw(string.ascii_uppercase + string.digits, 32), ""),
+        "uuid": lambda: ("", "-".join(draw("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), ""),
+        "short": lambda: ("", draw(mixed, 16), ""),
+    }
+    hidden = [(kind, *make()) for kind, make in makers.items() for _ in range(40)]
+    dull = [f"section{i:04d}ofthelongreport{i % 7}" for i in range(300)] + [f"PART{i:04d}OFTHELONGREPORT{i % 7}" for i in range(300)]
+    rows = [(i, f"some text {a}{b}{c} and more") for i, (_, a, b, c) in enumerate(hidden)] + [(1000 + i, f"some text {t} and more") for i, t in enumerate(dull)]
+    got = {r.doc_id: r.spans for r in sec.secret_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+    def caught(i):
+        start = 10 + len(hidden[i][1])
+        stop = start + len(hidden[i][2])
+        spans = [x.split(":") for x in got[i].split(",") if x.startswith("random:")]
+        return any(int(a) <= start and stop <= int(b) for _, a, b in spans)
+
+    for kind in makers:
+        mine = [caught(i) for i, x in enumerate(hidden) if x[0] == kind]
+        assert np.mean(mine) > 0.85, (kind, np.mean(mine))
+    assert np.mean(["random:" in got[1000 + i] for i in range(len(dull))]) < 0.02
