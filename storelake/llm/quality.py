@@ -218,25 +218,28 @@ def _widening():
     return F.sqrt(1 + F.lit(float(FLAT)) / F.col("n_grams"))
 
 
-def limits(held: DataFrame, quantile: float, least: int) -> DataFrame:
+def limits(held: DataFrame, quantile: float, least: int, path: str) -> DataFrame:
     """(lang, middle, width): a document goes if its bits exceed middle + width * widening; no row of a language with fewer than two texts.
 
-    ``held`` has lang, n_grams, bits of held-out trusted texts."""
+    ``held`` has lang, n_grams, bits of held-out trusted texts. Frames of one row a language are
+    broadcast, so that no language's texts meet in one task; each step is written once."""
     held = held.select("lang", "n_grams", "bits", F.lit(1.0).alias("weight"), F.lit(0).alias("one"))
-    middle = _quantiles(held, ["lang"], 0.5, F.col("bits"), "middle")
-    off = held.join(middle.select("lang", "middle"), "lang").withColumn("off", (F.col("bits") - F.col("middle")) / _widening())
+    middle = written(_quantiles(held, ["lang"], 0.5, F.col("bits"), "middle").select("lang", "middle"), f"{path}/middle")
+    off = held.join(F.broadcast(middle), "lang").withColumn("off", (F.col("bits") - F.col("middle")) / _widening())
     own = _quantiles(off, ["lang"], 0.5, F.abs("off"), "own")
-    whole = _quantiles(off, ["one"], 0.5, F.abs("off"), "whole")
+    pool = _quantiles(off, ["one"], 0.5, F.abs("off"), "whole").first()
+    whole, total = (pool["whole"], pool["whole_weight"]) if pool else (0.0, 1.0)
     n = F.col("own_weight")
-    spread = own.withColumn("one", F.lit(0)).join(whole, "one").select("lang", n.alias("n"), "whole_weight", F.greatest((n * F.col("own") + PRIOR * F.col("whole")) / (n + PRIOR), F.lit(1 / STEPS)).alias("spread"))
+    spread = own.select("lang", n.alias("n"), F.greatest((n * F.col("own") + F.lit(PRIOR * whole)) / (n + PRIOR), F.lit(1 / STEPS)).alias("spread"))
+    spread = written(spread, f"{path}/spread")
     # sums by step, of the language itself and (as ``least`` texts in all) of every language
     score = F.round(F.least(F.greatest(F.col("off") / F.col("spread"), F.lit(-MOST)), F.lit(MOST)), 2).alias("score")
-    scores = off.join(spread.select("lang", "spread"), "lang").groupBy("lang", score).agg(F.sum("weight").alias("weight"))
-    pooled = scores.groupBy("score").agg(F.sum("weight").alias("weight")).withColumn("one", F.lit(0))
-    shared = spread.select("lang", "whole_weight").withColumn("one", F.lit(0)).join(pooled, "one").select("lang", "score", (F.col("weight") * least / F.col("whole_weight")).alias("weight"))
+    scores = written(off.join(F.broadcast(spread.select("lang", "spread")), "lang").groupBy("lang", score).agg(F.sum("weight").alias("weight")), f"{path}/by-score")
+    pooled = scores.groupBy("score").agg((F.sum("weight") * F.lit(least / total)).alias("weight"))
+    shared = F.broadcast(spread.select("lang")).crossJoin(pooled).select("lang", "score", "weight")
     top = _quantiles(scores.unionByName(shared), ["lang"], quantile, F.col("score"), "top")
     width = F.col("spread") * F.greatest("top", F.lit(0.0)) * (1 + F.lit(DOUBT) / (F.col("n") - 1))
-    return middle.join(spread.where("n > 1"), "lang").join(top, "lang").select("lang", "middle", width.alias("width"))
+    return written(middle.join(spread.where("n > 1"), "lang").join(top, "lang").select("lang", "middle", width.alias("width")), f"{path}/limits")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -271,7 +274,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     threshold = F.col("middle") + F.col("width") * _widening()
     kept = threshold.isNull() | (F.col("bits") <= threshold)
     role = F.when(F.col("held"), "calibration").when(~F.col("held"), "training").alias("role")
-    return marked.join(limits(held, quantile, least), ["lang"], "left").select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), role, kept.alias("kept"))
+    return marked.join(F.broadcast(limits(held, quantile, least, path)), ["lang"], "left").select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), role, kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
