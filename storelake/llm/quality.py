@@ -21,8 +21,8 @@ trained on; all others are counted.
    document is rejected if its score exceeds the ``quantile`` of held-out trusted
    texts of its language, to which those of all languages are added with a weight of ``least``
    texts in all. The same rule holds at any count. Equal texts count once. A median of few texts
-   is itself uncertain: n of them widen the limit by 1 + DOUBT / (n - 1), as a prediction
-   limit from n values does. A language with fewer than two held-out texts rejects nothing.
+   is itself uncertain: n of them widen the limit by 1 + DOUBT / (n - 1) ** 2, about as
+   Student's t does from n values. A language with fewer than two held-out texts rejects nothing.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ LEAST_DISCOUNT = 0.01
 BLOCK_BYTES = 16 << 20
 FLAT = 4096  # characters up to which the spread of texts falls with the root of their length
 PRIOR = 4  # texts that the spread of all languages counts as beside a language's own
-DOUBT = 8.0  # widening of the limit at two held-out texts
+DOUBT = 12.0  # widening of the limit at two held-out texts
 STEPS, MOST = 10_000, 100.0  # steps of a quantile; scores beyond MOST count as MOST
 _VOCABULARY = 1 << 16  # the lowest order backs off to the uniform distribution
 _SALTS = 256
@@ -238,7 +238,7 @@ def limits(held: DataFrame, quantile: float, least: int, path: str) -> DataFrame
     pooled = scores.groupBy("score").agg((F.sum("weight") * F.lit(least / total)).alias("weight"))
     shared = F.broadcast(spread.select("lang")).crossJoin(pooled).select("lang", "score", "weight")
     top = _quantiles(scores.unionByName(shared), ["lang"], quantile, F.col("score"), "top")
-    width = F.col("spread") * F.greatest("top", F.lit(0.0)) * (1 + F.lit(DOUBT) / (F.col("n") - 1))
+    width = F.col("spread") * F.greatest("top", F.lit(0.0)) * (1 + F.lit(DOUBT) / F.pow(F.col("n") - 1, F.lit(2.0)))
     return written(middle.join(spread.where("n > 1"), "lang").join(top, "lang").select("lang", "middle", width.alias("width")), f"{path}/limits")
 
 
