@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from storelake.llm.bpe import bpe_encode_decode
 from storelake.llm.chat import format_chats
@@ -11,6 +12,7 @@ from storelake.llm.fingerprints import edited_pairs
 from storelake.llm.licenses import license_scan
 from storelake.llm.mixing import mix_sources
 from storelake.llm.near_dedup import near_duplicates
+from storelake.llm.periodic_runs import periodic_runs
 from storelake.llm.quality import quality_scores
 from storelake.llm.registry import register
 from storelake.llm.secret_scan import secret_scan
@@ -139,3 +141,31 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the sentences of spans that an earlier document has."""
     return span_dedup(table(spark, sf_dir, "documents"))
+
+
+def periodic_edit(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of every document, where by the contract one in ten repeats its words from some place on.
+
+    With h the CRC-32 of the decimal doc_id and g = h // 10, every word i >= a = g % n of a document of n words
+    with h % 10 = 0 becomes word a + (i - a) % p, p = 1 + (n - a) // (3 + g % 8). A null id repeats nothing."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    text = F.coalesce("text", F.lit(""))
+    said = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    rows = docs.select("doc_id", text.alias("text"), h.alias("h")).withColumn("said", F.when(F.col("h") % 10 == 0, said))
+    edited = """array_join(transform(sequence(0, size(said) - 1), i -> said[if(i < a, i, a + (i - a) % p)]), ' ')"""
+    g, n = F.floor(F.col("h") / 10), F.size("said")
+    rows = rows.withColumn("a", F.when(n > 0, F.pmod(g, n)).cast("int")).withColumn("p", (1 + F.floor((n - F.col("a")) / (3 + F.pmod(g, F.lit(8))))).cast("int"))
+    return rows.select("doc_id", F.when(F.col("a").isNotNull(), F.expr(edited)).otherwise(F.col("text")).alias("text"))
+
+
+@register("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document (edited as the contract says) and the text without their repeats."""
+    found = periodic_runs(periodic_edit(table(spark, sf_dir, "documents")))
+    # the longest run; of equal ones the first, then the shortest period
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    every = F.concat(F.array_join(line, "\n"), F.when(F.size("runs") > 0, F.lit("\n")).otherwise(F.lit("")))
+    found = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    length, period = -F.col("best.less"), F.col("best.period")
+    return found.select("doc_id", "n_words", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
