@@ -17,6 +17,7 @@ from storelake.llm.quality import quality_scores
 from storelake.llm.registry import register
 from storelake.llm.secret_scan import secret_scan
 from storelake.llm.spans import span_dedup
+from storelake.llm.whitening import whiten
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -169,3 +170,15 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(every, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
     length, period = -F.col("best.less"), F.col("best.period")
     return found.select("doc_id", "n_words", "n_runs", F.col("best.start").alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+@register("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings without gaps, in steps of 1/1024 from -100000, whitened to eight components.
+
+    Entries beyond 2 ** 50 steps count as that many."""
+    most = float(1 << 50)
+    whole = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    step = lambda c: F.floor(F.greatest(F.least(1024 * c.cast("double"), F.lit(most)), F.lit(-most))) + 100000
+    rows = table(spark, sf_dir, "embeddings").where(F.coalesce(whole, F.lit(False)))
+    return whiten(rows.select("vec_id", F.transform("embedding", step).alias("embedding")))
