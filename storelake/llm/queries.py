@@ -17,6 +17,7 @@ from storelake.llm.quality import quality_scores
 from storelake.llm.registry import register
 from storelake.llm.secret_scan import secret_scan
 from storelake.llm.spans import span_dedup
+from storelake.llm.toxicity import toxicity_scores
 from storelake.llm.whitening import whiten
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -182,3 +183,10 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     step = lambda c: F.floor(F.greatest(F.least(1024 * c.cast("double"), F.lit(most)), F.lit(-most))) + 100000
     rows = table(spark, sf_dir, "embeddings").where(F.coalesce(whole, F.lit(False)))
     return whiten(rows.select("vec_id", F.transform("embedding", step).alias("embedding")))
+
+
+@register("op12_toxicity")
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How likely every document is to be labelled toxic, learnt from the labels of four fifths of them."""
+    found = toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", "n_words", "bits")
