@@ -1,10 +1,10 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text.
 
-The model is over characters (runs of ``ORDER`` = 4; each of the four packs
-into 16 bits, characters beyond U+FFFF count as one), one model a language. Trusted
-text is every document labelled good. One document in ``HOLD_OUT`` = 5 of it (by a hash of its
-id) is held out to set the thresholds, since a model is too sure of what it was
-trained on; all others are counted.
+The model is over characters (runs of ``ORDER`` = 5; each of the five packs
+into 12 bits: characters from U+0800 on share 2,048 numbers by a hash). Trusted text is every document labelled
+good. A model is too sure of what it was trained on, so trusted documents are split in ``FOLDS`` = 3 by
+a hash of their id; a language has a model for each fold that counts the others, and scores the fold's
+documents. All other documents get the mean bits of the models.
 
 1. *Blocks.* Documents are stored once in compressed blocks, bucketed by block.
    Labels meet the block's document numbers, so no text is moved for them.
@@ -18,16 +18,19 @@ trained on; all others are counted.
 5. *Thresholds.* Short texts vary more than long ones, with the root of their length up to
    ``FLAT`` characters. So bits are standardised: less the language's median, over sqrt(1 + FLAT / length),
    over the language's median deviation (drawn a little to that of all languages). A
-   document is rejected if its score exceeds the ``quantile`` of held-out trusted
+   document is rejected if its score exceeds the ``quantile`` of the trusted
    texts of its language, to which those of all languages are added with a weight of ``least``
-   texts in all. The same rule holds at any count. Equal texts count once. A median of few texts
-   is itself uncertain: n of them widen the limit by 1 + DOUBT / (n - 1) ** 2, about as
-   Student's t does from n values. A language with fewer than two held-out texts rejects nothing.
+   texts in all. The same rule holds at any count. Equal texts count once. What n texts tell is
+   uncertain: their median by sqrt(pi / 2 n) deviations, and their median deviation like a deviation
+   of 0.37 n normal values, for which Student's t widens the normal quantile z by 1 + (z^2 + 1) / (4 * 0.37 n).
+   A language without trusted text has no model and no limit.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -38,16 +41,21 @@ from pyspark.sql import functions as F
 
 from storelake.llm.common import buffers, packed, plain, run_dir, slices, text_of, written, written_bucketed
 
-ORDER = 4
-HOLD_OUT = 5
+ORDER = 5
+FOLDS = 3
 LEAST_DISCOUNT = 0.01
 BLOCK_BYTES = 16 << 20
 FLAT = 4096  # characters up to which the spread of texts falls with the root of their length
 PRIOR = 4  # texts that the spread of all languages counts as beside a language's own
-DOUBT = 12.0  # widening of the limit at two held-out texts
+EFFICIENCY = 0.37  # of the median deviation, against the deviation of normal values
 STEPS, MOST = 10_000, 100.0  # steps of a quantile; scores beyond MOST count as MOST
-_VOCABULARY = 1 << 16  # the lowest order backs off to the uniform distribution
+_WIDTH = 12  # bits a character
+_VOCABULARY = 1 << _WIDTH  # the lowest order backs off to the uniform distribution
 _SALTS = 256
+_FEW_SALTS = 16
+_BITS_STEP, _BITS = 1 << 15, 21  # log-probabilities travel in steps of 2 ** -15, 21 bits a model
+_COUNTS = [f"n{k}" for k in range(FOLDS)]
+_SCORE_STEPS = 100  # steps of a standardised score
 _START, _END = 2, 3  # control characters that stand for the edges of a text
 _BLOCKS = "block long, doc_ids array<long>, keys array<long>, langs array<string>, sizes array<long>, texts binary"
 
@@ -91,12 +99,16 @@ def _documents(block: pa.Table) -> tuple[dict, list[bytes]]:
 
 
 def ngrams(text: bytes) -> np.ndarray:
-    """The packed character 4-grams of a text, one for each character and one for its end."""
-    units = np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32)
-    padded = np.empty(len(units) + ORDER, np.uint64)
-    padded[: ORDER - 1], padded[-1] = _START, _END
-    padded[ORDER - 1 : -1] = np.minimum(units, _VOCABULARY - 1)
-    return ((padded[:-3] << np.uint64(48)) | (padded[1:-2] << np.uint64(32)) | (padded[2:-1] << np.uint64(16)) | padded[3:]).view(np.int64)
+    """The packed character n-grams of a text, one for each character and one for its end."""
+    units = np.frombuffer(text.decode("utf-8").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    half = _VOCABULARY // 2
+    padded = np.full(len(units) + ORDER, _START, np.uint64)
+    padded[-1] = _END
+    padded[ORDER - 1 : -1] = np.where(units < half, units, half + units * np.uint64(0x9E3779B1) % np.uint64(half - 1))
+    out = np.zeros(len(units) + 1, np.uint64)
+    for k in range(ORDER):
+        out = (out << np.uint64(_WIDTH)) | padded[k : k + len(out)]
+    return out.view(np.int64)
 
 
 def _by_language(langs: list) -> dict[str, list[int]]:
@@ -125,32 +137,35 @@ def _sorted_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def _count(block: pa.Table, trusted: pa.Table) -> pa.Table:
     row, texts = _documents(block)
-    good = {p for p, held in zip(trusted.column("place").to_pylist(), trusted.column("held").to_pylist(), strict=True) if not held}
+    fold = dict(zip(trusted.column("place").to_pylist(), trusted.column("fold").to_pylist(), strict=True))
     out = []
     for lang, places in sorted(_by_language(row["langs"]).items()):
         mine = _sorted_counts([texts[i] for i in places])[0]
-        seen, times = _sorted_counts([texts[i] for i in places if i in good])
-        count = np.zeros(len(mine), np.int64)
-        count[np.searchsorted(mine, seen)] = times
-        out.append(pa.Table.from_arrays([pa.array(np.full(len(mine), row["block"])), pa.array([lang] * len(mine), pa.string()), pa.array(mine), pa.array(count)], ["block", "lang", "gram", "n"]))
+        counts = []
+        for k in range(FOLDS):
+            seen, times = _sorted_counts([texts[i] for i in places if fold.get(i) == k])
+            counts.append(np.zeros(len(mine), np.int64))
+            counts[k][np.searchsorted(mine, seen)] = times
+        out.append(pa.Table.from_arrays([pa.array(np.full(len(mine), row["block"])), pa.array([lang] * len(mine), pa.string()), pa.array(mine), *map(pa.array, counts)], ["block", "lang", "gram", *_COUNTS]))
     return pa.concat_tables(out)
 
 
 def _score(block: pa.Table, scores: pa.Table) -> pa.Table:
     row, texts = _documents(block)
     lang = scores.column("lang").to_pandas().to_numpy()
-    gram, bits = scores.column("gram").to_numpy(), scores.column("bits").to_numpy()
-    total, size = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+    gram, packed = scores.column("gram").to_numpy(), scores.column("bits").to_numpy()
+    bits = np.stack([(packed >> (_BITS * k)) & ((1 << _BITS) - 1) for k in range(FOLDS)], axis=1)
+    total, size = np.zeros((len(texts), FOLDS)), np.zeros(len(texts), np.int64)
     for x, places in _by_language(row["langs"]).items():
         mine = np.flatnonzero(lang == x)
         mine = mine[np.argsort(gram[mine])]
         keys, values = gram[mine], bits[mine]
         for i in places:
             found = np.searchsorted(keys, ngrams(texts[i]))
-            total[i], size[i] = values[found].sum(), len(found)
+            total[i], size[i] = values[found].sum(0) / _BITS_STEP, len(found)
     return pa.Table.from_arrays(
-        [pa.array(np.full(len(texts), row["block"])), pa.array(np.arange(len(texts)), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(size), pa.array(total / size)],
-        ["block", "place", "doc_id", "text_key", "lang", "n_grams", "bits"],
+        [pa.array(np.full(len(texts), row["block"])), pa.array(np.arange(len(texts)), pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(row["keys"], pa.int64()), pa.array(row["langs"], pa.string()), pa.array(size), *(pa.array(total[:, k] / size) for k in range(FOLDS))],
+        ["block", "place", "doc_id", "text_key", "lang", "n_grams", *(f"bits{k}" for k in range(FOLDS))],
     )
 
 
@@ -158,49 +173,64 @@ def _score(block: pa.Table, scores: pa.Table) -> pa.Table:
 
 
 def _context(gram):
-    return F.shiftrightunsigned(gram, 16)
+    return F.shiftrightunsigned(gram, _WIDTH)
 
 
 def _suffix(gram, order: int):
-    return F.col(gram).bitwiseAND(F.lit((1 << (16 * order)) - 1))
-
-
-def _order_tables(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of one order's (lang, gram, n): (lang, gram, direct) and (lang, context, gamma)."""
-    of = lambda k: F.count_if(F.col("n") == k).alias(f"n{k}")
-    d = counts.groupBy("lang").agg(of(1), of(2), of(3), of(4))
-    y = F.when(F.col("n1") > 0, F.col("n1") / (F.col("n1") + 2 * F.col("n2"))).otherwise(F.lit(0.5))
-    # where a count of counts is zero the discount is a half; a least discount leaves every context some weight for lower orders
-    cut = [F.when(F.col(f"n{k}") > 0, F.greatest(F.lit(LEAST_DISCOUNT), F.lit(float(k)) - (k + 1) * y * F.col(f"n{k + 1}") / F.col(f"n{k}"))).otherwise(F.lit(0.5)).alias(f"d{k}") for k in (1, 2, 3)]
-    discounts = d.select("lang", *cut)
-    less = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return F.col(gram).bitwiseAND(F.lit((1 << (_WIDTH * order)) - 1))
+
+
+def _of_fold(n: str) -> dict[str, str]:
+    return {k: n.replace("n", k, 1) for k in ("d1_", "d2_", "d3_", "total", "cut", "p", "base")}
+
+
+def _less(n: str):
+    """The discount of a count of model ``n`` (d1_, d2_, d3_ by language beside it)."""
+    c = _of_fold(n)
+    return F.when(F.col(n) == 0, F.lit(0.0)).when(F.col(n) == 1, F.col(c["d1_"])).when(F.col(n) == 2, F.col(c["d2_"])).otherwise(F.col(c["d3_"]))
+
+
+def _discounted(counts: DataFrame) -> DataFrame:
+    """One order's (lang, gram, counts) with the discounts of its language and the sums of its context."""
+    found = counts.groupBy("lang").agg(*(F.count_if(F.col(n) == k).alias(f"{n}_{k}") for n in _COUNTS for k in (1, 2, 3, 4)))
+    columns = []
+    for n in _COUNTS:
+        of = [F.col(f"{n}_{k}") for k in (1, 2, 3, 4)]
+        y = F.when(of[0] > 0, of[0] / (of[0] + 2 * of[1])).otherwise(F.lit(0.5))
+        # where a count of counts is zero the discount is a half; a least discount leaves every context some weight for lower orders
+        columns += [F.when(of[k - 1] > 0, F.greatest(F.lit(LEAST_DISCOUNT), F.lit(float(k)) - (k + 1) * y * of[k] / of[k - 1])).otherwise(F.lit(0.5)).alias(_of_fold(n)[f"d{k}_"]) for k in (1, 2, 3)]
     # a language may hold a third of all n-grams: salted, so that no task gets a language whole
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS)))
-    discounts = discounts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    cut_counts = salted.join(discounts, ["lang", "salt"]).select("lang", "gram", "n", less.alias("less"), _context("gram").alias("context"))
-    contexts = cut_counts.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("less").alias("cut")).select("lang", "context", "total", (F.col("cut") / F.col("total")).alias("gamma"))
-    direct = cut_counts.join(contexts, ["lang", "context"]).select("lang", "gram", ((F.col("n") - F.col("less")) / F.col("total")).alias("direct"))
-    return direct, contexts.select("lang", "context", "gamma")
+    discounts = found.select("lang", *columns).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    salted = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS))).withColumn("context", _context("gram"))
+    rows = salted.join(discounts, ["lang", "salt"]).drop("salt")
+    sums = [x for n in _COUNTS for x in (F.sum(n).alias(_of_fold(n)["total"]), F.sum(_less(n)).alias(_of_fold(n)["cut"]))]
+    return rows.join(rows.groupBy("lang", "context").agg(*sums), ["lang", "context"])
 
 
 def probabilities(grams: DataFrame, path: str) -> DataFrame:
-    """(lang, gram, bits) of every n-gram of the corpus, from (lang, gram, n)."""
-    counts = {ORDER: grams.where(F.col("n") > 0)}
+    """(lang, gram, bits) of every n-gram of the corpus, from (lang, gram, counts by model): log-probabilities of all models in one number."""
+    counts = {ORDER: grams}
     for order in range(ORDER - 1, 0, -1):  # a lower order counts the distinct characters before it
-        counts[order] = written(counts[order + 1].groupBy("lang", _suffix("gram", order).alias("gram")).agg(F.count("*").alias("n")), f"{path}/count-{order}")
+        counts[order] = written(counts[order + 1].groupBy("lang", _suffix("gram", order).alias("gram")).agg(*(F.count_if(F.col(n) > 0).alias(n) for n in _COUNTS)), f"{path}/count-{order}")
     lower = None
     for order in range(1, ORDER + 1):
-        asked = grams.select("lang", "gram") if order == ORDER else grams.select("lang", _suffix("gram", order).alias("gram")).distinct()
-        direct, contexts = _order_tables(counts[order])
-        rows = asked.withColumn("context", _context("gram")).join(direct, ["lang", "gram"], "left").join(contexts, ["lang", "context"], "left")
+        rows = _discounted(counts[order])
         if lower is None:
-            base = F.lit(1.0 / _VOCABULARY)
+            base = {n: F.lit(1.0 / _VOCABULARY) for n in _COUNTS}
         else:
-            rows = rows.withColumn("shorter", _suffix("gram", order - 1)).join(lower.select("lang", F.col("gram").alias("shorter"), F.col("p").alias("base")), ["lang", "shorter"])
-            base = F.col("base")
-        p = F.coalesce("direct", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * base
-        lower = written(rows.select("lang", "gram", p.alias("p")), f"{path}/p-{order}")
-    return lower.select("lang", "gram", (-F.log2("p")).alias("bits"))
+            below = lower.select("lang", F.col("gram").alias("shorter"), *(F.col(_of_fold(n)["p"]).alias(_of_fold(n)["base"]) for n in _COUNTS))
+            rows = rows.withColumn("shorter", _suffix("gram", order - 1)).join(below, ["lang", "shorter"])
+            base = {n: F.col(_of_fold(n)["base"]) for n in _COUNTS}
+        ps = []
+        for n in _COUNTS:
+            c = _of_fold(n)
+            ps.append(F.when(F.col(c["total"]) > 0, (F.col(n) - _less(n) + F.col(c["cut"]) * base[n]) / F.col(c["total"])).otherwise(base[n]).alias(c["p"]))
+        lower = written(rows.select("lang", "gram", *ps), f"{path}/p-{order}")
+    packed = F.lit(0).cast("long")
+    for k, n in enumerate(_COUNTS):
+        step = F.least(F.round(-F.log2(_of_fold(n)["p"]) * _BITS_STEP).cast("long"), F.lit((1 << _BITS) - 1).cast("long"))
+        packed = packed.bitwiseOR(F.shiftleft(step, _BITS * k))
+    return lower.select("lang", "gram", packed.alias("bits"))
 
 
 def _quantiles(rows: DataFrame, by: list[str], quantile: float, value, name: str) -> DataFrame:
@@ -218,14 +248,36 @@ def _widening():
     return F.sqrt(1 + F.lit(float(FLAT)) / F.col("n_grams"))
 
 
-def limits(held: DataFrame, quantile: float, least: int, path: str) -> DataFrame:
-    """(lang, middle, width): a document goes if its bits exceed middle + width * widening; no row of a language with fewer than two texts.
+def _by_language_of(rows: DataFrame, each: DataFrame) -> DataFrame:
+    """``rows`` joined with the row of their language in ``each``, salted so that no task gets a language whole."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(_FEW_SALTS - 1)))
+    spread = rows.withColumn("salt", F.pmod(F.xxhash64("n_grams", "bits"), F.lit(_FEW_SALTS)).cast("int"))
+    return spread.join(each.withColumn("salt", salt), ["lang", "salt"], "left").drop("salt")
+
 
-    ``held`` has lang, n_grams, bits of held-out trusted texts. Frames of one row a language are
-    broadcast, so that no language's texts meet in one task; each step is written once."""
-    held = held.select("lang", "n_grams", "bits", F.lit(1.0).alias("weight"), F.lit(0).alias("one"))
-    middle = written(_quantiles(held, ["lang"], 0.5, F.col("bits"), "middle").select("lang", "middle"), f"{path}/middle")
-    off = held.join(F.broadcast(middle), "lang").withColumn("off", (F.col("bits") - F.col("middle")) / _widening())
+def _tops(pooled: list[tuple[int, float]], quantile: float) -> Callable[[pa.Table], pa.Table]:
+    """(lang, top) of a language's sums by step, with the pooled ones added."""
+    steps, weights = np.array([s for s, _ in pooled], np.int64), np.array([w for _, w in pooled])
+
+    def top(own: pa.Table) -> pa.Table:
+        at = np.concatenate([own.column("step").to_numpy(), steps])
+        weight = np.concatenate([own.column("weight").to_numpy(), weights])
+        order = np.argsort(at, kind="stable")
+        upto = np.cumsum(weight[order])
+        first = min(int(np.searchsorted(upto, upto[-1] * quantile - 1e-6)), len(at) - 1)
+        return pa.table({"lang": own.column("lang").slice(0, 1), "top": pa.array([at[order][first] / _SCORE_STEPS])})
+
+    return top
+
+
+def limits(trusted: DataFrame, quantile: float, least: int, path: str) -> DataFrame:
+    """(lang, middle, width): a document goes if its bits exceed middle + width * widening.
+
+    ``trusted`` has lang, n_grams, bits of trusted texts. What is collected is one row and the sums of
+    all languages by score step, at most 2 * MOST * _SCORE_STEPS rows."""
+    trusted = trusted.select("lang", "n_grams", "bits", F.lit(1.0).alias("weight"), F.lit(0).alias("one"))
+    middle = written(_quantiles(trusted, ["lang"], 0.5, F.col("bits"), "middle").select("lang", "middle"), f"{path}/middle")
+    off = _by_language_of(trusted, middle).withColumn("off", (F.col("bits") - F.col("middle")) / _widening())
     own = _quantiles(off, ["lang"], 0.5, F.abs("off"), "own")
     pool = _quantiles(off, ["one"], 0.5, F.abs("off"), "whole").first()
     whole, total = (pool["whole"], pool["whole_weight"]) if pool else (0.0, 1.0)
@@ -233,23 +285,24 @@ def limits(held: DataFrame, quantile: float, least: int, path: str) -> DataFrame
     spread = own.select("lang", n.alias("n"), F.greatest((n * F.col("own") + F.lit(PRIOR * whole)) / (n + PRIOR), F.lit(1 / STEPS)).alias("spread"))
     spread = written(spread, f"{path}/spread")
     # sums by step, of the language itself and (as ``least`` texts in all) of every language
-    score = F.round(F.least(F.greatest(F.col("off") / F.col("spread"), F.lit(-MOST)), F.lit(MOST)), 2).alias("score")
-    scores = written(off.join(F.broadcast(spread.select("lang", "spread")), "lang").groupBy("lang", score).agg(F.sum("weight").alias("weight")), f"{path}/by-score")
-    pooled = scores.groupBy("score").agg((F.sum("weight") * F.lit(least / total)).alias("weight"))
-    shared = F.broadcast(spread.select("lang")).crossJoin(pooled).select("lang", "score", "weight")
-    top = _quantiles(scores.unionByName(shared), ["lang"], quantile, F.col("score"), "top")
-    width = F.col("spread") * F.greatest("top", F.lit(0.0)) * (1 + F.lit(DOUBT) / F.pow(F.col("n") - 1, F.lit(2.0)))
-    return written(middle.join(spread.where("n > 1"), "lang").join(top, "lang").select("lang", "middle", width.alias("width")), f"{path}/limits")
+    step = F.round(F.least(F.greatest(F.col("off") / F.col("spread"), F.lit(-MOST)), F.lit(MOST)) * _SCORE_STEPS).cast("long").alias("step")
+    scores = written(_by_language_of(off, spread).groupBy("lang", step).agg(F.sum("weight").alias("weight")), f"{path}/by-score")
+    pooled = scores.groupBy("step").agg(F.sum("weight").alias("weight")).collect()
+    top = scores.groupBy("lang").applyInArrow(_tops([(r.step, r.weight * least / total) for r in pooled], quantile), "lang string, top double")
+    z = NormalDist().inv_cdf(quantile)
+    doubt = F.sqrt(1 + F.lit(math.pi / 2) / F.col("n")) * (1 + F.lit((z * z + 1) / (4 * EFFICIENCY)) / (F.col("n") + PRIOR))
+    width = F.col("spread") * F.greatest("top", F.lit(0.0)) * doubt
+    return written(middle.join(spread, "lang").join(top, "lang").select("lang", "middle", width.alias("width")), f"{path}/limits")
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995, least: int = 200, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per input row: ``doc_id, text_key, lang, n_grams, bits, perplexity,
-    threshold, role, kept``.
+    threshold, fold, kept``.
 
     ``docs`` needs doc_id, text, lang; ``labels`` doc_id, quality. A null language is a
     language of its own ('und'); a null or empty text is scored by its end alone and
     kept or rejected like any other. A document is trusted if all its labels say 1;
-    ``role`` is then 'training' or 'calibration', else null. ``text_key`` is
+    ``fold`` is then the number of the model that did not count it, else null. ``text_key`` is
     the 64-bit hash of the text, so that (doc_id, text_key) names a row where ids repeat. Empty
     documents give an empty result; without labels everything is kept."""
     spark = docs.sparkSession
@@ -258,27 +311,35 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     blocks = written_bucketed(rows.mapInArrow(_blocks(block_bytes), _BLOCKS), f"{path}/blocks", "block")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
-    held = F.pmod(F.xxhash64("doc_id"), F.lit(HOLD_OUT)) == 0
-    trusted = written(places.join(good, "doc_id").select("block", "place", held.alias("held")), f"{path}/trusted")
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
+    trusted = written(places.join(good, "doc_id").select("block", "place", fold.alias("fold")), f"{path}/trusted")
     texts = blocks.select("block", "doc_ids", "keys", "langs", "sizes", "texts")
-    seen = texts.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(_count, "block long, lang string, gram long, n long")
+    kinds = ", ".join(f"{n} long" for n in _COUNTS)
+    seen = texts.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(_count, f"block long, lang string, gram long, {kinds}")
     seen = written(seen, f"{path}/grams")
-    grams = written(seen.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"{path}/distinct")
-    bits = probabilities(grams, path)
-    scores = seen.select("block", "lang", "gram").join(bits, ["lang", "gram"]).select("block", "lang", "gram", F.col("bits").cast("float").alias("bits"))
-    schema = "block long, place int, doc_id long, text_key long, lang string, n_grams long, bits double"
+    by_fold = seen.groupBy("lang", "gram").agg(*(F.sum(n).alias(n) for n in _COUNTS))
+    whole = sum((F.col(n) for n in _COUNTS[1:]), F.col(_COUNTS[0]))
+    grams = written(by_fold.select("lang", "gram", *((whole - F.col(n)).alias(n) for n in _COUNTS)), f"{path}/distinct")
+    scores = seen.select("block", "lang", "gram").join(probabilities(grams, path), ["lang", "gram"]).select("block", "lang", "gram", "bits")
+    models = [f"bits{k}" for k in range(FOLDS)]
+    schema = "block long, place int, doc_id long, text_key long, lang string, n_grams long, " + ", ".join(f"{m} double" for m in models)
     scored = texts.groupBy("block").cogroup(scores.groupBy("block")).applyInArrow(_score, schema)
     scored = written(scored, f"{path}/scores")
-    marked = scored.join(trusted, ["block", "place"], "left")
-    held = written(marked.where("held").dropDuplicates(["lang", "text_key"]).select("lang", "n_grams", "bits"), f"{path}/held")
+    # a trusted document is scored by the model that did not count it
+    mine = F.coalesce(*(F.when(F.col("fold") == k, F.col(m)) for k, m in enumerate(models)), sum((F.col(m) for m in models[1:]), F.col(models[0])) / FOLDS)
+    marked = scored.join(trusted, ["block", "place"], "left").withColumn("bits", mine)
+    told = written(marked.where("fold IS NOT NULL").dropDuplicates(["lang", "text_key"]).select("lang", "n_grams", "bits"), f"{path}/told")
     threshold = F.col("middle") + F.col("width") * _widening()
     kept = threshold.isNull() | (F.col("bits") <= threshold)
-    role = F.when(F.col("held"), "calibration").when(~F.col("held"), "training").alias("role")
-    return marked.join(F.broadcast(limits(held, quantile, least, path)), ["lang"], "left").select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), role, kept.alias("kept"))
+    found = _by_language_of(marked, limits(told, quantile, least, path))
+    return found.select("doc_id", "text_key", "lang", "n_grams", "bits", F.pow(F.lit(2.0), "bits").alias("perplexity"), threshold.alias("threshold"), "fold", kept.alias("kept"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that the classifier keeps, with all their columns."""
+    """The rows of ``docs`` that the classifier keeps, with all their columns.
+
+    Null, empty and repeated rows, null ids and empty tables are treated as in ``quality_scores``; a row goes with all
+    rows that share its id and text. Extra columns stay, whatever their names."""
     bad = quality_scores(docs, labels, **options).where("NOT kept").select("doc_id", "text_key").distinct()
     marked = packed(docs, id=F.col("doc_id").cast("long"), key=F.xxhash64(text_of()))
     same = marked["id"].eqNullSafe(bad["doc_id"]) & (marked["key"] == bad["text_key"])

@@ -2,6 +2,7 @@
 
 import math
 from collections import Counter, defaultdict
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,13 +13,13 @@ SF = "/root/testdata/sf0.01"
 
 
 def _model(texts):
-    """Interpolated modified Kneser-Ney over characters, order 4, as dictionaries."""
+    """Interpolated modified Kneser-Ney over characters, order 5, as dictionaries."""
     grams = Counter()
     for t in texts:
-        s = "\x02\x02\x02" + t + "\x03"
-        grams.update(s[i : i + 4] for i in range(len(s) - 3))
-    tables = {4: grams}
-    for o in (3, 2, 1):
+        s = "\x02\x02\x02\x02" + t + "\x03"
+        grams.update(s[i : i + 5] for i in range(len(s) - 4))
+    tables = {5: grams}
+    for o in (4, 3, 2, 1):
         tables[o] = Counter(g[1:] for g in tables[o + 1])
     parts = {}
     for o, table in tables.items():
@@ -33,7 +34,7 @@ def _model(texts):
 
     def p(g):
         if not g:
-            return 1 / 65536
+            return 1 / 4096
         table, d, total, cut = parts[len(g)]
         lower = p(g[1:])
         h = g[:-1]
@@ -46,8 +47,8 @@ def _model(texts):
 
 
 def _bits(p, t):
-    s = "\x02\x02\x02" + t + "\x03"
-    return -sum(math.log2(p(s[i : i + 4])) for i in range(len(s) - 3)) / (len(s) - 3)
+    s = "\x02\x02\x02\x02" + t + "\x03"
+    return -sum(math.log2(p(s[i : i + 5])) for i in range(len(s) - 4)) / (len(s) - 4)
 
 
 @pytest.mark.parametrize("block_bytes", [2000, 1 << 20])
@@ -58,11 +59,54 @@ def test_scores_match_brute_force(spark, block_bytes):
     good = {r.doc_id for r in labels.collect() if r.quality == 1}
     got = {r.doc_id: r for r in quality_scores(docs, labels, block_bytes=block_bytes).collect()}
     assert len(got) == len(rows)
-    models = {lang: _model([r.text for r in rows if r.lang == lang and got[r.doc_id].role == "training"]) for lang in {r.lang for r in rows}}
+    folds = {i: r.fold for i, r in got.items()}
+    assert {i for i, k in folds.items() if k is not None} == good & got.keys() and set(folds.values()) == {0, 1, 2, None}
+    models = {(lang, k): _model([r.text for r in rows if r.lang == lang and folds[r.doc_id] not in (k, None)]) for lang in {r.lang for r in rows} for k in range(3)}
     for r in rows:
-        assert got[r.doc_id].bits == pytest.approx(_bits(models[r.lang], r.text), rel=1e-5)
-        assert (got[r.doc_id].role is not None) == (r.doc_id in good)
-    assert 0.1 < sum(r.role == "calibration" for r in got.values()) / len([r for r in got.values() if r.role]) < 0.35
+        fold = folds[r.doc_id]
+        by = [_bits(models[r.lang, k], r.text) for k in range(3) if fold in (k, None)]  # a model that counted it has no say
+        assert got[r.doc_id].bits == pytest.approx(sum(by) / len(by), rel=1e-5)
+
+
+def _threshold(told, quantile=0.995, least=200):
+    """Limits by sorting: (middle, width) of each language, from (lang, n_grams, bits) of trusted texts."""
+
+    def quantile_of(pairs, q):
+        total, upto = sum(w for _, w in pairs), 0.0
+        for x, w in sorted(pairs):
+            upto += w
+            if upto >= total * q - 1e-6:
+                return x
+
+    up = lambda x: math.ceil(x * 10_000) / 10_000
+    langs = {lang for lang, _, _ in told}
+    middle = {a: up(quantile_of([(b, 1) for lang, _, b in told if lang == a], 0.5)) for a in langs}
+    off = [(lang, (b - middle[lang]) / math.sqrt(1 + 4096 / n)) for lang, n, b in told]
+    whole = up(quantile_of([(abs(x), 1) for _, x in off], 0.5))
+    out = {}
+    spread = {}
+    for a in langs:
+        own = [abs(x) for lang, x in off if lang == a]
+        spread[a] = max((len(own) * up(quantile_of([(x, 1) for x in own], 0.5)) + 4 * whole) / (len(own) + 4), 1e-4)
+    score = [(lang, min(100, max(-100, x / spread[lang]))) for lang, x in off]
+    for a in langs:
+        n = sum(lang == a for lang, _ in score)
+        top = quantile_of([(x, (lang == a) + least / len(score)) for lang, x in score], quantile)
+        z = NormalDist().inv_cdf(quantile)
+        out[a] = middle[a], spread[a] * max(top, 0) * math.sqrt(1 + math.pi / 2 / n) * (1 + (z * z + 1) / (4 * 0.37 * (n + 4)))
+    return out
+
+
+def test_thresholds_match_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 400").select("doc_id", "text", "lang")
+    got = quality_scores(docs, spark.read.parquet(f"{SF}/labels.parquet")).collect()
+    told = {(r.lang, r.text_key): (r.lang, r.n_grams, r.bits) for r in got if r.fold is not None}
+    by = _threshold(list(told.values()))
+    for r in got:
+        middle, width = by[r.lang]
+        assert r.threshold == pytest.approx(middle + width * math.sqrt(1 + 4096 / r.n_grams), rel=0.01)
+        if abs(r.bits - r.threshold) > 0.02 * r.threshold:
+            assert r.kept == (r.bits <= r.threshold)
 
 
 def test_held_out_accuracy(spark):
@@ -79,7 +123,7 @@ def test_edges(spark, edge_docs, no_docs):
     got = quality_scores(edge_docs, labels).collect()
     assert len(got) == edge_docs.count()
     by = {r.doc_id: r for r in got}
-    assert by[1].role and by[6].role and by[2].role is None  # labels that disagree
+    assert by[1].fold is not None and by[6].fold is not None and by[2].fold is None  # labels that disagree
     assert by[8].kept and by[8].threshold is None  # no trusted text in its language
     assert by[3].n_grams == 1 and by[9].lang == "und"
     stay = keep_good(edge_docs, labels)
