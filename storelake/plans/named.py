@@ -321,8 +321,12 @@ def al04_zone_overcrowded(spark, sf, lookback: int = 300):
 
 def overcrowded(sensors):
     """The zones of a window of sensor rows that hold too many customers or hold them too long."""
-    g = sensors.groupBy("store_id", "zone").agg(F.count(F.lit(1)).alias("customers"), F.avg("dwell_seconds").alias("avg_dwell"))
-    return g.where((F.col("customers") > 50) | (F.col("avg_dwell") > 600))
+    return crowded(sensors.groupBy("store_id", "zone").agg(F.count(F.lit(1)).alias("customers"), F.avg("dwell_seconds").alias("avg_dwell")))
+
+
+def crowded(zones):
+    """The zones over a limit, from their customers and average dwell."""
+    return zones.where((F.col("customers") > 50) | (F.col("avg_dwell") > 600))
 
 
 # AL05 --------------------------------------------------------------------------

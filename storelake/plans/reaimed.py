@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import storelake.plans.joins  # noqa: F401  # oracles that this module shares
+import storelake.plans.silver  # noqa: F401
 from storelake.functions.hashing import md5_unit_sql, seeded_sample
 from storelake.operators import aggs, joins, windows
 from storelake.plans.common import SQL_EVENTS, SQL_LINES, SQL_RECEIPTS, finish

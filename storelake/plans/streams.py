@@ -10,9 +10,10 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from storelake.operators import aggs
-from storelake.plans.common import finish
-from storelake.plans.gold import lifecycles
-from storelake.plans.named import overcrowded, recent, stockouts
+from storelake.plans.common import SQL_RECEIPTS, finish
+from storelake.plans.gold import SQL_LIFECYCLES, SQL_SENSORS, lifecycles
+from storelake.plans.named import _SQL_STOCKOUTS, crowded, stockouts
+from storelake.plans.reaimed import _SQL_REORDERS, reorder_signals
 from storelake.plans.registry import ORACLES, register
 from storelake.sources import driver as d
 from storelake.streaming import runner as st
@@ -262,47 +263,80 @@ m AS (SELECT due, max(max(ts)) OVER (ORDER BY due ROWS BETWEEN UNBOUNDED PRECEDI
 SELECT CASE WHEN ts <= mark THEN 'late' ELSE 'on_time' END AS class, count(*) AS rows FROM e JOIN m USING (due) GROUP BY 1"""
 
 
+LATENESS = "1 day"  # how late a row of an alert rule may come, and how long its state is kept
+SLIDE = "1 minute"  # alert windows end at every full minute
+
+
 def alert_rules() -> dict:
-    """Rule -> (lookback seconds, time column, rows of a window -> alerts (key, value))."""
+    """Rule -> (time column, rows -> alerts (key, value)) of the rules that look at single rows."""
     key = lambda *c: F.concat_ws("|", *(F.col(x).cast("string") for x in c)).alias("key")
     value = lambda c: F.col(c).cast("double").alias("value")
     return {
-        "AL01": (300, "event_ts", lambda x: x.select(key("store_id", "product_id"), value("last_known_quantity"))),
-        "AL02": (600, "event_ts", lambda x: x.where(F.col("priority") == "URGENT").select(key("store_id", "product_id"), value("reorder_quantity"))),
-        "AL03": (300, "arrival_ts", lambda x: x.where(F.col("dwell_minutes") > 90).select(key("shipment_id", "site"), F.round("dwell_minutes", 4).alias("value"))),
-        "AL04": (300, "event_ts", lambda x: overcrowded(x).select(key("store_id", "zone"), value("customers"))),
-        "AL05": (300, "event_ts", lambda x: x.where(F.col("total_cents") > 20000).select(key("receipt_id"), value("total_cents"))),
+        "AL01": ("event_ts", lambda x: x.select("event_ts", key("store_id", "product_id"), value("last_known_quantity"))),
+        "AL02": ("event_ts", lambda x: x.where(F.col("priority") == "URGENT").select("event_ts", key("store_id", "product_id"), value("reorder_quantity"))),
+        "AL03": ("arrival_ts", lambda x: x.where(F.col("dwell_minutes") > 90).select("arrival_ts", key("shipment_id", "site"), F.round("dwell_minutes", 4).alias("value"))),
+        "AL05": ("event_ts", lambda x: x.where(F.col("total_cents") > 20000).select("event_ts", key("receipt_id"), value("total_cents"))),
     }
 
 
-def raise_alerts(rule: str):
-    """foreachBatch of ST10: the rule over the batch's rows of its lookback, into the batch's own folder."""
-    seconds, ts, alerts = alert_rules()[rule]
+def row_alerts(rule: str, stream, base: str):
+    """Alerts of a rule on single rows, as ``raised_at, key, value``. A row is in the rule's lookback at all window
+    ends from the next full minute on, so it raises its alert there and nowhere else, whatever
+    batch brings it. A row that is delivered again within ``LATENESS`` raises none."""
+    ts, alerts = alert_rules()[rule]
+    found = alerts(et(stream, ts).withWatermark(ts, LATENESS)).dropDuplicatesWithinWatermark([ts, "key", "value"])
+    found = found.select((F.date_trunc("minute", ts) + F.expr(f"INTERVAL {SLIDE}")).cast("timestamp_ntz").alias("raised_at"), "key", "value")
+    out = st.run_batches(found, base, st.batch_keyed_upsert)
+    return stream.sparkSession.read.schema(found.schema).parquet(out).select("raised_at", "key", "value")
 
-    def writer(df, bid, out):
-        st.batch_keyed_upsert(alerts(recent(df, ts, seconds)).select(F.lit(rule).alias("rule"), "key", "value"), bid, out)
 
-    return writer
+def zone_alerts(stream, base: str):
+    """AL04 over windows of five minutes that end at every full minute, as ``raised_at, key, value``.
+
+    The windows' counts and sums are state until the watermark has passed them. Every batch writes the windows
+    it changed, crowded or no longer so, into its own folder; of each window the last version counts. A window that a
+    late row of ``LATENESS`` or less changes is so corrected, and raises one alert or none."""
+    w = et(stream, "event_ts").withWatermark("event_ts", LATENESS).groupBy(F.window("event_ts", "5 minutes", SLIDE).alias("w"), "store_id", "zone")
+    found = w.agg(F.count(F.lit(1)).alias("customers"), F.avg("dwell_seconds").alias("avg_dwell"))
+    found = found.select(F.col("w.end").cast("timestamp_ntz").alias("raised_at"), "store_id", "zone", "customers", "avg_dwell")
+    out = st.run_batches(found, base, st.batch_keyed_upsert, mode="update")
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in found.schema)}, batch_id long"
+    latest = st.latest_by_batch(stream.sparkSession.read.schema(schema).parquet(out), ["raised_at", "store_id", "zone"])
+    return crowded(latest).select("raised_at", F.concat_ws("|", "store_id", "zone").alias("key"), F.col("customers").cast("double").alias("value"))
 
 
 @register("ST10", None)
 def st10_streaming_alerts(spark, sf):
-    """Rules AL01–AL05 over streams of their event tables, each micro-batch by its own
-    lookback (5 or 10 minutes before its latest row). No state is kept between batches, and a
-    replayed batch rewrites only its own alerts. Derived tables (stockouts, reorders, truck
+    """Rules AL01–AL05 over streams of their event tables, on sliding event-time windows: the
+    alerts are those of the batch rules run at the end of every minute, each written once, and do not depend on how the
+    rows are cut into batches. Derived tables (stockouts, reorders, truck
     lifecycles) are landed as files first, as their producers would."""
-    from storelake.plans.reaimed import reorder_signals
-
     base = st.run_folder(spark, "st10")
     tables = {"AL01": stockouts(spark, sf), "AL02": reorder_signals(spark, sf), "AL03": lifecycles(spark, sf), "AL04": d.sensors(spark, sf), "AL05": d.receipts(spark, sf)}
     out = []
     for rule, table in tables.items():
         table.write.parquet(f"{base}/{rule}/in")
-        done = st.run_batches(st.dir_stream(spark, f"{base}/{rule}/in", table.schema, max_files=None), f"{base}/{rule}", raise_alerts(rule))
-        out.append(spark.read.schema("rule string, key string, value double").parquet(done).select("rule", "key", "value"))
+        stream = st.dir_stream(spark, f"{base}/{rule}/in", table.schema, max_files=None)
+        found = zone_alerts(stream, f"{base}/{rule}") if rule == "AL04" else row_alerts(rule, stream, f"{base}/{rule}")
+        out.append(found.select(F.lit(rule).alias("rule"), "raised_at", "key", "value"))
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
+def _sql_row_alerts(rule: str, table: str, ts: str, key: str, value: str, where: str = "TRUE") -> str:
+    return f"SELECT DISTINCT '{rule}' AS rule, date_trunc('minute', {ts}) + INTERVAL 1 MINUTE AS raised_at, concat_ws('|', {key}) AS key, CAST({value} AS DOUBLE) AS value FROM {table} x WHERE {where}"
+
+
+ORACLES["ST10"] = " UNION ALL ".join((
+    _sql_row_alerts("AL01", _SQL_STOCKOUTS, "event_ts", "store_id, product_id", "last_known_quantity"),
+    _sql_row_alerts("AL02", _SQL_REORDERS, "event_ts", "store_id, product_id", "reorder_quantity", "priority = 'URGENT'"),
+    _sql_row_alerts("AL03", SQL_LIFECYCLES, "arrival_ts", "shipment_id, site", "round(dwell_minutes, 4)", "dwell_minutes > 90"),
+    _sql_row_alerts("AL05", SQL_RECEIPTS, "event_ts", "receipt_id", "total_cents", "total_cents > 20000"),
+    f"""SELECT 'AL04', raised_at, concat_ws('|', store_id, zone), CAST(count(*) AS DOUBLE) FROM (
+  SELECT *, date_trunc('minute', event_ts) + unnest(range(1, 6)) * INTERVAL 1 MINUTE AS raised_at FROM {SQL_SENSORS}) x
+GROUP BY raised_at, store_id, zone HAVING count(*) > 50 OR avg(dwell_seconds) > 600""",
+))
+
+
 @register("ST11", None)
 def st11_streaming_anomalies(spark, sf):
     """Hourly event counts aggregated on the stream, scored per batch with
@@ -336,14 +370,4 @@ def _share(alias, src):
 
 
 _share("ST04", "A13")
-_AL = {
-    "AL01": ("store_id, product_id", "last_known_quantity"),
-    "AL02": ("store_id, product_id", "reorder_quantity"),
-    "AL03": ("shipment_id, site", "dwell_minutes"),
-    "AL04": ("store_id, zone", "customers"),
-    "AL05": ("receipt_id", "total_cents"),
-}
-ORACLES["ST10"] = " UNION ALL ".join(
-    f"SELECT '{rule}' AS rule, concat_ws('|', {key}) AS key, CAST({value} AS DOUBLE) AS value FROM ({ORACLES[rule]})" for rule, (key, value) in _AL.items()
-)
 _share("ST13", "J13")

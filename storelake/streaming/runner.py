@@ -74,11 +74,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", writer: Cal
         return spark.createDataFrame([], stream.schema)
 
 
-def run_batches(stream: DataFrame, base: str, writer: Callable) -> str:
+def run_batches(stream: DataFrame, base: str, writer: Callable, mode: str = "append") -> str:
     """Run what is there of ``stream`` through ``writer(df, batch_id, out)`` with the
     checkpoint in ``base``; returns ``out``. A second call goes on where the first ended."""
     out = f"{base}/out"
-    q = stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).foreachBatch(lambda df, bid: writer(df, bid, out)).start()
+    q = stream.writeStream.option("checkpointLocation", f"{base}/_checkpoint").trigger(availableNow=True).outputMode(mode).foreachBatch(lambda df, bid: writer(df, bid, out)).start()
     q.awaitTermination()
     return out
 
@@ -89,10 +89,9 @@ def batch_keyed_upsert(df: DataFrame, batch_id: int, out: str) -> None:
     df.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
 
-def latest_by_batch(spark: SparkSession, out: str, keys: Sequence[str]) -> DataFrame:
+def latest_by_batch(x: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Read side of :func:`batch_keyed_upsert`: the row of the latest batch
-    per key (max_by, a partial aggregate)."""
-    x = spark.read.parquet(out)
+    per key (max_by, a partial aggregate), from the rows of all batches."""
     cols = [c for c in x.columns if c not in (*keys, "batch_id")]
     return x.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v")).select(*keys, "_v.*")
 

@@ -58,7 +58,7 @@ def test_batch_keyed_upsert_latest_wins(spark):
     st.batch_keyed_upsert(a, 0, base)
     st.batch_keyed_upsert(b, 1, base)
     st.batch_keyed_upsert(b, 1, base)  # replayed batch rewrites itself
-    got = dict((r.k, r.v) for r in st.latest_by_batch(spark, base, ["k"]).collect())
+    got = dict((r.k, r.v) for r in st.latest_by_batch(spark.read.parquet(base), ["k"]).collect())
     assert got == {1: "new", 2: "x"}
 
 
@@ -135,3 +135,57 @@ def test_incremental_views_over_files_equal_batch(spark):
     partial_views(b.select(view_rows(minute).alias("x")).select("x.*"), 1, out)
     got = {(r.bucket, r.n, r.amount) for r in merged_views(spark, [out]).collect()}
     assert got == {(dt.datetime(2024, 1, 10, 9, 1), 2, 2.0), (dt.datetime(2024, 1, 1, 9, 2), 2, 2.0)}
+
+
+def _alert_rows():
+    """(event_id, store, zone, dwell, time): busy, long and quiet zones over half an hour, some rows late."""
+    start, rows = dt.datetime(2024, 1, 1, 9, 0), []
+    for i in range(300):
+        store = i % 3
+        rows.append((i, store, "a" if store < 2 else "b", 900.0 if store == 1 and (i // 3) % 4 else 10.0, start + dt.timedelta(seconds=(i * 7) % 600 if store == 0 else i * 6)))
+    return rows
+
+
+def _crowded_windows(rows):
+    out = set()
+    for minute in range(0, 60):
+        end = dt.datetime(2024, 1, 1, 9, 0) + dt.timedelta(minutes=minute)
+        by = {}
+        for _, store, zone, dwell, ts in rows:
+            if end - dt.timedelta(minutes=5) <= ts < end:
+                by.setdefault(f"{store}|{zone}", []).append(dwell)
+        out |= {(end, k, float(len(v))) for k, v in by.items() if len(v) > 50 or sum(v) / len(v) > 600}
+    return out
+
+
+def test_alerts_do_not_depend_on_batches(spark):
+    """ST10: one batch and twenty batches of the same rows, late ones among them, give the alerts
+    of the rules run at every full minute, each once."""
+    from storelake.plans.streams import row_alerts, zone_alerts
+
+    rows = _alert_rows()
+    late = rows[50:60]  # come last
+    expected = _crowded_windows(rows)
+    assert len(expected) > 5 and len(expected - _crowded_windows(rows[:50] + rows[60:])) > 0
+    receipts = [(i, 20000 + (i % 2) * 500, ts) for i, _, _, _, ts in rows]
+    over = {(ts.replace(second=0) + dt.timedelta(minutes=1), str(i), float(c)) for i, c, ts in receipts if c > 20000}
+    for n in (1, 20):
+        base = st.run_folder(spark, f"test-st10-{n}")
+        order = [r for r in rows if r not in late] + late
+        for k in range(n):
+            part = order[k * len(order) // n : (k + 1) * len(order) // n]
+            spark.createDataFrame(part, "event_id long, store_id long, zone string, dwell_seconds double, event_ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{base}/z/in")
+            again = part[:3] if k == n - 1 else []  # some rows are delivered twice
+            spark.createDataFrame([receipts[r[0]] for r in part + again], "receipt_id long, total_cents long, event_ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{base}/r/in")
+        zones = st.dir_stream(spark, f"{base}/z/in", "event_id long, store_id long, zone string, dwell_seconds double, event_ts timestamp_ntz")
+        got = [tuple(r) for r in zone_alerts(zones, f"{base}/z").collect()]
+        assert len(got) == len(set(got)) and set(got) == expected
+        found = [tuple(r) for r in row_alerts("AL05", st.dir_stream(spark, f"{base}/r/in", "receipt_id long, total_cents long, event_ts timestamp_ntz"), f"{base}/r").collect()]
+        assert len(found) == len(set(found)) and set(found) == over
+
+
+def test_streams_import_alone():
+    import subprocess
+    import sys
+
+    assert subprocess.run([sys.executable, "-c", "import storelake.plans.streams"], cwd=__file__.rsplit("/tests/", 1)[0], check=False).returncode == 0
