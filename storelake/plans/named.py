@@ -142,10 +142,8 @@ SELECT store_id, ts, CAST(sum(cents) AS DOUBLE) / 100 AS total_sales, CAST(sum(r
 )
 def q06_receipts_minute_by_store(spark, sf):
     """Re-aggregated minute buckets; basket = sum/sum."""
-    a = d.receipts(spark, sf, with_store=True).groupBy("store_id", aggs.bucket_ts("event_ts", "minute").alias("ts")).agg(
-        F.sum("total_cents").alias("cents"), F.count(F.lit(1)).alias("receipts")
-    )
-    a = recent(a, "ts", 3600)
+    r = recent_minutes(d.receipts(spark, sf, with_store=True), "event_ts", 3600)
+    a = r.groupBy("store_id", aggs.bucket_ts("event_ts", "minute").alias("ts")).agg(F.sum("total_cents").alias("cents"), F.count(F.lit(1)).alias("receipts"))
     g = a.groupBy("store_id", "ts").agg(F.sum("cents").alias("cents"), F.sum("receipts").alias("receipts"))
     return g.select("store_id", "ts", (F.col("cents") / 100).alias("total_sales"), "receipts", (F.col("cents") / 100 / F.col("receipts")).alias("avg_basket"))
 
@@ -233,7 +231,7 @@ SELECT store_id, zone, round(avg(avg_dwell), 4) AS avg_dwell, round(sum(dwell_to
 def q11_zone_heatmap(spark, sf):
     """Zone heatmap over the last 30 minutes: the literal average of minute
     averages (G29) and the visit-weighted average."""
-    m = recent(aggs.zone_dwell(d.sensors(spark, sf), "store_id", "zone", "event_ts", "dwell_seconds"), "ts", 1800)
+    m = aggs.zone_dwell(recent_minutes(d.sensors(spark, sf), "event_ts", 1800), "store_id", "zone", "event_ts", "dwell_seconds")
     g = m.groupBy("store_id", "zone").agg(
         F.avg("avg_dwell").alias("avg_dwell"), (F.sum("dwell_total") / F.sum("customers")).alias("weighted_dwell"), F.sum("customers").alias("customers")
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 import storelake.plans.joins  # noqa: F401  # oracles that this module shares
@@ -350,23 +352,30 @@ def r21_graph_edges(spark, sf):
 
 
 # R22 ---------------------------------------------------------------------------
+# Bindings of the timeline: entity, source, and the source's key, time, kind and reference.
+TIMELINE_BINDINGS = [
+    ("customer", "orders", "o_custkey", "o_orderdate", "'order'", "o_orderkey"),
+    ("customer", "events", "user_id", "ts", "concat('event_', event_type)", "event_id"),
+    ("supplier", "lineitem", "l_suppkey", "l_shipdate", "CASE WHEN l_returnflag = 'R' THEN 'return' ELSE 'shipment' END", "l_orderkey"),
+    ("product", "lineitem", "l_partkey", "l_shipdate", "CASE WHEN l_returnflag = 'R' THEN 'returned' ELSE 'sold' END", "l_orderkey"),
+]
+
+
 @register(
     "R22",
-    f"""SELECT entity_id, ts, kind, ref, row_number() OVER (PARTITION BY entity_id ORDER BY ts, kind, ref) AS seq FROM (
-  SELECT customer_id AS entity_id, event_ts AS ts, 'order' AS kind, receipt_id AS ref FROM {SQL_RECEIPTS}
-  WHERE customer_id IN (SELECT user_id FROM events)
-  UNION ALL SELECT user_id, ts, 'event_' || event_type, event_id FROM events)""",
+    "SELECT entity, entity_id, ts, kind, ref, row_number() OVER (PARTITION BY entity, entity_id ORDER BY ts, kind, ref) AS seq FROM ("
+    + " UNION ALL ".join(f"SELECT '{entity}' AS entity, CAST({key} AS BIGINT) AS entity_id, {ts} AS ts, {kind} AS kind, CAST({ref} AS BIGINT) AS ref FROM {source}" for entity, source, key, ts, kind, ref in TIMELINE_BINDINGS)
+    + ")",
 )
 def r22_entity_timeline(spark, sf):
-    """Customer timeline: orders and live events bound to the customer key,
-    numbered in time order."""
-    r = d.receipts(spark, sf).select(F.col("customer_id").alias("entity_id"), F.col("event_ts").alias("ts"), F.lit("order").alias("kind"), F.col("receipt_id").alias("ref"))
-    u = d.table(spark, sf, "events")
-    known = u.select(F.col("user_id").alias("entity_id")).distinct()
-    r = r.join(known, "entity_id", "left_semi")
-    e = u.select(F.col("user_id").alias("entity_id"), "ts", F.concat(F.lit("event_"), F.col("event_type")).alias("kind"), F.col("event_id").alias("ref"))
-    x = r.unionByName(e)
-    numbered = windows.bucketed_row_number(x, ["entity_id"], [F.col("ts"), F.col("kind"), F.col("ref")], F.to_date("ts"), "seq")
+    """Timeline of every entity from all its bound sources, numbered in time order. Every row of a
+    bound source is there, whether or not the entity has rows in another one."""
+    parts = [
+        d.table(spark, sf, source).select(F.lit(entity).alias("entity"), F.col(key).cast("bigint").alias("entity_id"), F.col(ts).alias("ts"), F.expr(kind).alias("kind"), F.col(ref).cast("bigint").alias("ref"))
+        for entity, source, key, ts, kind, ref in TIMELINE_BINDINGS
+    ]
+    x = reduce(lambda a, b: a.unionByName(b), parts)
+    numbered = windows.bucketed_row_number(x, ["entity", "entity_id"], [F.col("ts"), F.col("kind"), F.col("ref")], F.to_date("ts"), "seq")
     return numbered.withColumn("seq", F.col("seq").cast("bigint"))
 
 

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from storelake.operators import aggs
+from storelake.plans.analytics import _score as score_series
+from storelake.plans.analytics import _sql_anomaly
 from storelake.plans.common import SQL_RECEIPTS, finish
 from storelake.plans.gold import SQL_LIFECYCLES, SQL_SENSORS, lifecycles
 from storelake.plans.named import _SQL_STOCKOUTS, crowded, stockouts
@@ -177,18 +179,19 @@ FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderd
 
 @register("ST06", None)
 def st06_session_windows(spark, sf):
-    """Sessions with a 12 h gap timeout via session_window (a session closes
-    when no event arrives for the gap)."""
+    """Sessions with a 12 h gap timeout via session_window. A session is written once, when the watermark
+    (12 h after the latest event) has passed its end, and leaves the state with that; sessions
+    that may still go on at the end of the input are not out yet."""
     e = et(st.table_stream(spark, sf, "events"), "ts").withWatermark("ts", "12 hours")
     s = e.groupBy("user_id", F.session_window("ts", "12 hours").alias("s")).agg(F.count(F.lit(1)).alias("events"))
-    out = st.run_to_table(s, "st06", mode="complete")
-    return finish(out.select("user_id", F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "events"))
+    return st.run_to_table(s.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events"), "st06")
 
 
 ORACLES["ST06"] = f"""SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS events FROM (
   SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= {12 * 3600 * 1_000_000} THEN 1 ELSE 0 END)
     OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sn FROM (
-    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, sn"""
+    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, sn
+HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR"""
 
 
 def route_batch(df, bid: int, out: str) -> None:
@@ -337,20 +340,21 @@ GROUP BY raised_at, store_id, zone HAVING count(*) > 50 OR avg(dwell_seconds) >
 ))
 
 
+def closed_hours(events):
+    """(entity_id, hour, v): events per type and hour, each hour once, when the watermark has passed its end."""
+    hourly = et(events, "ts").withWatermark("ts", WATERMARK).groupBy(F.col("event_type").alias("entity_id"), F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).cast("double").alias("v"))
+    return hourly.select("entity_id", F.col("w.start").cast("timestamp_ntz").alias("hour"), "v")
+
+
 @register("ST11", None)
 def st11_streaming_anomalies(spark, sf):
-    """Hourly event counts aggregated on the stream, scored per batch with
-    the M01 scorer (foreachBatch -> batch operator)."""
-    from storelake.operators import anomaly
+    """Hourly event counts on the stream, scored with the M01 scorer. The stream appends closed hours
+    only (its state is the open ones); the scorer reads those few rows, one a type and hour, when asked."""
+    return score_series(st.run_to_table(closed_hours(st.table_stream(spark, sf, "events")), "st11"))
 
-    e = et(st.table_stream(spark, sf, "events"), "ts").withWatermark("ts", WATERMARK)
-    hourly = e.groupBy(F.col("event_type").alias("entity_id"), F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).cast("double").alias("v"))
-
-    def writer(df, bid, out):
-        scored = anomaly.series_anomalies(df.select("entity_id", F.col("w.start").alias("hour"), "v"), ["entity_id"], "hour", "v")
-        scored.write.mode("overwrite").parquet(out)
 
-    return finish(st.run_to_table(hourly, "st11", mode="complete", writer=writer), 4)
+ORACLES["ST11"] = _sql_anomaly("""(SELECT event_type AS entity_id, date_trunc('hour', ts) AS hour, CAST(count(*) AS DOUBLE) AS v FROM events
+  GROUP BY ALL HAVING date_trunc('hour', max(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)""")
 
 
 @register("ST13", None)
