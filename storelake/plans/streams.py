@@ -19,6 +19,7 @@ from storelake.plans.reaimed import _SQL_REORDERS, reorder_signals
 from storelake.plans.registry import ORACLES, register
 from storelake.sources import driver as d
 from storelake.streaming import runner as st
+from storelake.streaming import views
 
 WATERMARK = "1 hour"
 
@@ -71,24 +72,31 @@ ORACLES["ST02"] = """SELECT 'orders' AS source, max(o_orderdate) AS mark FROM or
 UNION ALL SELECT 'events', max(ts) FROM events UNION ALL SELECT 'archive', min(o_orderdate) FROM orders"""
 
 
-def view_rows(views: dict) -> "F.Column":
+def view_rows(wanted: dict) -> "F.Column":
     """One row for each view a row counts in: {view: (condition, key, bucket, count, amount)}."""
     one = lambda v, x: F.when(x[0], F.struct(F.lit(v).alias("view"), x[1].cast("string").alias("key"), x[2].cast("timestamp_ntz").alias("bucket"), x[3].cast("bigint").alias("n"), x[4].cast("decimal(28,6)").alias("amount")))
-    return F.explode(F.filter(F.array(*(one(v, x) for v, x in views.items())), lambda x: x.isNotNull()))
+    return F.explode(F.filter(F.array(*(one(v, x) for v, x in wanted.items())), lambda x: x.isNotNull()))
+
+
+VIEW_SCHEMA = "view string, key string, bucket timestamp_ntz, n bigint, amount decimal(38,6)"
+
+
+def summed(rows):
+    """Counts and sums by view, key and bucket: of rows, of parts, and of parts of parts."""
+    sums = rows.groupBy("view", "key", "bucket").agg(F.sum("n").alias("n"), F.sum("amount").cast("decimal(38,6)").alias("amount"))
+    return sums.select("view", "key", "bucket", "n", "amount")
 
 
 def partial_views(df, bid: int, out: str) -> None:
-    """foreachBatch of ST03: the batch's own counts and sums, in its own folder. Nothing is kept
-    between batches, late rows count like others, and a replayed batch rewrites only itself."""
-    sums = df.groupBy("view", "key", "bucket").agg(F.sum("n").alias("n"), F.sum("amount").alias("amount"))
-    st.batch_keyed_upsert(sums, bid, out)
+    """foreachBatch of ST03: the batch's own counts and sums are a part of the view. Nothing is kept
+    between batches, and late rows count like others."""
+    views.commit(df.withColumn("amount", F.col("amount").cast("decimal(38,6)")), bid, out, summed)
 
 
 def merged_views(spark, outs):
-    """The views: the sum of all batches' parts."""
-    schema = "view string, key string, bucket timestamp_ntz, n bigint, amount decimal(38,6)"
-    parts = reduce(lambda a, b: a.unionByName(b), [spark.read.schema(schema).parquet(out) for out in outs])
-    return parts.groupBy("view", "key", "bucket").agg(F.sum("n").alias("n"), F.sum("amount").cast("double").alias("amount"))
+    """The views of several streams, each the sum of its live parts."""
+    parts = reduce(lambda a, b: a.unionByName(b), [views.read_view(spark, out, VIEW_SCHEMA, summed) for out in outs])
+    return parts.withColumn("amount", F.col("amount").cast("double"))
 
 
 def _minute(c):
@@ -143,23 +151,26 @@ ORACLES["ST03"] = """WITH v AS (
 SELECT view, key, bucket, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CAST(amount AS DECIMAL(28,6))) AS DOUBLE) AS amount FROM v GROUP BY ALL"""
 
 
-@register("ST04", None)
-def st04_latest_per_key(spark, sf):
-    """Incremental latest-per-key view: each micro-batch's arg_max rows are
-    written to its own batch partition; the view is the arg_max over all of them,
-    so rows that arrive out of order never replace a later one."""
-    e = st.table_stream(spark, sf, "events")
+def latest_rows(df):
+    return aggs.latest_per_key(df, ["user_id"], ["ts", "event_id"], ["event_id", "ts", "event_type", "value", "props"])
+
+
+def latest_part(df, bid: int, out: str) -> None:
+    """foreachBatch of ST04: the batch's arg_max rows are a part of the view."""
+    views.commit(df.select("user_id", "event_id", "ts", "event_type", "value", "props"), bid, out, latest_rows)
 
-    def writer(df, bid, out):
-        latest = aggs.latest_per_key(df, ["user_id"], ["ts", "event_id"], ["event_id", "ts", "event_type", "value", "props"])
-        st.batch_keyed_upsert(latest, bid, out)
 
-    return latest_view(spark, e, writer, st.run_folder(spark, "st04"))
+@register("ST04", None)
+def st04_latest_per_key(spark, sf):
+    """Incremental latest-per-key view: the arg_max over the arg_max rows of all micro-batches, kept
+    in merged parts, so rows that arrive out of order never replace a later one."""
+    return latest_view(spark, st.table_stream(spark, sf, "events"), st.run_folder(spark, "st04"))
 
 
-def latest_view(spark, stream, writer, base):
-    out = st.run_batches(stream, base, writer)
-    return aggs.latest_per_key(spark.read.parquet(out), ["user_id"], ["ts", "event_id"], ["event_id", "ts", "event_type", "value", "props"])
+def latest_view(spark, stream, base):
+    out = st.run_batches(stream, base, latest_part)
+    columns = stream.select("user_id", "event_id", "ts", "event_type", "value", "props").schema
+    return views.read_view(spark, out, columns, latest_rows)
 
 
 @register("ST05", None)
