@@ -9,12 +9,13 @@ that normal form; the leading bits of the key choose its bucket.
    doubles the directory. Each generation is a small table in the shared folder
    (at most ``2 ** max_depth`` rows). Copies of one text have one key, so no
    number of copies makes a bucket overfull.
-2. *Entries.* Copies are combined before they are shuffled (a map-side partial
-   aggregate on key and bytes): equal keys whose bytes differ stay separate
-   entries.
-3. *Owners.* The entries are dealt to tasks by ranges of buckets. The owner of
-   a bucket chains the entries of one key (``chain`` 0, 1, ...) and writes its
-   index file.
+2. *Entries.* The directory gives every text its bucket. Copies are combined before they travel: a map-side
+   aggregate on key and bytes within each of ``_SALTS`` groups of partitions, so a text with any
+   number of copies reaches its owner as a few entries, each with its own count and best row.
+3. *Owners.* The entries are dealt to tasks by ranges of buckets, which are ranges of keys. The owner of
+   a bucket sorts the entries of one key by their bytes and chains them: equal bytes are one link
+   (``chain`` 0, 1, ...), other bytes under the same key are the next. The row that stays and the size of a
+   group are known only there, and the owner writes them to its index file.
 4. *Probe.* Every document looks up its entry by key and digest. The probe is a
    sort-merge join of narrow rows; AQE splits a key that holds a third of them.
 """
@@ -28,6 +29,8 @@ from pyspark.sql import functions as F
 
 from storelake.llm.common import packed, run_dir, text_of, written
 
+_SALTS = 8
+
 # Fixed by the contract: the characters deleted before texts are compared.
 SPACES = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
 
@@ -82,27 +85,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     directory = grow_directory(keys, path, bucket_entries, max_depth)
 
     # the row that stays: most characters, ids before null, smallest id (~id falls as id grows)
-    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has"), F.bitwise_not("doc_id").alias("inv")))
+    rank = F.struct("n_chars", F.col("doc_id").isNotNull().alias("has"), F.bitwise_not("doc_id").alias("inv"))
     entries = (
-        rows.select("doc_id", "n_chars", "norm", F.xxhash64("norm").alias("key"))
-        .groupBy("key", "norm")
-        .agg(best.alias("best"), F.count("*").alias("group_size"))
-        .select(
-            "key",
-            F.sha2("norm", 256).alias("sha"),
-            F.bitwise_not("best.inv").alias("keep_id"),
-            F.col("best.n_chars").alias("keep_chars"),
-            "group_size",
-            F.shiftrightunsigned("key", 64 - max_depth).alias("slot"),
-        )
+        rows.select(rank.alias("rank"), "norm", F.xxhash64("norm").alias("key"), F.pmod(F.spark_partition_id(), F.lit(_SALTS)).alias("salt"))
+        .groupBy("key", "norm", "salt")
+        .agg(F.max("rank").alias("best"), F.count("*").alias("copies"))
+        .withColumn("slot", F.shiftrightunsigned("key", 64 - max_depth))
     )
-    chained = Window.partitionBy("bucket", "key").orderBy("sha")
+    # the directory has at most 2 ** max_depth rows
+    owned = entries.join(F.broadcast(directory), "slot").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
+    along = Window.partitionBy("bucket", "key").orderBy("norm")
     index = written(
-        # the directory has at most 2 ** max_depth rows
-        entries.join(F.broadcast(directory), "slot")
-        .repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")
-        .withColumn("chain", F.row_number().over(chained) - 1)
-        .select("bucket", "key", "chain", "sha", "keep_id", "keep_chars", "group_size"),
+        owned.withColumn("chain", F.dense_rank().over(along) - 1)
+        .groupBy("bucket", "key", "chain")
+        .agg(F.max("best").alias("best"), F.sum("copies").alias("group_size"), F.first(F.sha2("norm", 256)).alias("sha"))
+        .select("bucket", "key", "chain", "sha", F.bitwise_not("best.inv").alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "group_size"),
         f"{path}/index",
     )
     copies = Window.partitionBy("doc_id", "key", "sha", "n_chars").orderBy(F.lit(0))
@@ -112,7 +109,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_of_equal(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns."""
+    """The rows of ``docs`` that ``exact_dedup`` keeps, with all their columns.
+
+    Null texts count as empty, null ids come last, and of rows that repeat an id and its text one
+    stays; an empty table stays empty and extra columns stay, whatever their names."""
     id_col, text_col = options.get("id_col", "doc_id"), options.get("text_col", "text")
     stay = exact_dedup(docs, **options).where("kept").select("doc_id", "text_sha256")
     t = text_of(text_col)

@@ -35,6 +35,15 @@ def test_exact_empty(no_docs):
     assert keep_first_of_equal(no_docs).count() == 0
 
 
+def test_copies_in_many_partitions_meet_in_one_chain(spark):
+    """Partial entries of one text, from many map tasks, become one link with all its copies."""
+    rows = [(i, "hot text" if i % 3 else f"cold text {i}" + " " * (i % 2)) for i in range(300)]
+    got = exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(16), bucket_entries=10).collect()
+    hot = [r for r in got if r.doc_id % 3]
+    assert len(got) == 300 and {(r.keep_id, r.group_size, r.chain) for r in hot} == {(1, 200, 0)} and sum(r.kept for r in hot) == 1
+    assert all(r.kept and r.group_size == 1 for r in got if r.doc_id % 3 == 0) and len({r.bucket for r in got}) > 3
+
+
 def test_directory_splits_only_overfull(spark, tmp_path):
     keys = spark.range(20000).select(F.xxhash64("id").alias("key"))
     d = grow_directory(keys, str(tmp_path), 1500, 10).collect()
