@@ -77,24 +77,78 @@ def range_join(
     lcols = left.columns
     if how != "inner" and not left_id:
         raise ValueError("range_join(how='left') needs left_id")
-    lb = left.withColumn(
-        "_bkt",
-        F.explode(F.sequence(F.floor(_epoch_us(F.col(left_start)) / bu), F.floor(_epoch_us(F.col(left_end)) / bu))),
-    )
-    rb = right.withColumn("_bkt", F.floor(_epoch_us(F.col(right_ts)) / bu))
-    rb = rb.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in rb.columns if c != "_bkt"], F.col("_bkt").alias("_rbkt"))
-    cond = [lb[k] == rb[f"_r_{k}"] for k in keys] + [lb["_bkt"] == rb["_rbkt"]]
-    lo = (F.col(right_ts) >= F.col(left_start)) if lower_inclusive else (F.col(right_ts) > F.col(left_start))
-    hi = (F.col(right_ts) <= F.col(left_end)) if upper_inclusive else (F.col(right_ts) < F.col(left_end))
-    matched = lb.join(rb, cond, "inner").where(lo & hi).drop("_bkt", "_rbkt", *[f"_r_{k}" for k in keys])
+    first, last = F.floor(_epoch_us(F.col(left_start)) / bu), F.floor(_epoch_us(F.col(left_end)) / bu)
+    rcols = [c for c in right.columns if c not in keys]
+    r = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], F.floor(_epoch_us(F.col(right_ts)) / bu).alias("_rbkt"), F.struct(*rcols).alias("_m"))
+    t = F.col(f"_m.{right_ts}")
+    lo = (t >= F.col(left_start)) if lower_inclusive else (t > F.col(left_start))
+    hi = (t <= F.col(left_end)) if upper_inclusive else (t < F.col(left_end))
+    on = [F.col(k) == F.col(f"_r_{k}") for k in keys] + [F.col("_bkt") == F.col("_rbkt")]
     if how == "inner":
-        return matched
-    # left outer: add back the left rows that matched nowhere (anti join on the left key)
-    rcols = [c for c in matched.columns if c not in lcols]
-    unmatched = left.join(matched.select(*left_id).distinct(), list(left_id), "left_anti").select(
-        *lcols, *[F.lit(None).cast(matched.schema[c].dataType).alias(c) for c in rcols]
+        pieces = left.withColumn("_bkt", F.explode(F.sequence(first, last)))
+        return pieces.join(r, on, "inner").where(lo & hi).select(*lcols, "_m.*")
+    # left outer, by pieces: a piece without a match gives a row with _m NULL. It stands for its
+    # interval where the interval has no other piece, or where all of its pieces came out so. Both
+    # branches read the same two exchanges (_m is one column, so pruning leaves them alike).
+    valid = F.col(left_start) <= F.col(left_end)
+    pieces = left.withColumn("_n", F.when(valid, last - first + 1).otherwise(1))
+    pieces = pieces.withColumn("_bkt", F.explode(F.when(valid, F.sequence(first, last)).otherwise(F.array(F.lit(None).cast("bigint")))))
+    joined = pieces.join(r, [*on, lo, hi], "left")
+    alone = joined.where(F.col("_m").isNotNull() | (F.col("_n") == 1)).select(*lcols, "_m.*")
+    rest = [c for c in lcols if c not in left_id]
+    missed = joined.where(F.col("_m").isNull() & (F.col("_n") > 1)).groupBy(*left_id).agg(*[F.first(c).alias(c) for c in rest], F.first("_n").alias("_n"), F.count(F.lit(1)).alias("_c"))
+    missed = missed.where(F.col("_c") == F.col("_n"))
+    return alone.unionByName(missed.select(*lcols, *[F.lit(None).cast(right.schema[c].dataType).alias(c) for c in rcols]))
+
+
+def range_aggregate(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_start: str,
+    left_end: str,
+    right_ts: str,
+    count: str,
+    sums: dict[str, str],
+    bucket_seconds: int = 86400,
+) -> DataFrame:
+    """Every row of ``left`` with the number (``count``) and the sums (``sums``: output name to
+    integer column of ``right``) of the rows of ``right`` whose ``right_ts`` lies in
+    [left_start, left_end] and whose keys are equal. Intervals without a match keep their row, with
+    0 and NULL sums; so do those with a NULL bound or key, or that end before they start. Rows of
+    ``left`` must be distinct.
+
+    No match is ever a row. An interval is cut at bucket edges; the two ends of a piece and the
+    points of (keys, bucket) go through one running sum, and what stands at the end less what stands at
+    the start is the piece's share. One exchange by (keys, bucket), one to add the shares up."""
+    bu = bucket_seconds * 1_000_000
+    cols = left.columns
+    lo, hi = _epoch_us(F.col(left_start)), _epoch_us(F.col(left_end))
+    valid = F.col(left_start) <= F.col(left_end)
+    for k in keys:
+        valid = valid & F.col(k).isNotNull()
+    valid = F.coalesce(valid, F.lit(False))
+    p = left.select(F.struct(*cols).alias("_l"), *keys, lo.alias("_lo"), hi.alias("_hi"), valid.alias("_ok"))
+    buckets = F.sequence(F.floor(F.col("_lo") / bu), F.floor(F.col("_hi") / bu))
+    p = p.withColumn("_bkt", F.explode(F.when(F.col("_ok"), buckets).otherwise(F.array(F.lit(-1).cast("bigint")))))
+    start, end = F.greatest(F.col("_lo"), F.col("_bkt") * bu), F.least(F.col("_hi"), F.col("_bkt") * bu + (bu - 1))
+    # at equal times the start stands before the points and the end after them: both bounds are inclusive
+    mark = lambda t, o, sign: F.struct(t.alias("_t"), F.lit(o).alias("_o"), F.when(F.col("_ok"), sign).otherwise(0).alias("_sign"))
+    p = p.withColumn("_mark", F.explode(F.array(mark(start, 0, -1), mark(end, 2, 1))))
+    p = p.select("_l", *keys, "_bkt", "_mark.*", F.lit(0).alias("_one"), *[F.lit(0).cast("bigint").alias(f"_v_{o}") for o in sums])
+    us = _epoch_us(F.col(right_ts))
+    q = right.where(F.col(right_ts).isNotNull())
+    for k in keys:
+        q = q.where(F.col(k).isNotNull())
+    q = q.select(
+        F.lit(None).cast(p.schema["_l"].dataType).alias("_l"), *keys, F.floor(us / bu).alias("_bkt"), us.alias("_t"), F.lit(1).alias("_o"), F.lit(0).alias("_sign"),
+        F.lit(1).alias("_one"), *[F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(f"_v_{o}") for o, c in sums.items()],
     )
-    return matched.unionByName(unmatched)
+    w = Window.partitionBy(*keys, "_bkt").orderBy("_t", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    u = p.unionByName(q).withColumns({f"_s_{c}": F.sum(c).over(w) for c in ["_one", *[f"_v_{o}" for o in sums]]})
+    u = u.where(F.col("_l").isNotNull()).select("_l.*", *[(F.col("_sign") * F.col(c)).alias(c) for c in u.columns if c.startswith("_s_")])
+    g = u.groupBy(*cols).agg(F.sum("_s__one").alias(count), *[F.sum(f"_s__v_{o}").alias(o) for o in sums])
+    return g.withColumns({o: F.when(F.col(count) > 0, F.col(o)) for o in sums})
 
 
 def next_event_within(

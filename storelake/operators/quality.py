@@ -65,3 +65,31 @@ def report(checks: Sequence[DataFrame]) -> DataFrame:
     for c in checks[1:]:
         out = out.unionByName(c)
     return out
+
+
+# The statuses of a shipment in their order.
+STATUSES = ["SCHEDULED", "LOADING", "IN_TRANSIT", "ARRIVED", "UNLOADING", "COMPLETED"]
+
+
+def lifecycle_checks(statuses: DataFrame, cargo: DataFrame) -> DataFrame:
+    """Shipments whose lifecycle is broken, by check.
+
+    ``statuses (shipment_id, status, event_ts)`` is folded to the first and the last time of each status
+    by shipment, a state of twelve times however many rows a shipment has: ``all_six_statuses``
+    counts shipments without one of them, ``statuses_in_order`` those where a status starts before
+    the one that must come before it has ended, ``status`` values outside the list counting as missing.
+    ``cargo (shipment_id, product_id, quantity, action LOAD|UNLOAD)`` is compared as multisets: what was
+    unloaded beyond the load (``unload_has_load``), what was loaded and stayed (``load_is_unloaded``)."""
+    times = [a for s in STATUSES for a in (F.min(F.when(F.col("status") == s, F.col("event_ts"))).alias(f"{s}_a"), F.max(F.when(F.col("status") == s, F.col("event_ts"))).alias(f"{s}_z"))]
+    by = statuses.groupBy("shipment_id").agg(*times)
+    missing, backwards = F.lit(False), F.lit(False)
+    for s in STATUSES:
+        missing = missing | F.col(f"{s}_a").isNull()
+    for i, s in enumerate(STATUSES):
+        for t in STATUSES[i + 1 :]:
+            backwards = backwards | F.coalesce(F.col(f"{s}_z") >= F.col(f"{t}_a"), F.lit(False))
+    net = cargo.groupBy("shipment_id", "product_id").agg(F.sum(F.when(F.col("action") == "LOAD", F.col("quantity")).when(F.col("action") == "UNLOAD", -F.col("quantity"))).alias("left"))
+    one = by.agg(F.count_if(backwards).alias("statuses_in_order"), F.count_if(missing).alias("all_six_statuses"))
+    two = net.agg(F.count_if(F.col("left") < 0).alias("unload_has_load"), F.count_if(F.col("left") > 0).alias("load_is_unloaded"))
+    long = lambda df: df.unpivot([], df.columns, "check", "violations")
+    return long(one).unionByName(long(two))

@@ -140,6 +140,32 @@ def d11_lifecycle_complete(spark, sf):
     return q._row(m, "lifecycle_complete", F.count_if(F.col("n") != 2))
 
 
+@register(
+    "D11_states",
+    f"""WITH m AS (SELECT l_orderkey AS shipment_id, l_linenumber AS line, o_orderdate AS a, l_shipdate AS d, l_partkey AS p, l_quantity AS q FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+r AS (SELECT shipment_id, min(a) AS a, max(d) AS d FROM m GROUP BY 1)
+SELECT 'statuses_in_order' AS check, CAST(count_if(d <= a) AS BIGINT) AS violations FROM r
+UNION ALL SELECT 'all_six_statuses', CAST(count_if(a IS NULL OR d IS NULL) AS BIGINT) FROM r
+UNION ALL SELECT 'unload_has_load', CAST(0 AS BIGINT)
+UNION ALL SELECT 'load_is_unloaded', CAST((SELECT count(*) FROM (SELECT shipment_id, p FROM m GROUP BY ALL HAVING sum(CASE WHEN d > a THEN q ELSE 0 END) < sum(q))) AS BIGINT)""",
+)
+def d11_lifecycle_states(spark, sf):
+    """The six-status lifecycle of every shipment (= order): scheduled, loading and in transit an hour
+    apart up to the order date, unloading and completed up to the last ship date; goods shipped after
+    the order date are unloaded. A shipment with no ship date after its order date goes backwards."""
+    li = d.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("shipment_id"), F.col("l_partkey").alias("product_id"), F.col("l_quantity").cast("bigint").alias("quantity"), "l_shipdate")
+    o = d.table(spark, sf, "orders").select(F.col("o_orderkey").alias("shipment_id"), "o_orderdate")
+    x = li.join(o, "shipment_id")
+    ends = x.groupBy("shipment_id").agg(F.min("o_orderdate").alias("a"), F.max("l_shipdate").alias("d"))
+    at = lambda c, hours: F.col(c) + F.expr(f"INTERVAL {hours} HOURS")
+    times = [at("a", -3), at("a", -2), at("a", -1), F.col("a"), at("d", -1), F.col("d")]
+    st = F.explode(F.array(*[F.struct(F.lit(n).alias("status"), t.alias("event_ts")) for n, t in zip(q.STATUSES, times, strict=True)])).alias("s")
+    statuses = ends.select("shipment_id", st).select("shipment_id", "s.*").where(F.col("event_ts").isNotNull())
+    load = x.select("shipment_id", "product_id", "quantity", F.lit("LOAD").alias("action"))
+    unload = x.where(F.col("l_shipdate") > F.col("o_orderdate")).select("shipment_id", "product_id", "quantity", F.lit("UNLOAD").alias("action"))
+    return q.lifecycle_checks(statuses, load.unionByName(unload))
+
+
 @register(
     "D12",
     _chk("duplicate_line_keys_before", "SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)")

@@ -46,8 +46,13 @@ UNION ALL SELECT 'lineitem', true, (SELECT count(*) FROM lineitem) UNION ALL SEL
 UNION ALL SELECT 'store_returns', false, NULL::DOUBLE""",
 )
 def s02_read_table(spark, sf):
-    """Catalog scan with table_exists: an absent source is reported, never invented."""
-    return fs.expected_vs_found(spark, sf, _EXPECTED).withColumn("rows", F.col("rows").cast("double"))
+    """Catalog scan: the tables that are there are bound as views of the catalog under their own
+    prefix, then every expected one is looked up by name. An absent source is reported, never invented."""
+    for name in _EXPECTED:
+        if fs.table_exists(spark, _p(sf, name)):
+            spark.read.parquet(_p(sf, name)).createOrReplaceTempView(f"s02_{name}")
+    found = fs.catalog_scan(spark, [f"s02_{name}" for name in _EXPECTED])
+    return found.select(F.expr("substr(table_name, 5)").alias("table_name"), "exists", F.col("rows").cast("double").alias("rows"))
 
 
 @register("S17", ORACLES["S02"])

@@ -188,6 +188,49 @@ ORACLES["ST05"] = """SELECT o_orderkey AS shipment_id, o_custkey AS truck_id, l_
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 3650 DAY"""
 
 
+def pair_lifecycles(arrivals, departures, key: str, arrival: str, departure: str, within_days: int, late_days: int):
+    """Arrivals with their departures up to ``within_days`` later, whichever comes in first.
+
+    A stream-stream left join: a pair goes out when its later half is read. An arrival stays
+    in the state until the watermark (``late_days`` behind the newest row of the slower side)
+    has passed its last possible departure and then leaves, with NULL if none came; a departure
+    leaves with the watermark. So the state holds the rows of ``within_days + late_days``, not all."""
+    a = et(arrivals, arrival).withWatermark(arrival, f"{late_days} days")
+    b = et(departures.withColumnRenamed(key, "_key"), departure).withWatermark(departure, f"{late_days} days")
+    on = F.expr(f"{key} = _key AND {departure} > {arrival} AND {departure} <= {arrival} + INTERVAL {within_days} DAYS")
+    return a.join(b, on, "leftOuter").drop("_key")
+
+
+def lifecycle_batch(df, bid: int, out: str) -> None:
+    """foreachBatch of ST05_timeouts: pairs and timed-out arrivals go to their own partition of the batch's folder."""
+    status = F.when(F.col("departure_ts").isNull(), "timed_out").otherwise("paired")
+    df.withColumn("status", status).write.mode("overwrite").partitionBy("status").parquet(f"{out}/batch_id={bid}")
+
+
+# Fixed choice: a truck departs within 120 days; rows come at most 30 days late.
+LIFECYCLE_DAYS, LATE_DAYS = 120, 30
+
+
+@register("ST05_timeouts", None)
+def st05_timeouts(spark, sf):
+    """Lifecycle pairing with bounded state: pairs within 120 days, and arrivals that timed out."""
+    o = st.table_stream(spark, sf, "orders").select(F.col("o_orderkey").alias("shipment_id"), F.col("o_custkey").alias("truck_id"), F.col("o_orderdate").alias("arrival_ts"))
+    li = st.table_stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("shipment_id"), "l_linenumber", "l_suppkey", F.col("l_shipdate").alias("departure_ts"))
+    x = pair_lifecycles(o, li, "shipment_id", "arrival_ts", "departure_ts", LIFECYCLE_DAYS, LATE_DAYS)
+    x = st.run_to_table(x, "st05t", writer=lifecycle_batch)
+    x = x.select("shipment_id", "truck_id", "status", "arrival_ts", "departure_ts", F.col("l_linenumber").cast("double").alias("l_linenumber"), F.col("l_suppkey").cast("double").alias("l_suppkey"))
+    return finish(x)
+
+
+ORACLES["ST05_timeouts"] = f"""WITH w AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL {LATE_DAYS} DAY AS mark),
+p AS (SELECT o_orderkey AS shipment_id, o_custkey AS truck_id, 'paired' AS status, o_orderdate AS arrival_ts, l_shipdate AS departure_ts,
+  CAST(l_linenumber AS DOUBLE) AS l_linenumber, CAST(l_suppkey AS DOUBLE) AS l_suppkey
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL {LIFECYCLE_DAYS} DAY)
+SELECT * FROM p UNION ALL
+SELECT o_orderkey, o_custkey, 'timed_out', o_orderdate, NULL, NULL, NULL FROM orders
+WHERE o_orderkey NOT IN (SELECT shipment_id FROM p) AND o_orderdate + INTERVAL {LIFECYCLE_DAYS} DAY < (SELECT mark FROM w)"""
+
+
 @register("ST06", None)
 def st06_session_windows(spark, sf):
     """Sessions with a 12 h gap timeout via session_window. A session is written once, when the watermark

@@ -58,6 +58,27 @@ def expected_vs_found(spark: SparkSession, base: str, expected: Sequence[str]) -
     return out
 
 
+def read_table(spark: SparkSession, name: str) -> DataFrame | None:
+    """A table of the catalog, None where there is none (the caller skips it)."""
+    return spark.table(name) if spark.catalog.tableExists(name) else None
+
+
+def catalog_scan(spark: SparkSession, expected: Sequence[str]) -> DataFrame:
+    """(table_name, exists, rows) for the expected tables, looked up in the catalog by name
+    (``database.table`` too; temporary views count). An absent one is reported with NULL rows."""
+    parts = []
+    for name in expected:
+        df = read_table(spark, name)
+        if df is None:
+            parts.append(spark.range(1).select(F.lit(name).alias("table_name"), F.lit(False).alias("exists"), F.lit(None).cast("long").alias("rows")))
+        else:
+            parts.append(df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table_name"), F.lit(True).alias("exists"), "rows"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # S03 -------------------------------------------------------------------------
 def write_all(spark: SparkSession, tables: dict[str, DataFrame], base: str, run_id: str) -> DataFrame:
     """Overwrite every table under ``base``, count what was written (from

@@ -168,3 +168,79 @@ def test_segmented_lag_and_as_of_equal_plain_windows(spark):
     got = windows.last_at_or_before(df, ["k"], ["ts", "id"], sign, "s", "ts").select("id", "s")
     want = df.select("id", F.last(sign, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("s"))
     assert sorted(got.collect(), key=lambda r: r.id) == sorted(want.collect(), key=lambda r: r.id)
+
+
+def _intervals(spark, seed=7):
+    """Intervals over several buckets, a key with half of all points, NULL bounds and keys, one that ends early."""
+    import random
+
+    rnd = random.Random(seed)
+    base = ts("2024-01-01 00:00")
+    at = lambda: base + dt.timedelta(minutes=rnd.randrange(0, 60 * 72))
+    left = []
+    for i in range(60):
+        s = at()
+        left.append((i, rnd.choice([1, 1, 2, 3]), s, s + dt.timedelta(minutes=rnd.choice([0, 5, 300, 3000]))))
+    left += [(100, None, at(), at()), (101, 1, None, at()), (102, 1, at(), None), (103, 1, ts("2024-01-02 00:00"), ts("2024-01-01 00:00")), (104, 9, base, base)]
+    right = [(rnd.choice([1, 1, 2, 3]), at(), rnd.randrange(-5, 9)) for _ in range(300)]
+    right += [(1, left[0][2], 3), (None, at(), 1), (1, None, 1), (2, at(), None)]
+    lf = spark.createDataFrame(left, "id long, k long, s timestamp_ntz, e timestamp_ntz").repartition(4)
+    return left, right, lf, spark.createDataFrame(right, "k long, t timestamp_ntz, v long").repartition(3)
+
+
+def _hits(row, right):
+    _, k, s, e = row
+    return [] if None in (k, s, e) else [p for p in right if p[0] == k and p[1] is not None and s <= p[1] <= e]
+
+
+def test_range_aggregate_equals_brute_force(spark):
+    left, right, lf, rf = _intervals(spark)
+    got = joins.range_aggregate(lf, rf, ["k"], "s", "e", "t", "n", {"total": "v"}, bucket_seconds=6 * 3600)
+    want = []
+    for row in left:
+        hits = _hits(row, right)
+        want.append((row[0], len(hits), sum(p[2] or 0 for p in hits) if hits else None))
+    assert rows(got, "id", "n", "total") == sorted(want)
+    none = joins.range_aggregate(lf, rf.limit(0), ["k"], "s", "e", "t", "n", {"total": "v"})
+    assert {(r.n, r.total) for r in none.collect()} == {(0, None)} and none.count() == len(left)
+    assert joins.range_aggregate(lf.limit(0), rf, ["k"], "s", "e", "t", "n", {"total": "v"}).count() == 0
+
+
+def test_left_range_join_equals_brute_force(spark):
+    left, right, lf, rf = _intervals(spark, seed=8)
+    got = joins.range_join(lf, rf, ["k"], "s", "e", "t", bucket_seconds=6 * 3600, how="left", left_id=["id"])
+    want = [(row[0], str(p and p[1]), p and p[2]) for row in left for p in (_hits(row, right) or [None])]
+    assert sorted(((r.id, str(r.t), r.v) for r in got.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_lifecycle_checks_find_what_was_planted(spark):
+    """A clean shipment, one that lacks a status, one that goes backwards, cargo that stayed and cargo from nowhere."""
+    from storelake.operators import quality as q
+
+    start = ts("2024-01-01 00:00")
+    st = [(1, s, start + dt.timedelta(hours=i)) for i, s in enumerate(q.STATUSES)]
+    st += [(2, s, start + dt.timedelta(hours=i)) for i, s in enumerate(q.STATUSES) if s != "UNLOADING"]
+    st += [(3, s, start + dt.timedelta(hours=-i)) for i, s in enumerate(q.STATUSES)]
+    st += [(1, "LOADING", start + dt.timedelta(hours=1))]  # a repeated row is no violation
+    cargo = [(1, 7, 5, "LOAD"), (1, 7, 2, "UNLOAD"), (1, 7, 3, "UNLOAD"), (2, 7, 5, "LOAD"), (2, 7, 4, "UNLOAD"), (3, 8, 1, "UNLOAD")]
+    s = spark.createDataFrame(st, "shipment_id long, status string, event_ts timestamp_ntz")
+    c = spark.createDataFrame(cargo, "shipment_id long, product_id long, quantity long, action string")
+    assert dict(rows(q.lifecycle_checks(s, c), "check", "violations")) == {"all_six_statuses": 1, "statuses_in_order": 1, "unload_has_load": 1, "load_is_unloaded": 1}
+    assert {v for _, v in rows(q.lifecycle_checks(s.limit(0), c.limit(0)), "check", "violations")} == {0}
+
+
+def test_cluster_profile_labels_by_place(spark):
+    from storelake.plans.analytics import cluster_profile
+
+    data = [(i, 5.0 + i % 3, 50.0, 900.0 + i, 2) for i in range(10)] + [(20 + i, 100.0, 10.0 + i % 2, 300.0, 0) for i in range(10)] + [(40 + i, 400.0 + i, 1.0, 10.0, 1) for i in range(10)]
+    x = spark.createDataFrame(data, "customer_id long, recency_days double, frequency double, monetary double, cluster int").repartition(4)
+    got = rows(cluster_profile(x), "cluster_no", "cluster", "label", "customers", "median_monetary", "median_recency_days")
+    assert got == [(1, 2, "Champions", 10, 904.5, 6.0), (2, 0, "Potential Loyalists", 10, 300.0, 100.0), (3, 1, "Lost", 10, 10.0, 404.5)]
+
+
+def test_catalog_scan_reports_what_is_absent(spark):
+    from storelake.sources import files as fs
+
+    spark.range(4).createOrReplaceTempView("scan_here")
+    assert fs.read_table(spark, "scan_nowhere") is None and fs.read_table(spark, "scan_here").count() == 4
+    assert sorted(map(tuple, fs.catalog_scan(spark, ["scan_here", "scan_nowhere"]).collect())) == [("scan_here", True, 4), ("scan_nowhere", False, None)]

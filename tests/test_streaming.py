@@ -222,3 +222,37 @@ def dt_decimal(x):
     from decimal import Decimal
 
     return Decimal(x)
+
+
+def test_lifecycles_pair_late_counterparts_and_time_out(spark):
+    """ST05: a departure read before its arrival pairs, one read late pairs, an arrival without departure
+    leaves once, and the state afterwards holds only what may still pair."""
+    import json
+
+    from storelake.plans.streams import lifecycle_batch, pair_lifecycles
+
+    base = tempfile.mkdtemp(prefix="storelake-st-", dir="/tmp")
+    day = lambda n: dt.datetime(2024, 1, 1) + dt.timedelta(days=n)
+    # shipments 0..59 arrive on their day; every third has no departure, every fifth departs in the batch before or after
+    arrive = [[(i, day(i)) for i in range(b * 10, b * 10 + 10)] for b in range(6)]
+    depart = [[] for _ in range(6)]
+    for i in range(60):
+        if i % 3:
+            b = i // 10 + (-1 if i % 10 == 5 else 1 if i % 5 == 0 else 0)
+            depart[min(5, max(0, b))].append((i, day(i + 2)))
+    for b in range(6):
+        spark.createDataFrame(arrive[b], "shipment_id long, arrival_ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{base}/a")
+        spark.createDataFrame(depart[b], "shipment_id long, departure_ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{base}/d")
+    a = st.dir_stream(spark, f"{base}/a", "shipment_id long, arrival_ts timestamp_ntz")
+    b = st.dir_stream(spark, f"{base}/d", "shipment_id long, departure_ts timestamp_ntz")
+    x = pair_lifecycles(a, b, "shipment_id", "arrival_ts", "departure_ts", within_days=3, late_days=12)
+    out = f"{base}/out"
+    w = x.writeStream.option("checkpointLocation", f"{base}/ck").trigger(availableNow=True).foreachBatch(lambda df, bid: lifecycle_batch(df, bid, out)).start()
+    w.awaitTermination()
+    got = sorted((r.shipment_id, r.status) for r in spark.read.parquet(out).collect())
+    mark = 59 - 12  # the slower side's newest row less the lateness; departures reach day 61
+    want = [(i, "paired") for i in range(60) if i % 3] + [(i, "timed_out") for i in range(0, 60, 3) if i + 3 < mark]
+    assert got == sorted(want)
+    last = [json.loads(p.json) for p in w.recentProgress if p.stateOperators][-1]
+    # arrivals of the last within + late days, departures of the last late days: the rest has left
+    assert 0 < last["stateOperators"][0]["numRowsTotal"] <= (3 + 12 + 2) + (12 + 3)
