@@ -60,21 +60,23 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/storelake-llm/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` (Parquet) and read it back with the same schema."""
-    df.write.mode("overwrite").parquet(path)
+def written(df: DataFrame, path: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` to ``path`` (Parquet, in the session's codec or the one named) and read it back with the same schema."""
+    writer = df.write.mode("overwrite")
+    (writer.option("compression", codec) if codec else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def written_bucketed(df: DataFrame, path: str, key: str) -> DataFrame:
-    """Write ``df`` as an external table bucketed by ``key``.
+def written_bucketed(df: DataFrame, path: str, *keys: str, codec: str | None = None) -> DataFrame:
+    """Write ``df`` as an external table bucketed by ``keys``.
 
-    As many buckets as shuffle partitions: a cogroup on ``key`` then takes the
+    As many buckets as shuffle partitions: a join, cogroup or aggregate on ``keys`` then takes the
     table's own layout and moves the other side only."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"llm_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, key).option("path", path).format("parquet").saveAsTable(table)
+    writer = df.write.bucketBy(n, *keys).option("path", path).format("parquet")
+    (writer.option("compression", codec) if codec else writer).saveAsTable(table)
     return spark.table(table)
 
 

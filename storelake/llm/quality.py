@@ -44,7 +44,8 @@ from storelake.llm.common import buffers, packed, plain, run_dir, slices, text_o
 ORDER = 5
 FOLDS = 3
 LEAST_DISCOUNT = 0.01
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 64 << 20
+LEVEL = 6  # of the compression of blocks
 FLAT = 4096  # characters up to which the spread of texts falls with the root of their length
 PRIOR = 4  # texts that the spread of all languages counts as beside a language's own
 EFFICIENCY = 0.37  # of the median deviation, against the deviation of normal values
@@ -55,20 +56,25 @@ _SALTS = 256
 _FEW_SALTS = 16
 _BITS_STEP, _BITS = 1 << 15, 21  # log-probabilities travel in steps of 2 ** -15, 21 bits a model
 _COUNTS = [f"n{k}" for k in range(FOLDS)]
+_FAR = 25  # log2 of the bytes back in which a copy is found
+_CODEC = "zstd"
 _SCORE_STEPS = 100  # steps of a standardised score
 _START, _END = 2, 3  # control characters that stand for the edges of a text
 _BLOCKS = "block long, doc_ids array<long>, keys array<long>, langs array<string>, sizes array<long>, texts binary"
 
 
-def _blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _blocks(block_bytes: int, level: int = 3, far: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Texts in compressed blocks; ``far`` also finds copies that lie far apart in a block."""
+
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         number = (context.partitionId() if context else 0) << 32
         held: list[list] = [[], [], [], [], []]
+        packing = zstandard.ZstdCompressionParameters.from_level(level, **({"window_log": _FAR, "enable_ldm": True} if far else {}))
 
         def row() -> pa.RecordBatch:
             ids, keys, langs, sizes, parts = held
-            packed = zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+            packed = zstandard.ZstdCompressor(compression_params=packing).compress(b"".join(parts))
             kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.list_(pa.int64()), pa.binary()]
             cells = [number, ids, keys, langs, sizes, packed]
             return pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip(cells, kinds, strict=True)], ["block", "doc_ids", "keys", "langs", "sizes", "texts"])
@@ -181,7 +187,7 @@ def _suffix(gram, order: int):
 
 
 def _of_fold(n: str) -> dict[str, str]:
-    return {k: n.replace("n", k, 1) for k in ("d1_", "d2_", "d3_", "total", "cut", "p", "base")}
+    return {k: n.replace("n", k, 1) for k in ("d1_", "d2_", "d3_", "own", "rest", "p", "base")}
 
 
 def _less(n: str):
@@ -190,8 +196,8 @@ def _less(n: str):
     return F.when(F.col(n) == 0, F.lit(0.0)).when(F.col(n) == 1, F.col(c["d1_"])).when(F.col(n) == 2, F.col(c["d2_"])).otherwise(F.col(c["d3_"]))
 
 
-def _discounted(counts: DataFrame) -> DataFrame:
-    """One order's (lang, gram, counts) with the discounts of its language and the sums of its context."""
+def _discounted(counts: DataFrame, path: str) -> DataFrame:
+    """One order's (lang, gram) with, by model, the discounted share of its context (own) and the weight of the lower order (rest)."""
     found = counts.groupBy("lang").agg(*(F.count_if(F.col(n) == k).alias(f"{n}_{k}") for n in _COUNTS for k in (1, 2, 3, 4)))
     columns = []
     for n in _COUNTS:
@@ -199,38 +205,41 @@ def _discounted(counts: DataFrame) -> DataFrame:
         y = F.when(of[0] > 0, of[0] / (of[0] + 2 * of[1])).otherwise(F.lit(0.5))
         # where a count of counts is zero the discount is a half; a least discount leaves every context some weight for lower orders
         columns += [F.when(of[k - 1] > 0, F.greatest(F.lit(LEAST_DISCOUNT), F.lit(float(k)) - (k + 1) * y * of[k] / of[k - 1])).otherwise(F.lit(0.5)).alias(_of_fold(n)[f"d{k}_"]) for k in (1, 2, 3)]
-    # a language may hold a third of all n-grams: salted, so that no task gets a language whole
-    discounts = found.select("lang", *columns).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
-    salted = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS))).withColumn("context", _context("gram"))
-    rows = salted.join(discounts, ["lang", "salt"]).drop("salt")
-    sums = [x for n in _COUNTS for x in (F.sum(n).alias(_of_fold(n)["total"]), F.sum(_less(n)).alias(_of_fold(n)["cut"]))]
-    return rows.join(rows.groupBy("lang", "context").agg(*sums), ["lang", "context"])
+    # written, so that Spark knows its size; a language may hold a third of all n-grams: salted, so that no task gets a language whole
+    discounts = written(found.select("lang", *columns), path, _CODEC).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))))
+    rows = counts.withColumn("salt", F.pmod(F.xxhash64("gram"), F.lit(_SALTS))).join(discounts, ["lang", "salt"])
+    of_context = Window.partitionBy("lang", "context")  # at most _VOCABULARY rows
+    out = []
+    for n in _COUNTS:
+        c, total = _of_fold(n), F.sum(n).over(of_context)
+        known = total > 0
+        out.append(F.when(known, (F.col(n) - _less(n)) / total).otherwise(F.lit(0.0)).cast("float").alias(c["own"]))
+        out.append(F.when(known, F.sum(_less(n)).over(of_context) / total).otherwise(F.lit(1.0)).cast("float").alias(c["rest"]))
+    return rows.withColumn("context", _context("gram")).select("lang", "gram", *out)
 
 
 def probabilities(grams: DataFrame, path: str) -> DataFrame:
     """(lang, gram, bits) of every n-gram of the corpus, from (lang, gram, counts by model): log-probabilities of all models in one number."""
     counts = {ORDER: grams}
     for order in range(ORDER - 1, 0, -1):  # a lower order counts the distinct characters before it
-        counts[order] = written(counts[order + 1].groupBy("lang", _suffix("gram", order).alias("gram")).agg(*(F.count_if(F.col(n) > 0).alias(n) for n in _COUNTS)), f"{path}/count-{order}")
+        counts[order] = written(counts[order + 1].groupBy("lang", _suffix("gram", order).alias("gram")).agg(*(F.count_if(F.col(n) > 0).alias(n) for n in _COUNTS)), f"{path}/count-{order}", _CODEC)
     lower = None
     for order in range(1, ORDER + 1):
-        rows = _discounted(counts[order])
+        rows = _discounted(counts[order], f"{path}/discounts-{order}")
         if lower is None:
             base = {n: F.lit(1.0 / _VOCABULARY) for n in _COUNTS}
         else:
             below = lower.select("lang", F.col("gram").alias("shorter"), *(F.col(_of_fold(n)["p"]).alias(_of_fold(n)["base"]) for n in _COUNTS))
             rows = rows.withColumn("shorter", _suffix("gram", order - 1)).join(below, ["lang", "shorter"])
             base = {n: F.col(_of_fold(n)["base"]) for n in _COUNTS}
-        ps = []
-        for n in _COUNTS:
-            c = _of_fold(n)
-            ps.append(F.when(F.col(c["total"]) > 0, (F.col(n) - _less(n) + F.col(c["cut"]) * base[n]) / F.col(c["total"])).otherwise(base[n]).alias(c["p"]))
-        lower = written(rows.select("lang", "gram", *ps), f"{path}/p-{order}")
+        ps = {n: F.col(_of_fold(n)["own"]) + F.col(_of_fold(n)["rest"]) * base[n] for n in _COUNTS}
+        if order < ORDER:
+            lower = written(rows.select("lang", "gram", *(p.cast("float").alias(_of_fold(n)["p"]) for n, p in ps.items())), f"{path}/p-{order}", _CODEC)
     packed = F.lit(0).cast("long")
     for k, n in enumerate(_COUNTS):
-        step = F.least(F.round(-F.log2(_of_fold(n)["p"]) * _BITS_STEP).cast("long"), F.lit((1 << _BITS) - 1).cast("long"))
+        step = F.least(F.round(-F.log2(ps[n]) * _BITS_STEP).cast("long"), F.lit((1 << _BITS) - 1).cast("long"))
         packed = packed.bitwiseOR(F.shiftleft(step, _BITS * k))
-    return lower.select("lang", "gram", packed.alias("bits"))
+    return rows.select("lang", "gram", packed.alias("bits"))
 
 
 def _quantiles(rows: DataFrame, by: list[str], quantile: float, value, name: str) -> DataFrame:
@@ -308,7 +317,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     spark = docs.sparkSession
     path = run_dir(spark, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).select("doc_id", F.xxhash64("text").alias("text_key"), "lang", "text")
-    blocks = written_bucketed(rows.mapInArrow(_blocks(block_bytes), _BLOCKS), f"{path}/blocks", "block")
+    blocks = written_bucketed(rows.mapInArrow(_blocks(block_bytes, LEVEL, far=True), _BLOCKS), f"{path}/blocks", "block")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
     fold = F.pmod(F.xxhash64("doc_id"), F.lit(FOLDS)).cast("int")
@@ -316,10 +325,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     texts = blocks.select("block", "doc_ids", "keys", "langs", "sizes", "texts")
     kinds = ", ".join(f"{n} long" for n in _COUNTS)
     seen = texts.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(_count, f"block long, lang string, gram long, {kinds}")
-    seen = written(seen, f"{path}/grams")
+    # shuffled once: the counts and the look-up of probabilities both read the buckets in place
+    seen = written_bucketed(seen.repartition("lang", "gram"), f"{path}/grams", "lang", "gram", codec=_CODEC)
     by_fold = seen.groupBy("lang", "gram").agg(*(F.sum(n).alias(n) for n in _COUNTS))
     whole = sum((F.col(n) for n in _COUNTS[1:]), F.col(_COUNTS[0]))
-    grams = written(by_fold.select("lang", "gram", *((whole - F.col(n)).alias(n) for n in _COUNTS)), f"{path}/distinct")
+    grams = written(by_fold.select("lang", "gram", *((whole - F.col(n)).alias(n) for n in _COUNTS)), f"{path}/distinct", _CODEC)
     scores = seen.select("block", "lang", "gram").join(probabilities(grams, path), ["lang", "gram"]).select("block", "lang", "gram", "bits")
     models = [f"bits{k}" for k in range(FOLDS)]
     schema = "block long, place int, doc_id long, text_key long, lang string, n_grams long, " + ", ".join(f"{m} double" for m in models)
