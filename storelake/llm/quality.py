@@ -58,6 +58,8 @@ _BITS_STEP, _BITS = 1 << 15, 21  # log-probabilities travel in steps of 2 ** -15
 _COUNTS = [f"n{k}" for k in range(FOLDS)]
 _FAR = 25  # log2 of the bytes back in which a copy is found
 _CODEC = "zstd"
+_RUNS = 8  # slices whose n-grams are merged at once
+_PARTS = 4  # partitions of the input that fill blocks together, while every core still has one
 _SCORE_STEPS = 100  # steps of a standardised score
 _START, _END = 2, 3  # control characters that stand for the edges of a text
 _BLOCKS = "block long, doc_ids array<long>, keys array<long>, langs array<string>, sizes array<long>, texts binary"
@@ -124,10 +126,14 @@ def _by_language(langs: list) -> dict[str, list[int]]:
     return out
 
 
+def _merged(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    keys, back = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([r[1] for r in runs]), len(keys)).astype(np.int64)
+
+
 def _sorted_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams and their counts, merged over slices of about a million characters."""
-    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    held, size, runs = [], 0, []
+    """Distinct n-grams and their counts, merged over slices of about a million characters, a few at a time."""
+    held, size, runs = [], 0, [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
     for t in [*texts, None]:
         if t is not None:
             held.append(ngrams(t))
@@ -135,10 +141,9 @@ def _sorted_counts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if held and (t is None or size > 1 << 20):
             runs.append(np.unique(np.concatenate(held), return_counts=True))
             held, size = [], 0
-    if runs:
-        keys, back = np.unique(np.concatenate([r[0] for r in runs]), return_inverse=True)
-        counts = np.bincount(back, np.concatenate([r[1] for r in runs])).astype(np.int64)
-    return keys, counts
+            if len(runs) == _RUNS:
+                runs = [_merged(runs)]
+    return _merged(runs)
 
 
 def _count(block: pa.Table, trusted: pa.Table) -> pa.Table:
@@ -317,6 +322,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, quantile: float = 0.995,
     spark = docs.sparkSession
     path = run_dir(spark, "quality")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang")).select("doc_id", F.xxhash64("text").alias("text_key"), "lang", "text")
+    rows = rows.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows.rdd.getNumPartitions() // _PARTS)))  # no shuffle
     blocks = written_bucketed(rows.mapInArrow(_blocks(block_bytes, LEVEL, far=True), _BLOCKS), f"{path}/blocks", "block")
     good = labels.groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     places = blocks.select("block", F.posexplode("doc_ids").alias("place", "doc_id"))
