@@ -515,6 +515,13 @@ def dp03_top_pending(spark, sf):
     return p.orderBy(F.desc("impact_cents"), "recommendation_id").limit(20)
 
 
+def change_pct(before, after):
+    """Change in percent of ``before``. From a price of 0 it is infinite by the sign of the change, NaN without
+    one (IEEE division, as in the SQL), where ``/`` is an error under ANSI."""
+    change = (after - before).cast("double")
+    return F.when(before == 0, F.signum(change) * F.lit(float("inf"))).otherwise(F.try_divide(change, before) * 100)
+
+
 def change_bucket(pct):
     """The dashboard's price-change buckets (percent)."""
     return (
@@ -541,7 +548,7 @@ def confidence_bucket(c, long_names=True):
 FROM (SELECT round(CAST(recommended_cents - current_cents AS DOUBLE) / current_cents * 100, 1) AS pct FROM {_SQL_PENDING}) GROUP BY 1""",
 )
 def dp04_price_change_buckets(spark, sf):
-    p = pending(spark, sf).withColumn("pct", F.round((F.col("recommended_cents") - F.col("current_cents")).cast("double") / F.col("current_cents") * 100, 1))
+    p = pending(spark, sf).withColumn("pct", F.round(change_pct(F.col("current_cents"), F.col("recommended_cents")), 1))
     return p.groupBy(change_bucket(F.col("pct")).alias("change_bucket")).agg(F.count(F.lit(1)).alias("recommendations"))
 
 
