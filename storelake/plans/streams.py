@@ -233,19 +233,25 @@ WHERE o_orderkey NOT IN (SELECT shipment_id FROM p) AND o_orderdate + INTERVAL {
 
 @register("ST06", None)
 def st06_session_windows(spark, sf):
-    """Sessions with a 12 h gap timeout via session_window. A session is written once, when the watermark
-    (12 h after the latest event) has passed its end, and leaves the state with that; sessions
-    that may still go on at the end of the input are not out yet."""
-    e = et(st.table_stream(spark, sf, "events"), "ts").withWatermark("ts", "12 hours")
+    """All sessions with a 12 h gap timeout via session_window."""
+    return sessions(spark, st.table_stream(spark, sf, "events"), st.run_folder(spark, "st06"))
+
+
+def sessions(spark, events, base):
+    """The sessions of the stream run in ``base``. One is written once, when the watermark (12 h after the latest
+    event) has passed its end, and leaves the state with that; the sessions that may still go on
+    at the end of the input are read from the state and come out with the others."""
+    e = et(events, "ts").withWatermark("ts", "12 hours")
     s = e.groupBy("user_id", F.session_window("ts", "12 hours").alias("s")).agg(F.count(F.lit(1)).alias("events"))
-    return st.run_to_table(s.select("user_id", F.col("s.start").cast("timestamp_ntz").alias("session_start"), F.col("s.end").cast("timestamp_ntz").alias("session_end"), "events"), "st06")
+    parts = lambda w, n: [F.col("user_id"), F.col(f"{w}.start").cast("timestamp_ntz").alias("session_start"), F.col(f"{w}.end").cast("timestamp_ntz").alias("session_end"), F.col(n).alias("events")]
+    closed = st.run_to_table(s.select(*parts("s", "events")), "st06", base=base)
+    return closed.unionByName(st.open_state(spark, base).select(*parts("session_window", "count")))
 
 
 ORACLES["ST06"] = f"""SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 12 HOUR AS session_end, count(*) AS events FROM (
   SELECT *, sum(CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) >= {12 * 3600 * 1_000_000} THEN 1 ELSE 0 END)
     OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS sn FROM (
-    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, sn
-HAVING max(ts) + INTERVAL 12 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 12 HOUR"""
+    SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)) GROUP BY user_id, sn"""
 
 
 def route_batch(df, bid: int, out: str) -> None:

@@ -46,13 +46,14 @@ def run_folder(spark: SparkSession, name: str) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/storelake-streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_table(stream: DataFrame, name: str, mode: str = "append", writer: Callable | None = None, partition_by: Sequence[str] = ()) -> DataFrame:
+def run_to_table(stream: DataFrame, name: str, mode: str = "append", writer: Callable | None = None, partition_by: Sequence[str] = (), base: str | None = None) -> DataFrame:
     """Run ``stream`` with trigger(availableNow=True) and return the written
     result. ``mode='complete'`` rewrites the whole result each batch (used for
     aggregates whose state is bounded by their groups); ``writer`` is a
-    custom ``foreachBatch(df, batch_id, out_path)`` function."""
+    custom ``foreachBatch(df, batch_id, out_path)`` function. ``base`` is the folder of an earlier
+    run to go on with (its sink and checkpoint), else a fresh one."""
     spark = stream.sparkSession
-    base = run_folder(spark, name)
+    base = base or run_folder(spark, name)
     out, ckpt = f"{base}/out", f"{base}/_checkpoint"
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True)
     if writer is not None:
@@ -74,6 +75,11 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append", writer: Cal
         return spark.createDataFrame([], stream.schema)
 
 
+def open_state(spark: SparkSession, base: str) -> DataFrame:
+    """What the stateful operator of the stream run in ``base`` still holds after its last batch."""
+    return spark.read.format("statestore").load(f"{base}/_checkpoint").select("value.*")
+
+
 def run_batches(stream: DataFrame, base: str, writer: Callable, mode: str = "append") -> str:
     """Run what is there of ``stream`` through ``writer(df, batch_id, out)`` with the
     checkpoint in ``base``; returns ``out``. A second call goes on where the first ended."""

@@ -256,3 +256,21 @@ def test_lifecycles_pair_late_counterparts_and_time_out(spark):
     last = [json.loads(p.json) for p in w.recentProgress if p.stateOperators][-1]
     # arrivals of the last within + late days, departures of the last late days: the rest has left
     assert 0 < last["stateOperators"][0]["numRowsTotal"] <= (3 + 12 + 2) + (12 + 3)
+
+
+def test_open_sessions_come_out_too(spark, tmp_path):
+    """ST06: every session is out once, closed or still open at the end of the input, also when a second run goes on."""
+    from storelake.plans.streams import sessions
+
+    at = lambda day, hour: dt.datetime(2024, 1, day, hour)
+    first = [(1, at(1, 0), 1), (2, at(1, 6), 1), (3, at(3, 0), 1), (4, at(5, 0), 2)]
+    later = [(5, at(5, 6), 2), (6, at(9, 0), 1)]
+    schema = "event_id long, ts timestamp_ntz, user_id long"
+    base, src = f"{tmp_path}/run", f"{tmp_path}/in"
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        return sorted(tuple(r) for r in sessions(spark, st.dir_stream(spark, src, spark.read.parquet(src).schema), base).collect())
+
+    assert run(first) == [(1, at(1, 0), at(1, 18), 2), (1, at(3, 0), at(3, 12), 1), (2, at(5, 0), at(5, 12), 1)]
+    assert run(later) == [(1, at(1, 0), at(1, 18), 2), (1, at(3, 0), at(3, 12), 1), (1, at(9, 0), at(9, 12), 1), (2, at(5, 0), at(5, 18), 2)]
