@@ -2,13 +2,15 @@
 
 quality classifier -> exact dedup -> near-dedup -> mixing -> BPE. The first three
 drop documents, mixing writes all that is left in the order of the mix (the surplus of
-a source over its target weight comes last), and the last stage returns token ids.
+a source over its target weight comes last), and the last stage returns token ids with the place of
+each document in the training stream: the documents' tokens one after the other in the order of the mix.
 Stages use the operators' production defaults (near-dedup: five words, 80 %).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from storelake.llm.bpe import bpe_encode_decode
@@ -42,8 +44,33 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: doc_id, n_tokens, ids and the digests of ids and decoded text."""
-    return bpe_encode_decode(docs, vocabulary(VOCABULARY))
+    """Operator 8: doc_id, n_tokens, ids and the digests of ids and decoded text, in the training stream.
+
+    ``position`` numbers the documents from 0 in the order they were written in (the mix's), ``first_token`` is
+    the number of tokens before the document in that order."""
+    path = run_dir(spark, "stream")
+    docs = in_order(docs, path)
+    files = docs.groupBy("_part").agg(F.count("*").alias("n"))  # one row a part
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = files.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    placed = docs.join(F.broadcast(starts), "_part").select((F.col("start") + F.col("_row")).alias("position"), "_part", "doc_id", "text")
+    coded = written(bpe_encode_decode(placed, vocabulary(VOCABULARY), id_col="position").withColumnRenamed("doc_id", "position"), f"{path}/coded")
+    counts = coded.select("position", "n_tokens").join(placed.select("position", "_part", F.col("doc_id").cast("long").alias("doc_id")), "position")
+    sums = counts.groupBy("_part").agg(F.sum("n_tokens").alias("n"))
+    base = sums.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    inside = Window.partitionBy("_part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    first = F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
+    places = counts.join(F.broadcast(base), "_part").select("position", "doc_id", first.alias("first_token"))
+    return places.join(coded, "position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "position", "first_token")
+
+
+def in_order(docs: DataFrame, path: str) -> DataFrame:
+    """``docs`` with the order of its rows: ``_part`` (files in the order of their names, as a sorted frame writes
+    them) and ``_row`` in it. A frame that is not read from files is written to ``path`` first."""
+    try:
+        return docs.select("doc_id", "text", F.col("_metadata.file_name").alias("_part"), F.col("_metadata.row_index").alias("_row"))
+    except AnalysisException:
+        return in_order(written(docs.select("doc_id", "text"), f"{path}/docs"), path)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near-dedup", near), ("mixing", mix), ("bpe", tokens)]
@@ -56,7 +83,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = written(stage(spark, docs, sf_dir), f"{out}/{k}")
-    return docs.select(F.col("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256")
+    return docs.select(F.col("doc_id"), "n_tokens", "ids_sha256", "decoded_sha256", "position", "first_token")
 
 
 register("pipeline", ORACLE_SQL)(run)
