@@ -90,6 +90,8 @@ def commit(df: DataFrame, batch_id: int, base: str, merge: Merge, fanout: int =
 
 
 def read_view(spark: SparkSession, base: str, schema, merge: Merge) -> DataFrame:
-    """The view: ``merge`` over its live parts."""
+    """The view: ``merge`` over its live parts. A single part is a merge already."""
     parts = live_parts(spark, base)
+    if len(parts) == 1:
+        return spark.read.schema(schema).parquet(parts[0]["path"])
     return merge(spark.read.schema(schema).parquet(*(e["path"] for e in parts)) if parts else spark.createDataFrame([], schema))
