@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from storelake.operators.measures import Measure as M, divide0, divide_blank, evaluate, evaluate_sql, sql_divide0, sql_divide_blank
-from storelake.plans.common import SQL_LINES
+from storelake.plans.common import SQL_LINES, finish
 from storelake.plans.registry import register
 from storelake.sources import driver as d
 
@@ -570,7 +570,10 @@ SELECT CAST((SELECT yr FROM y) AS INTEGER) AS b093_latest_sales_year,
 def b_latest_year(spark, sf):
     """B093–B097: the latest sales year (one scalar) and conditional sums for it
     and the year before."""
-    x = daily_channels(spark, sf)
+    from storelake.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    x = daily_channels(spark, sf).checkpoint(eager=True)  # one row a day, read for the year and for the sums
     yr = x.where(F.col("net_cents") > 0).agg(F.max(F.year("d"))).first()[0]
     y = F.year("d")
     s = lambda col, yy: F.sum(F.when(y == yy, F.col(col)).otherwise(F.lit(0)))
@@ -630,10 +633,12 @@ def b_forecast(spark, sf):
 @register("B_stockout_risk")
 def b_stockout_risk(spark, sf):
     """stockout_risk measures (B131–B135)."""
-    from storelake.plans.analytics import m31_snapshot_features, m34_stockout_model
+    from storelake.operators import ml
+    from storelake.plans.analytics import snapshot_features, stockout_scores
 
-    r = m34_stockout_model(spark, sf)
-    f = m31_snapshot_features(spark, sf)
+    snaps = ml.staged(snapshot_features(spark, sf), "snapshots")  # M31's, for the model and the averages
+    r = ml.staged(stockout_scores(spark, sf, snaps), "risk")
+    f = finish(snaps, 4)
     latest = f.join(r.select("store_id", "product_id", "day"), ["store_id", "product_id", "day"], "left_semi")
     a = r.agg(
         F.count_distinct("product_id").alias("b131_stockout_risk_sku_count"), F.avg("stockout_probability").alias("b132_avg_stockout_probability"),

@@ -25,6 +25,9 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+# The tables behind the retail roles; the others hold training data.
+ROLE_TABLES = TABLES[:8]
+
 # Unique key of a lineitem row (l_orderkey, l_linenumber alone is not unique).
 LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
