@@ -274,3 +274,25 @@ def test_open_sessions_come_out_too(spark, tmp_path):
 
     assert run(first) == [(1, at(1, 0), at(1, 18), 2), (1, at(3, 0), at(3, 12), 1), (2, at(5, 0), at(5, 12), 1)]
     assert run(later) == [(1, at(1, 0), at(1, 18), 2), (1, at(3, 0), at(3, 12), 1), (1, at(9, 0), at(9, 12), 1), (2, at(5, 0), at(5, 18), 2)]
+
+
+def test_a_view_of_one_part_is_not_merged_again(spark, tmp_path):
+    """ST03: the only part is a merge already and is read without a shuffle; two parts are merged."""
+    from storelake.plans.streams import merged_views, partial_views
+
+    out = f"{tmp_path}/view"
+    rows = spark.createDataFrame([("v", "a", dt.datetime(2024, 1, 1), 1, None)] * 3, "view string, key string, bucket timestamp_ntz, n long, amount decimal(28,6)")
+    partial_views(rows, 0, out)
+    one = merged_views(spark, [out])
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString() and [r.n for r in one.collect()] == [3]
+    partial_views(rows, 1, out)
+    assert [r.n for r in merged_views(spark, [out]).collect()] == [6]
+
+
+def test_no_events_no_sessions(spark, tmp_path):
+    from storelake.plans.streams import sessions
+
+    src = f"{tmp_path}/in"
+    none = spark.createDataFrame([], "event_id long, ts timestamp_ntz, user_id long")
+    none.coalesce(1).write.parquet(src)
+    assert sessions(spark, st.dir_stream(spark, src, none.schema), f"{tmp_path}/run").count() == 0
