@@ -53,15 +53,14 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     files = docs.groupBy("_part").agg(F.count("*").alias("n"))  # one row a part
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = files.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    placed = docs.join(F.broadcast(starts), "_part").select((F.col("start") + F.col("_row")).alias("position"), "_part", "doc_id", "text")
-    coded = written(bpe_encode_decode(placed, vocabulary(VOCABULARY), id_col="position").withColumnRenamed("doc_id", "position"), f"{path}/coded")
-    counts = coded.select("position", "n_tokens").join(placed.select("position", "_part", F.col("doc_id").cast("long").alias("doc_id")), "position")
-    sums = counts.groupBy("_part").agg(F.sum("n_tokens").alias("n"))
-    base = sums.select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("_part").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
-    first = F.col("start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))
-    places = counts.join(F.broadcast(base), "_part").select("position", "doc_id", first.alias("first_token"))
-    return places.join(coded, "position").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "position", "first_token")
+    placed = docs.join(F.broadcast(starts), "_part").select((F.col("start") + F.col("_row")).alias("position"), "doc_id", "text")
+    coded = written(bpe_encode_decode(placed, vocabulary(VOCABULARY), position_col="position"), f"{path}/coded")
+    # ids stay where they were written: a block knows the tokens before a document in its run of the order, so only runs are summed
+    runs = coded.groupBy("run").agg(F.sum("n_tokens").alias("n"))  # one row a block or file split
+    before = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
+    starts = runs.select("run", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    first = F.col("start") + F.col("before")
+    return coded.join(F.broadcast(starts), "run").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "position", first.alias("first_token"))
 
 
 def in_order(docs: DataFrame, path: str) -> DataFrame:

@@ -164,13 +164,14 @@ def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 # --------------------------------------------------------------------------- blocks
 
-_BLOCKS = "block long, doc_ids array<long>, counts array<int>, checks array<long>, order binary, words binary, sizes binary"
+_BLOCKS = "block long, doc_ids array<long>, positions array<long>, counts array<int>, checks array<long>, order binary, words binary, sizes binary"
 
 
 def _pack(a: np.ndarray) -> bytes:
     """Compressed byte planes of unsigned numbers (small numbers leave the high planes empty)."""
-    planes = np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
+    planes = np.ascontiguousarray(a, "<u4").view(np.uint8).reshape(-1, 4)
+    packing = zstandard.ZstdCompressor(level=3).compressobj(size=planes.size)
+    return b"".join([*(packing.compress(planes[:, k].tobytes()) for k in range(4)), packing.flush()])
 
 
 def _unpack(b: bytes) -> np.ndarray:
@@ -183,15 +184,16 @@ class _Block:
 
     def __init__(self) -> None:
         self.bytes = 0
-        self.ids, self.counts, self.checks, self.parts = [], [], [], []
+        self.ids, self.positions, self.counts, self.checks, self.parts = [], [], [], [], []
 
-    def add(self, ids: list, data: np.ndarray, offsets: np.ndarray) -> None:
+    def add(self, ids: list, positions: list, data: np.ndarray, offsets: np.ndarray) -> None:
         starts, ends, ranges = pre_tokens(data, offsets)
         h, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
         raw = data.tobytes()
         said = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         self.parts.append((h, said, number.astype(np.uint32)))
         self.ids += ids
+        self.positions += positions
         self.counts += np.diff(ranges).tolist()
         self.checks += [xxhash.xxh64_intdigest(raw[a:b]) - (1 << 63) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
         self.bytes += len(data)
@@ -201,9 +203,12 @@ class _Block:
         said = [w for p in self.parts for w in p[1]]
         _, first, back = np.unique(h, return_index=True, return_inverse=True)
         shift = np.cumsum([0, *(len(p[0]) for p in self.parts)])
-        order = np.concatenate([back[p[2] + s] for p, s in zip(self.parts, shift, strict=False)]) if len(h) else np.zeros(0, np.int64)
+        order, at = np.empty(sum(len(p[2]) for p in self.parts), np.uint32), 0
+        for p, s in zip(self.parts, shift, strict=False):
+            order[at : at + len(p[2])] = back[p[2] + s]
+            at += len(p[2])
         rank = np.argsort(-np.bincount(order, minlength=len(first)), kind="stable")  # frequent words get small numbers
-        place = np.empty(len(rank), np.int64)
+        place = np.empty(len(rank), np.uint32)
         place[rank] = np.arange(len(rank))
         chosen = [said[i] for i in first[rank].tolist()]
         sizes = np.fromiter(map(len, chosen), np.uint32, len(chosen))
@@ -211,13 +216,14 @@ class _Block:
         cols = [
             pa.array([number], pa.int64()),
             pa.array([self.ids], pa.list_(pa.int64())),
+            pa.array([self.positions], pa.list_(pa.int64())),
             pa.array([self.counts], pa.list_(pa.int32())),
             pa.array([self.checks], pa.list_(pa.int64())),
             pa.array([_pack(place[order])], pa.binary()),
             pa.array([words], pa.binary()),
             pa.array([_pack(sizes)], pa.binary()),
         ]
-        return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "counts", "checks", "order", "words", "sizes"])
+        return pa.RecordBatch.from_arrays(cols, ["block", "doc_ids", "positions", "counts", "checks", "order", "words", "sizes"])
 
 
 def _blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -225,10 +231,10 @@ def _blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
         context = TaskContext.get()
         number, block = (context.partitionId() if context else 0) << 32, _Block()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
+            ids, positions = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             data, offsets = buffers(plain(batch.column(1)))
             for i, j in slices(offsets, STEP):
-                block.add(ids[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
+                block.add(ids[i:j], positions[i:j], data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 if block.bytes >= block_bytes:
                     yield block.row(number)
                     number, block = number + 1, _Block()
@@ -289,45 +295,66 @@ def _encode(ranks, flush: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]],
 
 def _reassemble(ranks, with_ids: bool, with_text: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
     def lay_out(block: pa.Table, words: pa.Table) -> pa.Table:
-        row = {c: block.column(c)[0].as_py() for c in ("doc_ids", "counts", "checks", "order")}
+        row = {c: block.column(c)[0].as_py() for c in ("doc_ids", "positions", "counts", "checks", "order")}
         table = ranks.value
         token = _token_bytes(table)
         order = _unpack(row["order"])
-        said: list[list[int]] = [[]] * (int(order.max()) + 1 if len(order) else 0)
-        for places, counts, ids in zip(*(words.column(c).to_pylist() for c in ("places", "counts", "ids")), strict=True):
-            flat, ends = _unpack(ids).tolist(), np.cumsum(_unpack(counts), dtype=np.int64).tolist()
-            for p, a, b in zip(np.cumsum(_unpack(places), dtype=np.int64).tolist(), [0, *ends], ends, strict=False):
-                said[p] = flat[a:b]
-        text = [",".join(map(str, x)) for x in said]
-        raw = [b"".join([token[i] for i in x]) for x in said]
-        size = np.fromiter(map(len, said), np.int64, len(said))
+        n = int(order.max()) + 1 if len(order) else 0
+        text, raw = [""] * n, [b""] * n
+        first, size = np.zeros(n, np.int64), np.zeros(n, np.int64)  # of a word: its ids are said[first : first + size]
+        said, at = [np.zeros(0, np.uint32)], 0
+        for places, counts, ids in zip(*(words.column(c) for c in ("places", "counts", "ids")), strict=True):
+            found, many, place = _unpack(ids.as_py()), _unpack(counts.as_py()).astype(np.int64), np.cumsum(_unpack(places.as_py()), dtype=np.int64)
+            ends = np.cumsum(many)
+            first[place], size[place] = at + ends - many, many
+            flat = found.tolist()
+            for p, a, b in zip(place.tolist(), (ends - many).tolist(), ends.tolist(), strict=True):
+                text[p], raw[p] = ",".join(map(str, flat[a:b])), b"".join([token[i] for i in flat[a:b]])
+            if with_ids:
+                said.append(found)
+                at += len(found)
+        said = np.concatenate(said)
         out: list[tuple] = []
-        at = 0
-        for doc_id, count, check in zip(row["doc_ids"], row["counts"], row["checks"], strict=True):
-            mine = order[at : at + count].tolist()
+        at, last, run, before = 0, None, None, 0
+        for doc_id, position, count, check in zip(row["doc_ids"], row["positions"], row["counts"], row["checks"], strict=True):
+            words_of = order[at : at + count]
+            mine = words_of.tolist()
             at += count
             decoded = b"".join([raw[i] for i in mine])
             if xxhash.xxh64_intdigest(decoded) - (1 << 63) != check:
                 raise ValueError(f"document {doc_id} does not decode to its text")
             ids = ",".join([text[i] for i in mine])
+            n_tokens = int(size[words_of].sum())
+            if position is None or last is None or position != last + 1:  # a run of positions begins
+                run, before = position, 0
             out.append(
                 (
                     doc_id,
-                    int(size[mine].sum()) if mine else 0,
+                    n_tokens,
                     hashlib.sha256(ids.encode()).hexdigest(),
                     hashlib.sha256(decoded).hexdigest(),
-                    [t for i in mine for t in said[i]] if with_ids else None,
+                    _gathered(said, first[words_of], size[words_of]) if with_ids else None,
                     decoded.decode("utf-8") if with_text else None,
+                    position,
+                    run,
+                    before,
                 )
             )
-        kinds_ = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
-        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"]
-        columns = list(zip(*out, strict=True)) or [()] * 6
+            last, before = position, before + n_tokens
+        kinds_ = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded", "position", "run", "before"]
+        columns = list(zip(*out, strict=True)) or [()] * len(names)
         return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds_, strict=True)], names)
 
     return lay_out
 
 
+def _gathered(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices values[first : first + size], one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(first - ends + size, size) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+
+
 _tokens: dict[int, list[bytes]] = {}
 
 
@@ -341,22 +368,26 @@ def _token_bytes(ranks: dict[bytes, int]) -> list[bytes]:
     return _tokens[len(ranks)]
 
 
-def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_ids: bool = True, with_text: bool = False) -> DataFrame:
+def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, with_ids: bool = True, with_text: bool = False, position_col: str | None = None) -> DataFrame:
     """One row per input row: ``doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded``.
 
     ``ids`` (``with_ids``) are the token ids without special tokens, ``decoded``
     (``with_text``) the text the ids decode to; the digests are of the ids, decimal
     and comma-joined, and of the decoded bytes. Null and empty texts have no tokens. Ids
-    may be null or repeated. Other columns are not read. Empty input, empty result."""
+    may be null or repeated. Other columns are not read. Empty input, empty result.
+
+    With ``position_col`` (a row's number in some order) the result also has ``position``, ``run`` and ``before``:
+    documents whose positions follow each other in a block are a run, named by its first position, and ``before`` is
+    the number of tokens of the run before the document. Rows read in their order make a run a block or file split."""
     spark: SparkSession = docs.sparkSession
     path = run_dir(spark, "bpe")
     ranks = spark.sparkContext.broadcast(load_ranks(vocabulary))  # bounded by the vocabulary
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), (F.col(position_col) if position_col else F.lit(None)).cast("long").alias("position"))
     blocks = written_bucketed(rows.mapInArrow(_blocks(block_bytes), _BLOCKS), f"{path}/blocks", "block")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = blocks.select("block", "words", "sizes").mapInArrow(_explode, "block long, place int, word binary")
     ids = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(ranks), "block long, places binary, counts binary, ids binary")
-    asked = blocks.select("block", "doc_ids", "counts", "checks", "order")
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
+    asked = blocks.select("block", "doc_ids", "positions", "counts", "checks", "order")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string, position long, run long, before long"
     out = asked.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble(ranks, with_ids, with_text), schema)
-    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []), *(["decoded"] if with_text else []))
+    return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []), *(["decoded"] if with_text else []), *(["position", "run", "before"] if position_col else []))

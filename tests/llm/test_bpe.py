@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import random
+import tracemalloc
 
 import public_tokenizers as P
 import pyarrow as pa
@@ -61,3 +62,23 @@ def test_empty(no_docs):
 def test_ranks_file():
     first = open(PATH, "rb").readline().split()
     assert RANKS[base64.b64decode(first[0])] == int(first[1])
+
+
+def test_a_block_takes_a_few_bytes_a_word():
+    block = bpe._Block()
+    rng = random.Random(5)
+    for i in range(40):
+        data, offsets = buffers(plain(pa.array([" ".join(f"w{rng.randint(0, 300)}" for _ in range(20_000))])))
+        block.add([i], [None], data, offsets)
+    tracemalloc.start()
+    block.row(0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * sum(block.counts)
+
+
+def test_positions_give_runs(spark):
+    rows = [(7, 10, "a b c"), (8, 11, ""), (9, 12, "d"), (5, 20, "e f"), (None, 21, None), (6, None, "g"), (4, 22, "h")]
+    docs = spark.createDataFrame(rows, "doc_id long, place long, text string").coalesce(1)
+    got = bpe.bpe_encode_decode(docs, PATH, position_col="place").collect()
+    assert {r.position: (r.doc_id, r.run, r.before) for r in got} == {10: (7, 10, 0), 11: (8, 10, 3), 12: (9, 10, 3), 20: (5, 20, 0), 21: (None, 20, 2), None: (6, None, 0), 22: (4, 22, 0)}

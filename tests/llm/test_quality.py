@@ -1,12 +1,15 @@
 """The Kneser-Ney model against a plain dictionary version, and held-out accuracy."""
 
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 from statistics import NormalDist
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from storelake.llm import quality
 from storelake.llm.quality import keep_good, quality_scores
 
 SF = "/root/testdata/sf0.01"
@@ -159,3 +162,16 @@ def test_a_rare_language_keeps_its_clean_documents(spark, n_labels):
     told = labels.where(~F.col("doc_id").isin(rare_ids[n_labels:]))
     got = quality_scores(some, told).where("lang = 'und'").toPandas()
     assert len(got) == len(rare_ids) and got.kept.mean() > 0.95
+
+
+def test_a_block_does_not_hold_its_texts_unpacked():
+    texts = [f"{i} some words of text {i * 7} and more of them. " * 2000 for i in range(40)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array(["en"]), pa.array([t])], ["doc_id", "text_key", "lang", "text"]) for i, t in enumerate(texts)]
+    tracemalloc.start()
+    (row,) = quality._blocks(1 << 30, quality.LEVEL, far=True)(iter(batches))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < sum(map(len, texts)) / 4
+    cells, said = quality._one_by_one(pa.Table.from_batches([row]))
+    assert cells["doc_ids"] == list(range(40)) and [t.decode() for t in said] == texts
+    assert quality._documents(pa.Table.from_batches([row]))[1] == [t.encode() for t in texts]
