@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from storelake.llm.common import STEP, buffers, plain, run_dir, slices, span_hashes, written_bucketed
+from storelake.llm.common import STEP, buffers, give_back, giving_back, plain, run_dir, slices, span_hashes, written_bucketed
 
 BLOCK_BYTES = 32 << 20
 
@@ -240,6 +240,8 @@ def _blocks(block_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
                     number, block = number + 1, _Block()
         if block.ids:
             yield block.row(number)
+        del block
+        give_back()
 
     return build
 
@@ -289,6 +291,8 @@ def _encode(ranks, flush: int = 500_000) -> Callable[[Iterator[pa.RecordBatch]],
                 blocks, places, ids = [], [], []
         if ids:
             yield from pieces(blocks, places, ids)
+        del blocks, places, ids
+        give_back()
 
     return encode
 
@@ -389,5 +393,5 @@ def bpe_encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id",
     ids = words.repartition(n, "word").sortWithinPartitions("word").mapInArrow(_encode(ranks), "block long, places binary, counts binary, ids binary")
     asked = blocks.select("block", "doc_ids", "positions", "counts", "checks", "order")
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string, position long, run long, before long"
-    out = asked.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(_reassemble(ranks, with_ids, with_text), schema)
+    out = asked.groupBy("block").cogroup(ids.groupBy("block")).applyInArrow(giving_back(_reassemble(ranks, with_ids, with_text)), schema)
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []), *(["decoded"] if with_text else []), *(["position", "run", "before"] if position_col else []))
