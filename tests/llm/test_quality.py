@@ -1,11 +1,13 @@
 """The Kneser-Ney model against a plain dictionary version, and held-out accuracy."""
 
 import math
+import random
 import tracemalloc
 from collections import Counter, defaultdict
 from statistics import NormalDist
 
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -175,3 +177,48 @@ def test_a_block_does_not_hold_its_texts_unpacked():
     cells, said = quality._one_by_one(pa.Table.from_batches([row]))
     assert cells["doc_ids"] == list(range(40)) and [t.decode() for t in said] == texts
     assert quality._documents(pa.Table.from_batches([row]))[1] == [t.encode() for t in texts]
+
+
+def test_counting_a_block_does_not_hold_its_texts():
+    texts = [f"{i} some words of text {i * 7} and more of them. " * 2000 for i in range(160)]
+    batches = [pa.RecordBatch.from_arrays([pa.array([i]), pa.array([i]), pa.array(["en" if i % 3 else "de"]), pa.array([t])], ["doc_id", "text_key", "lang", "text"]) for i, t in enumerate(texts)]
+    (row,) = quality._blocks(1 << 30, quality.LEVEL, far=True)(iter(batches))
+    folds = {i: i % quality.FOLDS for i in range(0, 160, 2)}
+    trusted = pa.table({"place": pa.array(list(folds), pa.int32()), "fold": pa.array(list(folds.values()), pa.int32())})
+    block = pa.Table.from_batches([row])
+    tracemalloc.start()
+    found = quality._count(block, trusted)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # what is held does not grow with the texts: slices of n-grams and their distinct ones
+    assert peak < 10 * 8 * quality._HELD < 4 * sum(map(len, texts))
+    want = {}
+    for i, t in enumerate(texts):
+        for g, n in Counter(quality.ngrams(t.encode()).tolist()).items():
+            counts = want.setdefault(("en" if i % 3 else "de", g), [0] * quality.FOLDS)
+            if i in folds:
+                counts[folds[i]] += n
+    got = {(r["lang"], r["gram"]): [r[n] for n in quality._COUNTS] for r in found.to_pylist()}
+    assert got == want and len(got) == found.num_rows
+
+
+def test_counts_are_handed_back_in_small_batches():
+    text = "".join(map(chr, random.Random(1).choices(range(0x4E00, 0x9000), k=200_000)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array(["zh"]), pa.array([text])], ["doc_id", "text_key", "lang", "text"])
+    (row,) = quality._blocks(1 << 30)(iter([batch]))
+    found = quality._count(pa.Table.from_batches([row]), pa.table({"place": pa.array([], pa.int32()), "fold": pa.array([], pa.int32())}))
+    sizes = [b.num_rows for b in found.to_batches()]
+    assert len(sizes) > 1 and max(sizes) <= quality._ROWS
+    assert sorted(found.column("gram").to_pylist()) == sorted(set(quality.ngrams(text.encode()).tolist()))
+
+
+def test_blocks_are_not_written_with_buffers_of_a_whole_block(spark, monkeypatch):
+    written = []
+    plainly = quality.written_bucketed
+    monkeypatch.setattr(quality, "written_bucketed", lambda df, path, *keys, **options: written.append(path) or plainly(df, path, *keys, **options))
+    docs = spark.createDataFrame([(1, "a text", "en"), (2, "another text", "en")], "doc_id long, text string, lang string")
+    assert quality_scores(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int")).count() == 2
+    (blocks,) = (p for p in written if p.endswith("/blocks"))
+    files = spark.read.format("binaryFile").load(f"{blocks}/*.parquet").select("content").collect()
+    codecs = {f.row_group(g).column(c).compression for r in files for f in [pq.ParquetFile(pa.BufferReader(r.content)).metadata] for g in range(f.num_row_groups) for c in range(f.num_columns)}
+    assert codecs == {"ZSTD"}
