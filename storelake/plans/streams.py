@@ -8,6 +8,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from storelake.operators import aggs
 from storelake.plans.analytics import _score as score_series
@@ -18,8 +19,8 @@ from storelake.plans.named import _SQL_STOCKOUTS, crowded, stockouts
 from storelake.plans.reaimed import _SQL_REORDERS, reorder_signals
 from storelake.plans.registry import ORACLES, register
 from storelake.sources import driver as d
+from storelake.streaming import pairs, views
 from storelake.streaming import runner as st
-from storelake.streaming import views
 
 WATERMARK = "1 hour"
 
@@ -175,21 +176,35 @@ def latest_view(spark, stream, base):
 
 @register("ST05", None)
 def st05_stream_stream_pairs(spark, sf):
-    """Arrival <-> departure pairing as a stream-stream inner join with
+    """Arrival <-> departure pairing of two streams, whichever comes in first, with
     watermarks on both sides and a time bound (departure within 10 years
-    after arrival) so join state is evicted."""
-    o = et(st.table_stream(spark, sf, "orders").select("o_orderkey", "o_custkey", F.col("o_orderdate").alias("arrival_ts")), "arrival_ts").withWatermark("arrival_ts", "3650 days")
-    li = et(st.table_stream(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_shipdate").alias("departure_ts")), "departure_ts").withWatermark("departure_ts", "3650 days")
-    j = o.join(li, F.expr("o_orderkey = l_orderkey AND departure_ts > arrival_ts AND departure_ts <= arrival_ts + INTERVAL 3650 DAYS"), "inner")
-    return finish(st.run_to_table(j.select(F.col("o_orderkey").alias("shipment_id"), F.col("o_custkey").alias("truck_id"), "l_linenumber", "l_suppkey", "arrival_ts", "departure_ts"), "st05"))
+    after arrival) so open rows are evicted. Ten years of open rows are a table, not a state store."""
+    x = lifecycle_pairs(*lifecycle_streams(spark, sf), st.run_folder(spark, "st05"), 3650, 3650, st.batch_keyed_upsert)
+    return finish(x.select("shipment_id", "truck_id", "l_linenumber", "l_suppkey", "arrival_ts", "departure_ts"))
 
 
 ORACLES["ST05"] = """SELECT o_orderkey AS shipment_id, o_custkey AS truck_id, l_linenumber, l_suppkey, o_orderdate AS arrival_ts, l_shipdate AS departure_ts
 FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_shipdate > o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 3650 DAY"""
 
 
+def lifecycle_streams(spark, sf):
+    """Arrivals (orders) and departures (lines) of the shipments."""
+    o = st.table_stream(spark, sf, "orders").select(F.col("o_orderkey").alias("shipment_id"), F.col("o_custkey").alias("truck_id"), F.col("o_orderdate").alias("arrival_ts"))
+    li = st.table_stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("shipment_id"), "l_linenumber", "l_suppkey", F.col("l_shipdate").alias("departure_ts"))
+    return o, li
+
+
+def lifecycle_pairs(arrivals, departures, base: str, within_days: int, late_days: int, writer, unpaired: bool = False):
+    """What :func:`pairs.run_pairs` wrote for the two streams in ``base``."""
+    a, b = et(arrivals, "arrival_ts"), et(departures, "departure_ts")
+    out = pairs.run_pairs(a, b, "shipment_id", "arrival_ts", "departure_ts", within_days, late_days, base, writer, unpaired)
+    spark, columns = a.sparkSession, T.StructType([*a.schema.fields, *b.drop("shipment_id").schema.fields, *([T.StructField("status", T.StringType())] if unpaired else [])])
+    return spark.read.schema(columns).parquet(out) if views.live_parts(spark, f"{base}/open") else spark.createDataFrame([], columns)
+
+
 def pair_lifecycles(arrivals, departures, key: str, arrival: str, departure: str, within_days: int, late_days: int):
-    """Arrivals with their departures up to ``within_days`` later, whichever comes in first.
+    """Arrivals with their departures up to ``within_days`` later, whichever comes in first, as a stream: for streams
+    whose open rows are few. :func:`lifecycle_pairs` has the same rules and keeps them in a table.
 
     A stream-stream left join: a pair goes out when its later half is read. An arrival stays
     in the state until the watermark (``late_days`` behind the newest row of the slower side)
@@ -213,11 +228,8 @@ LIFECYCLE_DAYS, LATE_DAYS = 120, 30
 
 @register("ST05_timeouts", None)
 def st05_timeouts(spark, sf):
-    """Lifecycle pairing with bounded state: pairs within 120 days, and arrivals that timed out."""
-    o = st.table_stream(spark, sf, "orders").select(F.col("o_orderkey").alias("shipment_id"), F.col("o_custkey").alias("truck_id"), F.col("o_orderdate").alias("arrival_ts"))
-    li = st.table_stream(spark, sf, "lineitem").select(F.col("l_orderkey").alias("shipment_id"), "l_linenumber", "l_suppkey", F.col("l_shipdate").alias("departure_ts"))
-    x = pair_lifecycles(o, li, "shipment_id", "arrival_ts", "departure_ts", LIFECYCLE_DAYS, LATE_DAYS)
-    x = st.run_to_table(x, "st05t", writer=lifecycle_batch)
+    """Lifecycle pairing with bounded open rows: pairs within 120 days, and arrivals that timed out."""
+    x = lifecycle_pairs(*lifecycle_streams(spark, sf), st.run_folder(spark, "st05t"), LIFECYCLE_DAYS, LATE_DAYS, lifecycle_batch, unpaired=True)
     x = x.select("shipment_id", "truck_id", "status", "arrival_ts", "departure_ts", F.col("l_linenumber").cast("double").alias("l_linenumber"), F.col("l_suppkey").cast("double").alias("l_suppkey"))
     return finish(x)
 

@@ -66,15 +66,19 @@ def _publish(spark: SparkSession, base: str, parts: list[dict]) -> None:
         fs.delete(path(f"{base}/manifest/{versions[-2]:012d}"), False)
 
 
-def commit(df: DataFrame, batch_id: int, base: str, merge: Merge, fanout: int = FANOUT) -> None:
-    """Add the part of batch ``batch_id`` (``merge`` of its rows) to the view at ``base``."""
+def commit(df: DataFrame, batch_id: int, base: str, merge: Merge, fanout: int = FANOUT, use: Callable[[str, list[str]], None] | None = None) -> None:
+    """Add the part of batch ``batch_id`` (``merge`` of its rows) to the view at ``base``. ``use`` gets the paths of the written
+    part and of the other live ones before a manifest names the part."""
     spark = df.sparkSession
     parts = live_parts(spark, base)
     if any(e["generation"] and e["first"] <= batch_id <= e["last"] for e in parts):
         return
     path = f"{base}/parts/0-{batch_id}"
     merge(df).write.mode("overwrite").parquet(path)
-    parts = [e for e in parts if e["path"] != path] + [{"path": path, "generation": 0, "first": batch_id, "last": batch_id}]
+    parts = [e for e in parts if e["path"] != path]
+    if use:
+        use(path, [e["path"] for e in parts])
+    parts += [{"path": path, "generation": 0, "first": batch_id, "last": batch_id}]
     generation, made = 0, [path]
     while len(full := [e for e in parts if e["generation"] == generation]) >= fanout:
         first, last = min(e["first"] for e in full), max(e["last"] for e in full)
