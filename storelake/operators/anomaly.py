@@ -11,12 +11,14 @@ flag = sign(score) when |score| >= threshold.
 
 Everything is window/aggregate SQL on one row per key-hour (already reduced
 by a partial aggregation from the raw events), so the per-key partitions are
-bounded by the number of hours, not by the raw row count.
+bounded by the number of hours, not by the raw row count. Correlations and
+percentiles are windows too: the series is shuffled once and sorted three times.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,10 +42,11 @@ def series_anomalies(df: DataFrame, keys: Sequence[str], ts: str, value: str, th
         # Pearson r over the pairs where the lag exists; NULL (not an ANSI
         # division error) when either side is constant.
         v = F.when(F.col(f"lag{p}").isNotNull(), F.col("v"))
-        return F.try_divide(F.covar_samp(v, F.col(f"lag{p}")), F.stddev_samp(v) * F.stddev_samp(F.col(f"lag{p}")))
+        return F.try_divide(F.covar_samp(v, F.col(f"lag{p}")).over(wk), F.stddev_samp(v).over(wk) * F.stddev_samp(F.col(f"lag{p}")).over(wk))
 
-    corr = x.groupBy(*keys).agg(*[safe_corr(p).alias(f"c{p}") for p in SEASONS])
-    x = x.join(corr, keys, "left")
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))  # a series without a key has no season and no spread
+    for p in SEASONS:
+        x = x.withColumn(f"c{p}", F.when(known, safe_corr(p)))
     ok = {p: (F.col("n") >= 2 * p) & F.col(f"c{p}").isNotNull() & (F.col(f"c{p}") >= MIN_CORR) for p in SEASONS}
     season = F.when(ok[24] & ~(ok[168] & (F.col("c168") > F.col("c24"))), F.lit(24)).when(ok[168], F.lit(168))
     x = x.withColumn("season", season)
@@ -51,8 +54,9 @@ def series_anomalies(df: DataFrame, keys: Sequence[str], ts: str, value: str, th
         x = x.withColumn(f"s{p}", F.avg(F.col("v") - F.col("mean")).over(Window.partitionBy(*keys, F.pmod(F.col("i"), F.lit(p)))))
     seasonal = F.when(F.col("season") == 24, F.col("s24")).when(F.col("season") == 168, F.col("s168")).otherwise(F.lit(0.0))
     x = x.withColumn("baseline", F.col("mean") + seasonal).withColumn("r", F.col("v") - F.col("baseline"))
-    q = x.groupBy(*keys).agg(F.percentile("r", 0.1).alias("q10"), F.percentile("r", 0.9).alias("q90"))
-    x = x.join(q, keys, "left").withColumn("spread", F.col("q90") - F.col("q10"))
+    for c, at in (("q10", 0.1), ("q90", 0.9)):
+        x = x.withColumn(c, F.when(known, F.percentile("r", at).over(wk)))
+    x = x.withColumn("spread", F.col("q90") - F.col("q10"))
     score = (
         F.when(F.col("spread") <= 0, F.lit(0.0))
         .when(F.col("r") > F.col("q90"), (F.col("r") - F.col("q90")) / F.col("spread"))
