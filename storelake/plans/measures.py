@@ -634,11 +634,11 @@ def b_forecast(spark, sf):
 def b_stockout_risk(spark, sf):
     """stockout_risk measures (B131–B135)."""
     from storelake.operators import ml
-    from storelake.plans.analytics import snapshot_features, stockout_scores
+    from storelake.plans.analytics import staged_snapshots, stockout_scores, with_rates
 
-    snaps = ml.staged(snapshot_features(spark, sf), "snapshots")  # M31's, for the model and the averages
+    snaps = staged_snapshots(spark, sf)  # M31's, for the model and the averages
     r = ml.staged(stockout_scores(spark, sf, snaps), "risk")
-    f = finish(snaps, 4)
+    f = finish(with_rates(snaps), 4)
     latest = f.join(r.select("store_id", "product_id", "day"), ["store_id", "product_id", "day"], "left_semi")
     a = r.agg(
         F.count_distinct("product_id").alias("b131_stockout_risk_sku_count"), F.avg("stockout_probability").alias("b132_avg_stockout_probability"),

@@ -131,6 +131,24 @@ def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def movements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ledger with the numbers that ``txn_id`` is made of instead of the text, for steps that shuffle it."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        F.col("l_suppkey").alias("store_id"),
+        F.col("l_partkey").alias("product_id"),
+        F.col("l_shipdate").alias("event_ts"),
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).otherwise(-F.col("l_quantity")).cast("bigint").alias("qty"),
+    )
+
+
+def txn_id() -> Column:
+    """``txn_id`` of the ledger over the columns of ``movements``."""
+    return F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "product_id", "store_id")])
+
+
 def truck_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Truck status rows: every line of a shipment (= order) arrives at the
     order date and departs at its ship date. Returned goods (l_returnflag R)
