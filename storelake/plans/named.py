@@ -16,7 +16,7 @@ from storelake.operators import aggs, joins, windows
 from storelake.plans.common import SQL_EVENTS, SQL_LINES, SQL_RECEIPTS, SQL_RECEIPTS_STORE, finish, nullable_ids_as_double, scalar
 from storelake.plans.gold import SQL_LIFECYCLES, SQL_MARKETING, SQL_ORDER_TOTALS, SQL_SENSORS, lifecycles, order_totals
 from storelake.plans.registry import register
-from storelake.plans.windows import _SQL_BALANCES, balances
+from storelake.plans.windows import _SQL_BALANCES, Tail, balances
 from storelake.sources import driver as d
 
 
@@ -148,10 +148,10 @@ def q06_receipts_minute_by_store(spark, sf):
     return g.select("store_id", "ts", (F.col("cents") / 100).alias("total_sales"), "receipts", (F.col("cents") / 100 / F.col("receipts")).alias("avg_basket"))
 
 
-def stockouts(spark, sf):
+def stockouts(spark, sf, tail=None):
     from storelake.operators import windows
 
-    return windows.threshold_crossings(balances(spark, sf), ["store_id", "product_id"], "event_ts", "txn_id", "qty")
+    return windows.threshold_crossings(balances(spark, sf, tail), ["store_id", "product_id"], "event_ts", "txn_id", "qty")
 
 
 _SQL_STOCKOUTS = f"""(SELECT store_id, product_id, CAST(event_ts AS DATE) AS event_date, event_ts, txn_id, abs(qty) AS last_known_quantity, balance
@@ -703,15 +703,34 @@ def pj03_inventory_movement(spark, sf, lookback: int = 1800):
 
 
 # PJ04 --------------------------------------------------------------------------
+def _signals(spark, sf, tail=None):
+    from storelake.operators import ml
+    from storelake.plans.reaimed import reorder_signals
+
+    r = reorder_signals(spark, sf, tail=tail).select("store_id", "product_id", "event_ts")
+    s = stockouts(spark, sf, tail).select("store_id", "product_id", "event_ts")
+    return ml.staged(r.withColumn("signal", F.lit("reorder")).unionByName(s.withColumn("signal", F.lit("stockout"))), "signals")
+
+
+def latest_signals(spark, sf, seconds: int):
+    """Reorder and stockout signals, at least all of the last ``seconds`` before the latest one. A day's signals
+    follow from its movements and the balances it opens with, so the days before the last one with signals are
+    summed, not ranked and balanced; whether the days taken reach back far enough is known from their signals."""
+    first, last = d.ledger(spark, sf).agg(F.to_date(F.min("event_ts")), F.to_date(F.max("event_ts"))).first()
+    days = 1
+    while last is not None and (since := last - timedelta(days=days)) > first:
+        u = _signals(spark, sf, Tail(spark, sf, since))
+        reach = scalar(u, F.to_date(F.max("event_ts") - F.make_dt_interval(secs=F.lit(seconds))))
+        if reach is not None and reach >= since:
+            return u
+        days *= 8
+    return _signals(spark, sf)
+
+
 @register("PJ04", None)
 def pj04_replenishment_signals(spark, sf, lookback: int = 1800):
     """Reorder and stockout signals of the last 30 minutes by type/store/product, the 25 latest."""
-    from storelake.plans.reaimed import reorder_signals
-
-    r = reorder_signals(spark, sf).select("store_id", "product_id", "event_ts")
-    s = stockouts(spark, sf).select("store_id", "product_id", "event_ts")
-    u = r.withColumn("signal", F.lit("reorder")).unionByName(s.withColumn("signal", F.lit("stockout")))
-    u = recent(u, "event_ts", lookback)
+    u = recent(latest_signals(spark, sf, lookback), "event_ts", lookback)
     g = u.groupBy("signal", "store_id", "product_id").agg(F.count(F.lit(1)).alias("signals"), F.max("event_ts").alias("latest"))
     return g.orderBy(F.desc("latest"), "signal", "store_id", "product_id").limit(25)
 

@@ -23,14 +23,14 @@ URGENT_PCT = 50
 HIGH_PCT = 25
 
 
-def reorder_signals(spark, sf, point: int = REORDER_POINT, top: int = 5):
+def reorder_signals(spark, sf, point: int = REORDER_POINT, top: int = 5, tail=None):
     """Per store and day, the top-5 products by that day's demand whose
     end-of-day balance is below the reorder point; quantity to refill to
     2 x point; priority by deficit % = (point - current) / point * 100:
-    >= 50 URGENT, >= 25 HIGH, else NORMAL."""
+    >= 50 URGENT, >= 25 HIGH, else NORMAL. With ``tail`` those of its days."""
     from storelake.plans.analytics import stock_daily
 
-    x = stock_daily(spark, sf).withColumnRenamed("sold", "demand").where(F.col("demand") > 0)
+    x = stock_daily(spark, sf, tail=tail).withColumnRenamed("sold", "demand").where(F.col("demand") > 0)
     x = windows.top_n_per_group(x, ["store_id", "day"], [F.desc("demand"), F.asc("product_id")], top, "demand_rank")
     x = x.where(F.col("balance") < point)
     deficit = (F.lit(point) - F.col("balance")) / F.lit(point) * 100

@@ -75,8 +75,29 @@ _SQL_BALANCES = f"""(SELECT *, CAST(sum(qty) OVER (PARTITION BY store_id, produc
   FROM {SQL_LEDGER})"""
 
 
-def balances(spark, sf):
-    return windows.running_balance(d.ledger(spark, sf), ["store_id", "product_id"], "event_ts", "txn_id", "qty", bucket=F.to_date("event_ts"))
+def balances(spark, sf, tail=None):
+    """W05's rows; with ``tail`` those of its days."""
+    if tail is None:
+        return windows.running_balance(d.ledger(spark, sf), ["store_id", "product_id"], "event_ts", "txn_id", "qty", bucket=F.to_date("event_ts"))
+    led = d.ledger(spark, sf).where(F.to_date("event_ts") >= F.lit(tail.since)).join(tail.opening, ["store_id", "product_id"], "left")
+    opening = F.coalesce(F.col("opening"), F.lit(0))
+    return windows.running_balance(led, ["store_id", "product_id"], "event_ts", "txn_id", "qty", opening=opening, bucket=F.to_date("event_ts")).drop("opening")
+
+
+class Tail:
+    """The ledger's days from the date ``since`` on: ``opening`` has the sum of all earlier movements (those
+    without a time are the earliest) for each store and product that moves in these days."""
+
+    def __init__(self, spark, sf, since):
+        from storelake.operators import ml
+
+        key = ["store_id", "product_id"]
+        led = d.ledger(spark, sf).select(*key, "event_ts", "qty")
+        late = F.to_date("event_ts") >= F.lit(since)
+        keys = ml.staged(led.where(late).select(*[F.col(k).alias(f"_{k}") for k in key]).distinct(), "keys")  # files tell the join their size
+        same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
+        old = led.where(~late | F.col("event_ts").isNull()).join(keys, same[0] & same[1], "left_semi")
+        self.since, self.opening = since, ml.staged(old.groupBy(*key).agg(F.sum("qty").alias("opening")), "opening")
 
 
 # W05 ---------------------------------------------------------------------------
