@@ -165,14 +165,16 @@ def next_event_within(
 
     Union both sides and take min(event time) over a following range frame on
     microseconds: one sort instead of a join fan-out. A key's rows are split into
-    time buckets as long as the horizon; an event also goes to the bucket before its
-    own, so a snapshot finds all it may reach in its own bucket."""
-    bucket = F.floor(_epoch_us(F.col("_t")) / (horizon_seconds * 1_000_000))
-    s = snapshots.withColumn("_is_snap", F.lit(True)).withColumn("_t", F.col(snap_ts)).withColumn("_bkt", bucket)
+    time buckets of four horizons; an event that a snapshot of the bucket before its own
+    may reach goes there too, so a snapshot finds all it may reach in its own bucket."""
+    horizon = horizon_seconds * 1_000_000
+    bucket = lambda us: F.floor(us / (4 * horizon))
+    t = _epoch_us(F.col("_t"))
+    s = snapshots.withColumn("_is_snap", F.lit(True)).withColumn("_t", F.col(snap_ts)).withColumn("_bkt", bucket(t))
     e = events.select(*keys, F.col(event_ts).alias("_t")).withColumn("_is_snap", F.lit(False))
-    e = e.withColumn("_bkt", F.explode(F.array(bucket, bucket - 1)))
+    e = e.withColumn("_bkt", F.explode(F.sequence(bucket(t - horizon), bucket(t))))
     u = s.unionByName(e, allowMissingColumns=True)
-    w = Window.partitionBy(*keys, "_bkt").orderBy(_epoch_us(F.col("_t"))).rangeBetween(1, horizon_seconds * 1_000_000)
+    w = Window.partitionBy(*keys, "_bkt").orderBy(t).rangeBetween(1, horizon)
     nxt = F.min(F.when(~F.col("_is_snap"), F.col("_t"))).over(w)
     return u.withColumn("next_event_ts", nxt).where(F.col("_is_snap")).withColumn(out, F.col("next_event_ts").isNotNull().cast("int")).drop("_is_snap", "_t", "_bkt")
 

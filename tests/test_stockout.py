@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from storelake.operators import ml
+from storelake.operators import joins, ml
 from storelake.plans import analytics
 from storelake.plans.registry import ORACLES
 
@@ -110,3 +110,15 @@ def test_staging_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not files() - before
     assert out.count() == 500 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_next_event_across_buckets(spark):
+    """Buckets hold four horizons; by definition, with events on both sides of their borders and at the horizon itself."""
+    r, h = random.Random(9), 3 * 86400
+    at = lambda: dt.datetime(2024, 1, 1) + dt.timedelta(seconds=r.choice([h // 3 * r.randrange(60), r.randrange(20 * h)]), microseconds=r.choice([0, 1, 999_999]))
+    snaps, events = [(r.randrange(4), at()) for _ in range(300)], [(r.randrange(4), at()) for _ in range(60)] + [(1, None)]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, t timestamp_ntz")
+    got = joins.next_event_within(frame(snaps), frame(events), ["k"], "t", "t", h).collect()
+    after = lambda k, t: min((e for j, e in events if j == k and e and t < e <= t + dt.timedelta(seconds=h)), default=None)
+    assert sorted((x.k, x.t, x.next_event_ts, x.label) for x in got if x.label) == sorted((k, t, e, 1) for k, t in snaps if (e := after(k, t)))
+    assert len(got) == 300
